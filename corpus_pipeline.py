@@ -1,13 +1,66 @@
-"""A corpus pipeline over documents: stages of the llm operators, each written and read again by the next."""
+"""A corpus pipeline: five stages of the llm operators over documents, each written as Parquet and read by the next.
+
+Every stage works on all that its predecessor kept. The first four return the columns of documents; the last returns
+the packed pieces of what is left.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from listingops.llm import decontaminate, jaccard_join, line_dedup, packing, quality
+from listingops.llm.common import if_small, table, written
+from listingops.llm.queries import CAPACITY, END_ID, vocabulary
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the importance resampling selects; rejected documents go."""
+    chosen = quality.resample(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    rejected = written(chosen.filter(~F.col("selected")).select("doc_id").distinct(), "rejected")
+    return docs.join(if_small(rejected), "doc_id", "left_anti").select(*docs.columns)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later repeated runs of lines; documents of which nothing is left go. n_chars follows the text."""
+    cleaned = line_dedup.dedup_lines(docs).filter("deleted_lines IS NULL OR text <> ''")
+    return cleaned.withColumn("n_chars", F.when(F.col("deleted_lines").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+
+
+def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the least doc_id, then the least text key."""
+    joined = jaccard_join.near_duplicates(docs, 5, 80, 100)
+    linked = joined.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    gone = joined.filter("n_shingles > 0").join(linked, "component_id").filter(F.struct("doc_id", "text_key") != F.col("first"))
+    gone = if_small(written(gone.select("doc_id", F.col("text_key").alias("_key")).distinct(), "gone"))
+    return docs.join(gone, (docs["doc_id"] == gone["doc_id"]) & (F.xxhash64(docs["text"]) == F.col("_key")), "left_anti").select(*docs.columns)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found."""
+    leaks = written(decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
+    return docs.join(if_small(leaks), "doc_id", "left_anti").select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' tokens packed into sequences of at most 1024."""
+    return packing.pack_documents(docs, vocabulary(), CAPACITY, END_ID)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("line dedup", line_stage),
+    ("n-gram Jaccard join", duplicate_stage),
+    ("benchmark decontamination", benchmark_stage),
+    ("best-fit packing", packing_stage),
+]
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+    """All stages over the documents of sf_dir."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -68,6 +68,11 @@ def fits_broadcast(df: DataFrame, limit_rows: int) -> bool:
     return df.limit(limit_rows + 1).count() <= limit_rows
 
 
+def if_small(df: DataFrame, limit_rows: int = 1_000_000) -> DataFrame:
+    """df, to be broadcast where it has limit_rows rows at most, else joined by a shuffle. df is read once more."""
+    return F.broadcast(df) if fits_broadcast(df, limit_rows) else df
+
+
 def ranked_in(df: DataFrame, key: list[str], order: list[str], n_salts: int, out: str) -> DataFrame:
     """df with out: 0-based rank of each row within key, gapless, in an arbitrary but fixed order.
 

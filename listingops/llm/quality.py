@@ -1,8 +1,9 @@
 """Quality classifier by importance resampling.
 
 Two generative models over hashed word n-grams (one and two words), one of target text and one of raw text, give each
-document a log importance weight: the sum over its n-grams of log p_target - log p_raw. Gumbel noise makes the k largest
-noisy weights a sample without replacement in proportion to the weights (Gumbel top-k).
+document a log importance weight, the mean over its n-grams of log p_target - log p_raw times a fixed length: left as a
+sum, the weight of a long text says more about its length than about its kind. Gumbel noise makes the k largest noisy
+weights a sample without replacement in proportion to the weights (Gumbel top-k).
 """
 
 from __future__ import annotations
@@ -17,16 +18,18 @@ from pyspark.sql import functions as F
 from listingops.llm.common import ship, written
 from listingops.llm.words import mixed, word_hashes
 
-BUCKETS = 1 << 16
+BITS = 18
+BUCKETS = 1 << BITS
+LENGTH = 256  # n-grams that a text weighs as
 U = np.uint64
 
 
 def ngram_buckets(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, bucket) of every one- and two-word n-gram."""
     row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    one = (h >> U(48)).astype(np.int64)
+    one = (h >> U(64 - BITS)).astype(np.int64)
     with np.errstate(over="ignore"):
-        two = (mixed(h[:-1] * U(0x9E3779B97F4A7C15) + h[1:]) >> U(48)).astype(np.int64)
+        two = (mixed(h[:-1] * U(0x9E3779B97F4A7C15) + h[1:]) >> U(64 - BITS)).astype(np.int64)
     same = row[:-1] == row[1:]
     return np.concatenate((row, row[:-1][same])), np.concatenate((one, two[same]))
 
@@ -36,16 +39,23 @@ class Model:
     log_ratio: np.ndarray
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 50_000, smoothing: float = 1.0, seed: int = 5) -> Model:
+def sampled(labels: DataFrame, rows: int, seed: int) -> DataFrame:
+    """doc_id, quality, fold (0: fits the target model, 1: sets the cut) of at most rows labelled rows, by a hash of doc_id."""
+    known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    h = F.xxhash64(F.lit(seed), "doc_id")
+    return known.orderBy(h, "doc_id").limit(rows).withColumn("fold", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(2)))
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 50_000, prior: float = 5.0, seed: int = 5) -> Model:
     """The models: raw from every row of docs(doc_id, text), target from labels(doc_id, quality) with quality 1.
 
-    sample_rows bounds the labelled rows that the target model is fitted on, chosen by a hash of doc_id; they are
-    broadcast, so no text is shuffled. Counts leave a task once, one row for each bucket.
+    sample_rows bounds the labelled rows; half of them fit the target model. They are broadcast, so no text is
+    shuffled. Counts leave a task once, one row for each bucket. prior is how many n-grams of either kind a bucket
+    starts with, so that buckets with few say little.
     """
     spark = docs.sparkSession
     ship(spark)
-    good = labels.filter(F.col("quality") == 1).select(F.col("doc_id").alias("_id")).distinct()
-    good = good.orderBy(F.xxhash64(F.lit(seed), "_id"), "_id").limit(sample_rows).withColumn("target", F.lit(True))
+    good = sampled(labels, sample_rows, seed).filter("quality = 1 AND fold = 0").select(F.col("doc_id").alias("_id"), F.lit(True).alias("target"))
     both = docs.select("doc_id", "text").join(F.broadcast(good), F.col("doc_id") == F.col("_id"), "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
     schema = pa.schema([("bucket", pa.int32()), ("raw", pa.int64()), ("target", pa.int64())])
 
@@ -61,11 +71,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 50_000, smoothing
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(seen[0, at]), pa.array(seen[1, at])], schema=schema)
 
     sums = both.mapInArrow(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
-    counts = np.full((2, BUCKETS), smoothing)
-    counts[0, sums["bucket"]] += sums["raw"].to_numpy(float)
-    counts[1, sums["bucket"]] += sums["target"].to_numpy(float)
-    p = np.log(counts / counts.sum(axis=1, keepdims=True))
-    return Model(p[1] - p[0])
+    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    raw[sums["bucket"]], target[sums["bucket"]] = sums["raw"], sums["target"]
+    share = target.sum() / max(1.0, raw.sum())
+    return Model(np.log((target + prior) / (raw * share + prior)) if share else np.zeros(BUCKETS))
 
 
 def weigh(docs: DataFrame, model: Model, seed: int = 9) -> DataFrame:
@@ -82,7 +91,7 @@ def weigh(docs: DataFrame, model: Model, seed: int = 9) -> DataFrame:
             for i, j, h, bounds in word_hashes(batch.column(1)):
                 row, bucket = ngram_buckets(h, bounds)
                 n[i:j] = np.bincount(row, minlength=j - i)
-                x[i:j] = np.bincount(row, ratio[bucket], minlength=j - i)
+                x[i:j] = np.bincount(row, ratio[bucket], minlength=j - i) * LENGTH / np.maximum(1, n[i:j])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(x)], names=["doc_id", "n_grams", "log_weight"])
 
     ship(docs.sparkSession)
@@ -140,11 +149,10 @@ def top_k(weighed: DataFrame, key: str, k: int, tie: str) -> DataFrame:
 def expected_good(weighed: DataFrame, labels: DataFrame, lost_cost: float = 4.0, sample_rows: int = 50_000, seed: int = 5) -> int:
     """How many rows weigh as labelled good text does.
 
-    The cut is the log_weight with the least cost on a bounded sample of labelled rows, where a lost good row costs
-    lost_cost kept bad ones; the number of rows above it is returned. Without labels of both kinds: every row.
+    The cut is the log_weight with the least cost on the labelled rows that did not fit the target model, where a lost
+    good row costs lost_cost kept bad ones; the number of rows above it is returned. Without both kinds: every row.
     """
-    some = labels.filter(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    some = some.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample_rows)
+    some = sampled(labels, sample_rows, seed).filter("quality = 0 OR fold = 1")
     got = weighed.join(F.broadcast(some), "doc_id").select("log_weight", "quality").toPandas().sort_values("log_weight")
     if got["quality"].nunique() < 2:
         return weighed.count()

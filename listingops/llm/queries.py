@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listingops.llm import packing, quality, secrets_scan, sharding, topk_search, toxicity
+from listingops.llm import decontaminate, jaccard_join, license_scan, line_dedup, packing, quality, secrets_scan, sharding, topk_search, toxicity
 from listingops.llm.common import table
 
 CAPACITY, END_ID, SHARDS, THRESHOLD = 1024, 2, 8, 0.7
@@ -36,12 +36,37 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every window of documents that repeats a benchmark item: five-word shingles, weighted similarity of 0.8 or more."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with its number of three-word shingles and its component of links at 90 % or more."""
+    joined = jaccard_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), 3, 90, 100)
+    return joined.select("doc_id", "n_shingles", "component_id")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of documents in one of eight shards of near-equal bytes; equal texts share a shard."""
     dealt = sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARDS)
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents after line dedup: the deleted line ranges, and length and CRC of the text that is left."""
+    cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    ranges = F.array_join(F.transform("deleted_lines", lambda x: F.concat_ws("-", x["s"].cast("string"), x["e"].cast("string"))), ",")
+    gone = F.aggregate("deleted_lines", F.lit(0), lambda acc, x: acc + x["e"] - x["s"])
+    return cleaned.select("doc_id", F.coalesce(gone, F.lit(0)).cast("long").alias("n_deleted"), F.coalesce(ranges, F.lit("")).alias("deleted_lines"), F.length("text").cast("long").alias("kept_chars"), F.crc32(F.col("text").cast("binary")).alias("kept_crc32"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every license notice in documents of which the alignment covers 80 % or more."""
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def held_out() -> F.Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
 
@@ -80,7 +105,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_best_fit_packing, op5_sharding, op8_toxicity, op9_exact_top_k, op10_quality)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_best_fit_packing, op3_decontamination, op4_jaccard_join, op5_sharding, op6_line_dedup, op7_license_scan, op8_toxicity, op9_exact_top_k, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
