@@ -10,8 +10,9 @@ A document's set holds the hashes of its k-word shingles. Two documents link whe
 3. Groups of copies would make all pairs of their members. Instead members are held against one centre: first that of
    their group, then the centre that shares most of their prefix. Verified members stand behind their centre.
 4. Pairs of centres that share a prefix shingle and pass the size filter are compared. Jaccard distance is a metric:
-   members of two centres further apart than the threshold and both radii can't link. The other groups pairs, if still
-   in different components, are expanded and their members verified.
+   members of two centres further apart than the threshold and both radii can't link. The other pairs, if still in
+   different components, are expanded: members are joined by what sets them apart from the larger group's centre, and
+   verified.
 
 Comparisons are first bounded by parity sketches (the sets' symmetric difference is at least the number of odd bits)
 and then made on the whole sets. No link between different sets is lost; links within a class or behind a centre are
@@ -212,13 +213,54 @@ class Join:
         # members of near centres that are not yet connected
         root = components(links)
         named = lambda c: root.select(F.col("node").alias(c), F.col("root").alias(f"_root_{c}"))
-        apart = open_pairs.join(named("a"), "a", "left").join(named("b"), "b", "left").filter(F.coalesce("_root_a", "a") != F.coalesce("_root_b", "b")).select(F.col("a").alias("ca"), F.col("b").alias("cb"), "distance")
-        member = posts.join(nodes, "cid").select("key", "cid", "n", "centre", "r")
-        ma, mb = (member.select(*(F.col(c).alias(f"{c}_{s}") for c in member.columns)) for s in "ab")
-        sized = (F.col("n_a") * self.den >= F.col("n_b") * self.num) & (F.col("n_b") * self.den >= F.col("n_a") * self.num)
-        close = F.col("distance") <= self.distance + F.col("r_a") + F.col("r_b") + 1e-9
-        wide = apart.join(ma, F.col("ca") == F.col("centre_a")).join(mb, (F.col("cb") == F.col("centre_b")) & (F.col("key_a") == F.col("key_b")) & sized & close).select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).distinct()
-        return written(links.unionByName(self.verified(wide).filter("linked").select("a", "b")), "links")
+        apart = open_pairs.join(named("a"), "a", "left").join(named("b"), "b", "left").filter(F.coalesce("_root_a", "a") != F.coalesce("_root_b", "b"))
+        more, pairs = self.expanded(apart.select("a", "b"), nodes)
+        return written(links.unionByName(more).unionByName(self.verified(pairs).filter("linked").select("a", "b")), "links")
+
+    def expanded(self, apart: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(links found, pairs a, b still to verify) between the members of centres apart(a, b).
+
+        The centre with more members is the hub, and every member of either side is held as its difference to the hub's
+        set. |x ^ y| = |dx| + |dy| - 2 |dx & dy|, so a member y that is not linked to the hub can only link to an x with
+        which it shares (|dx| + |dy| - most) / 2 elements of difference, one at least. Differences are few and mostly
+        nobody else's; they are joined by prefixes, rarest first, in place of the long common part.
+        """
+        kappa = (self.den - self.num) / (self.den + self.num)  # of two linked sets' sizes, the most that they differ by
+        size = nodes.groupBy(F.col("centre").alias("c")).agg(F.count(F.lit(1)).alias("m"))
+        sides = apart.join(size.select(F.col("c").alias("a"), F.col("m").alias("ma")), "a").join(size.select(F.col("c").alias("b"), F.col("m").alias("mb")), "b")
+        first = (F.col("ma") > F.col("mb")) | ((F.col("ma") == F.col("mb")) & (F.col("a") < F.col("b")))
+        sides = written(sides.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("other")), "sides")
+        member = nodes.select(F.col("centre").alias("c"), F.col("cid").alias("node"))
+        own = sides.select("hub").distinct().join(member, F.col("hub") == F.col("c")).select("hub", "node", F.lit(0).alias("y"))
+        far = sides.join(member, F.col("other") == F.col("c")).select("hub", "node", F.lit(1).alias("y")).distinct()
+        loaded = own.union(far).join(self.wholes.select(F.col("cid").alias("node"), F.col("s").alias("sn")), "node").join(self.wholes.select(F.col("cid").alias("hub"), F.col("s").alias("sh")), "hub")
+
+        def differ(batches):
+            for batch in batches:
+                sn, sh = batch.column(3), batch.column(4)
+                d = [np.setxor1d(x.values.to_numpy(), z.values.to_numpy(), assume_unique=True) for x, z in zip(sn, sh, strict=True)]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in d]))), pa.int32()), pa.array(np.concatenate(d)))
+                count = lambda c: pa.array([len(x.values) for x in c], pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), count(sn), count(sh), lists], names=["hub", "node", "y", "n", "nh", "d"])
+
+        rows = loaded.select("hub", "node", "y", "sn", "sh").mapInArrow(differ, "hub long, node long, y int, n int, nh int, d array<long>")
+        rows = written(rows.withColumn("m", F.size("d")), "differences")
+        shared, union = (F.col("n") + F.col("nh") - F.col("m")) / 2, (F.col("n") + F.col("nh") + F.col("m")) / 2
+        to_hub = shared * self.den >= union * self.num
+        links = rows.filter((F.col("y") == 1) & to_hub).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+        rest = rows.filter(((F.col("y") == 0) & (F.col("node") != F.col("hub"))) | ((F.col("y") == 1) & ~to_hub))
+        sides_of = rest.groupBy("hub", (1 - F.col("y")).alias("y")).agg(F.min("m").alias("least"), F.max("n").alias("most_n"))
+        marks = rest.select("hub", "node", "y", F.explode("d").alias("e"))
+        useful = marks.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("df"), F.min("y").alias("x0"), F.max("y").alias("x1")).filter("x0 < x1").select("hub", "e", "df")
+        kept = marks.join(useful, ["hub", "e"]).groupBy("hub", "node", "y").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("u"))  # no more than a document's shingles
+        need = F.greatest(F.lit(1.0), F.ceil((F.col("m") + F.col("least") - (F.col("n") + F.col("most_n")) * kappa - 1e-6) / 2))
+        sized = rest.select("hub", "node", "y", "n", "m").join(sides_of, ["hub", "y"]).join(kept, ["hub", "node", "y"]).withColumn("k", F.size("u") - need + 1)
+        able = sized.filter("k >= 1").select("hub", "node", "y", "n", "m", F.explode(F.transform(F.slice("u", F.lit(1), F.col("k").cast("int")), lambda v: v["e"])).alias("e"))
+        x, z = able.filter("y = 0").alias("x"), able.filter("y = 1").alias("z")
+        most = (F.col("x.n") + F.col("z.n")) * kappa + 1e-6
+        fits = (F.abs(F.col("x.n") - F.col("z.n")) <= most) & (F.abs(F.col("x.m") - F.col("z.m")) <= most)
+        pairs = x.join(z, (F.col("x.hub") == F.col("z.hub")) & (F.col("x.e") == F.col("z.e")) & fits).select(F.least("x.node", "z.node").alias("a"), F.greatest("x.node", "z.node").alias("b"))
+        return links, pairs.filter("a <> b").distinct()
 
     def result(self) -> DataFrame:
         """doc_id, text_key, n_shingles, component_id of every row."""
