@@ -1,7 +1,8 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact verification.
 
 Each benchmark item's words make one 64-bit SimHash. Every window of as many words in every document gets its own, by
-sums that slide. The fingerprint is cut into four blocks of 16 bits; an index holds each item's blocks and all blocks
+sums that slide. So that items of many sizes need few passes over a text, sizes are rounded down by less than an eighth:
+the item's first words of that number are its fingerprint; comparison is over its whole size. The fingerprint is cut into four blocks of 16 bits; an index holds each item's blocks and all blocks
 one bit away. Two fingerprints at most RADIUS = 7 bits apart agree in some block up to one bit, so no pair within the
 radius is missed. Candidates are then compared exactly: weighted Jaccard similarity of their five-word shingles, each
 with its multiplicity and a weight of 1 / (benchmark items that hold it).
@@ -37,6 +38,11 @@ def window_fingerprints(sums: np.ndarray, size: int) -> np.ndarray:
     return np.packbits(((sums[size:] - sums[:-size]) > 0).ravel(), bitorder="little").view(np.uint64)
 
 
+def window_size(n: int) -> int:
+    """The size of the windows for items of n words: eight sizes from each power of two to the next."""
+    return n - n % max(1, 1 << n.bit_length() - 4 if n >= 16 else 1)
+
+
 def simhash(h: np.ndarray) -> np.uint64:
     return window_fingerprints(sums_of(h, np.int32), len(h))[0]
 
@@ -51,9 +57,11 @@ class Items:
         self.items: dict[int, tuple[np.ndarray, list[int], np.ndarray, np.uint8]] = {}  # by size: fingerprints, items, blocks
         self.shingles = shingled
         by_size: dict[int, list[tuple[int, np.ndarray]]] = {}
+        self.size = {k: len(h) for k, h in rows}
         for k, h in rows:
             if len(h):
-                by_size.setdefault(len(h), []).append((k, h))
+                size = window_size(len(h))
+                by_size.setdefault(size, []).append((k, h[:size]))
         near = np.concatenate(([0], 1 << np.arange(BLOCK_BITS)))
         # eight sizes share a table of bytes, a bit for each, so that the tables stay in the processor's cache
         self.tables = np.zeros((-(-len(by_size) // 8), BLOCKS, 1 << BLOCK_BITS), dtype=np.uint8)
@@ -105,6 +113,7 @@ class Items:
             t = int(np.searchsorted(bounds, at, side="right")) - 1
             if at + size > bounds[t + 1]:
                 continue
+            size = int(min(self.size[k], bounds[t + 1] - at))
             x = self.similarity(k, Counter(shingles(h[at : at + size], SHINGLE).tolist()))
             if x < least:
                 continue
