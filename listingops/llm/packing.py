@@ -161,7 +161,7 @@ def assign(pieces: DataFrame, capacity: int, length: str, order: list[str]) -> D
 
 
 RANKS = 1 << 46  # more than any length has pieces
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 500_000
 _held: dict[str, tuple] = {}
 
 
@@ -179,7 +179,7 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -190,10 +190,13 @@ class Encoder:
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
+        if len(self.known) > CACHE_ENTRIES:  # what was used since the last turn stays
+            self.older, self.known = self.known, {}
         cut = [self.segments(t) for t in texts]
-        new = list({s for x in cut if x for s in x}.difference(self.known))
+        new = {s for x in cut if x for s in x}.difference(self.known)
+        again = new & self.older.keys()
+        self.known.update((s, self.older[s]) for s in again)
+        new = list(new - again)
         self.known.update(zip(new, self.whole(new), strict=True))
         odd = iter(self.whole([t for t, x in zip(texts, cut, strict=True) if x is None]))
         get = self.known.__getitem__
