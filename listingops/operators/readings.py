@@ -150,8 +150,8 @@ def region_clusters(regions: DataFrame, rounds: int = 12) -> DataFrame:
     links = near_regions(regions)
     both = links.union(links.select("product_id", "photo", F.col("b").alias("a"), F.col("a").alias("b")))
     keys = ["product_id", "photo"]
-    lists = both.groupBy(*keys, "a").agg(F.collect_set("b").alias("near"))
-    grouped = regions.join(lists, (regions["product_id"] == lists["product_id"]) & (regions["photo"] == lists["photo"]) & (regions["region_seq"] == lists["a"]), "left").select(*(regions[c] for c in regions.columns), "near")
+    lists = both.groupBy(*keys, F.col("a").alias("region_seq")).agg(F.collect_set("b").alias("near"))
+    grouped = regions.join(lists, [*keys, "region_seq"], "left")
     table = grouped.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("region_seq", F.coalesce("near", F.expr("CAST(array() AS array<int>)"))))).alias("g"))  # one photo's boxes
     labels = F.map_from_entries(F.transform(F.map_keys("g"), lambda k: F.struct(k, k.alias("v"))))
 
