@@ -184,7 +184,7 @@ class Join:
         heads = groups.groupBy("alike").agg(F.min("cid").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
         nodes, new = self.starred(nodes, groups.join(heads, "alike").filter("cid > b").select(F.col("cid").alias("a"), "b"))
         found.append(new)
-        band = F.floor(F.log(F.col("n")) / -np.log(self.num / self.den)).cast("int")
+        band = F.floor(F.log(F.col("n")) / -np.log(self.num / self.den)).cast("int") if self.num < self.den else F.col("n")
         for _ in range(STAR_ROUNDS):
             centres = nodes.filter("cid = centre").select("cid")
             own = posts.join(centres, "cid").select("cid", "key", "u", band.alias("band"))

@@ -2,7 +2,8 @@
 
 Features are hashed byte n-grams of the lower-cased text with white space as one blank. From labelled texts Spark
 counts, for each feature, in how many texts of either class it occurs. The smoothed log-count ratio r scales it;
-features whose ratio is within its own error of none are left out, which keeps a long clean text from adding up noise.
+features whose shares in the two classes differ by less than min_z standard errors are left out, which keeps a long
+clean text from adding up noise.
 A logistic regression over the scaled presence of the rest gives the score.
 """
 
@@ -102,7 +103,7 @@ def regression(rows: np.ndarray, feats: np.ndarray, r: np.ndarray, y: np.ndarray
     return w, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 24_000, min_z: float = 5.0, l2: float = 1.0, steps: int = 300, seed: int = 3) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 24_000, min_z: float = 6.0, l2: float = 1.0, steps: int = 300, seed: int = 3) -> Model:
     """The classifier of docs(doc_id, text) as labels(doc_id, label 0/1) marks them; null labels take no part.
 
     sample_rows bounds the labelled rows it is fitted on, chosen by a hash of doc_id; they are broadcast, so no text
@@ -136,10 +137,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 24_000, min_z: fl
         p = min(0.99, max(0.01, n1 / max(1, n0 + n1)))
         return Model(np.empty(0, np.int64), np.empty(0), float(np.log(p / (1 - p))))
     sums = known.select("text", "label").mapInArrow(count, "slot int, clean int, toxic int").groupBy("slot").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
-    c, t = F.col("c") + 0.5, F.col("t") + 0.5
-    ratio = F.log(t / (n1 + 1.0)) - F.log(c / (n0 + 1.0))
-    error = F.sqrt(1 / c + 1 / t)
-    picked = sums.select("slot", ratio.alias("r"), (ratio / error).alias("z")).filter((F.abs("z") >= min_z)).orderBy(F.abs("z").desc(), "slot").limit(20_000).toPandas().sort_values("slot")
+    c, t = F.col("c"), F.col("t")
+    ratio = F.log((t + 0.5) / (n1 + 1.0)) - F.log((c + 0.5) / (n0 + 1.0))
+    share = (c + t) / float(n0 + n1)
+    z = (t / float(n1) - c / float(n0)) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1.0 / n1 + 1.0 / n0))
+    picked = sums.select("slot", ratio.alias("r"), z.alias("z")).filter(F.abs("z") >= min_z).orderBy(F.abs("z").desc(), "slot").limit(20_000).toPandas().sort_values("slot")
     slots, r = picked["slot"].to_numpy(np.int64), picked["r"].to_numpy(float)
     model = Model(slots, r, 0.0)
     table = model.table()

@@ -1,0 +1,301 @@
+"""Each operator against a brute-force version or exact laws on small data."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from listingops.llm import components, decontaminate, jaccard_join, license_scan, line_dedup, packing, quality, secrets_scan, sharding, topk_search, toxicity
+from listingops.llm.queries import op1_secret_scan, op2_best_fit_packing, op9_exact_top_k, vocabulary
+from listingops.llm.words import shingles, word_hashes
+
+SF = "/root/testdata/sf0.001"
+WORDS = [a + b + c for a in ("ba", "ce", "di", "fo", "gu") for b in ("lor", "men", "nis", "par") for c in ("a", "et", "in", "os", "um")]
+
+
+def prose(r, n):
+    return " ".join(r.choice(WORDS) for _ in range(n))
+
+
+def frame(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_plan_uses_every_piece_once(seed):
+    r = random.Random(seed)
+    h = {}
+    for _ in range(r.choice((5, 200, 4000))):
+        x = r.choice((r.randint(1, 64), r.randint(20, 40)))
+        h[x] = h.get(x, 0) + 1
+    used = {}
+    for lengths, times in packing.plan(h, 64):
+        assert sum(lengths) <= 64 and times > 0
+        for x in lengths:
+            used[x] = used.get(x, 0) + times
+    assert used == h
+
+
+def test_packing_is_gapless_and_exact(spark):
+    rows = op2_best_fit_packing(spark, SF).collect()
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(vocabulary())
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    docs, seqs = {}, {}
+    for p in rows:
+        docs.setdefault(p.doc_id, []).append(p)
+        seqs.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    assert docs.keys() == texts.keys()
+    for d, pieces in docs.items():
+        ids = np.array([*t.encode(texts[d], add_special_tokens=False).ids, 2], dtype="<u4")
+        at = 0
+        for n, p in enumerate(sorted(pieces, key=lambda p: p.piece)):
+            assert (p.piece, p.start) == (n, at) and p.ids_crc32 == zlib.crc32(ids[at : at + p.length].tobytes())
+            assert n == 0 or p.length == 1024
+            at += p.length
+        assert at == len(ids)
+    for own in seqs.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert len(seqs) <= -(-sum(p.length for p in rows) // 1024) * 1.02 + 1
+
+
+def test_encoder_remembers_exactly():
+    e, r = packing.Encoder(vocabulary()), random.Random(1)
+    odd = ["", " a", "a  b", "a\n\nb", "x\ty", "<|endoftext|> z", "nb\xa0sp", "don't we'll", "日本語 テスト", "end\n"]
+    texts = odd + ["".join(r.choices("ab c\n.é!", k=40)) for _ in range(200)]
+    assert e(texts) == e.whole(texts) == e(texts)
+
+
+def test_secrets_base_digest(spark):
+    got = {r.doc_id: r for r in op1_secret_scan(spark, SF).collect()}
+    assign = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
+    for row in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        found = [(m.start(), 0, f"assign:{m.start()}:{m.end()}") for m in assign.finditer(row.text) if len(m[1]) >= 12]
+        found += [(m.start(), 1, f"access:{m.start()}:{m.end()}") for m in re.finditer("AKIA[A-Z0-9]+", row.text) if len(m[0]) >= 18]
+        found += [(m.start(), 2, f"hex:{m.start()}:{m.end()}") for m in re.finditer("[0-9a-f]+", row.text) if len(m[0]) >= 16]
+        assert got[row.doc_id].base_sha256 == hashlib.sha256(",".join(x[2] for x in sorted(found)).encode()).hexdigest()
+
+
+def test_markov_models_tell_random_from_named(spark):
+    m = secrets_scan.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    for t in ("wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY", "ghp_16C7e42F292c6912E7710c838347Ae178B4a"):
+        assert m.is_secret(t)
+    for t in ("internationalization-of-things", "MAX_CONNECTION_POOL_SIZE_LIMIT", "getApplicationContextFromRequest"):
+        assert not m.is_secret(t)
+
+
+def test_leaks_are_those_of_brute_force(spark):
+    r = random.Random(3)
+    items = [prose(r, n) for n in (15, 17, 24, 33, 40, 59)]
+    texts = [prose(r, 80) for _ in range(60)]
+    for n, it in enumerate(items):
+        texts[n] = prose(r, 20) + " " + it + " " + prose(r, 30)
+    w = items[5].split()
+    w[-1] = "changed"
+    texts[10] = prose(r, 9) + " " + " ".join(w) + " " + prose(r, 9)
+    w[20:24] = ["much", "more", "is", "new"]
+    texts[11] = " ".join(w)
+    got = {(x.doc_id, x.item_id) for x in decontaminate.find_leaks(frame(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+
+    def like(a, b):
+        s = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+        return len(s(a) & s(b)) / len(s(a) | s(b))
+
+    want = {(d, k) for d, t in enumerate(texts) for k, it in enumerate(items) if any(like(t.split()[i : i + len(it.split())], it.split()) >= 0.8 for i in range(len(t.split()) - len(it.split()) + 1))}
+    assert got == want >= {(n, n) for n in range(6)} | {(10, 5)}
+
+
+def test_all_fingerprints_within_the_radius_are_candidates():
+    rng = np.random.default_rng(0)
+    h = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    items = decontaminate.Items([(0, h[50:70].copy()), (1, h[200:230].copy())])
+    got = {(k, at) for k, at, _ in items.candidates(h)}
+    for k, (prints, keys, _, _) in items.items.items():
+        own = decontaminate.window_fingerprints(decontaminate.sums_of(h, np.int32), k)
+        for p, key in zip(prints, keys, strict=True):
+            near = np.flatnonzero(np.bitwise_count(own ^ p) <= decontaminate.RADIUS)
+            assert {(key, int(i)) for i in near} <= got
+
+
+def brute_components(texts, k, num):
+    def shingle_set(t):
+        w = [x.decode() for x in (t or "").encode().lower().split()]
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} - {()}
+
+    sets, root = [shingle_set(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return [(len(s), find(i)) for i, s in enumerate(sets)]
+
+
+@pytest.mark.parametrize(("k", "num", "seed"), [(3, 90, 1), (5, 80, 2), (3, 100, 3)])
+def test_jaccard_components(spark, k, num, seed):
+    r = random.Random(seed)
+    base = prose(r, 60).split()
+    texts = [None, "", "A b", "a  B", "one two three", prose(r, 5)]
+    for _ in range(70):  # a hot group of near copies of every degree
+        w = list(base)
+        for _ in range(r.randint(0, 5)):
+            w[r.randrange(len(w))] = r.choice(WORDS)
+        texts.append(" ".join(w))
+    passage = prose(r, 25)
+    texts += [prose(r, r.randint(10, 90)) + " " + passage for _ in range(25)]
+    texts += [texts[8]] * 5 + [prose(r, 40) for _ in range(20)]
+    r.shuffle(texts)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.near_duplicates(frame(spark, texts), k, num, 100).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts, k, num)
+
+
+def test_components_of_chains_and_stars(spark):
+    links = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(40)] + [(7, 7), (None, 3)]
+    got = {x.node: x.root for x in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(1, 31)} | {100 + i: 100 for i in range(1, 40)}
+
+
+def test_shards_hold_groups_and_level(spark):
+    r = random.Random(5)
+    texts = [prose(r, int(r.expovariate(0.01)) + 1) for _ in range(1500)] + ["copied text"] * 400
+    rows = sharding.shard_documents(frame(spark, texts), 8).collect()
+    by = {}
+    for x in rows:
+        assert x.size == len(texts[x.doc_id].encode()) + 1 and x.text_crc32 == zlib.crc32(texts[x.doc_id].encode())
+        by.setdefault(x.shard, []).append(x)
+    assert len({x.shard for x in rows if texts[x.doc_id] == "copied text"}) == 1
+    loads = [sum(x.size for x in own) for own in by.values()]
+    assert max(loads) - min(loads) < 0.01 * sum(loads)
+    for own in by.values():
+        assert sorted(x.slot for x in own) == list(range(len(own)))
+
+
+def test_line_dedup_keeps_first_places(spark):
+    r = random.Random(6)
+    line = lambda: prose(r, 11).capitalize() + "."
+    passage = " ".join(line() for _ in range(5))
+    texts = [line() + " " + passage + " " + line(), line() + "\n" + passage, prose(r, 6) + " " + passage + " " + line(), " ".join(line() for _ in range(4)), passage]
+    got = {x.doc_id: x.text for x in line_dedup.dedup_lines(frame(spark, texts)).collect()}
+    assert got[0] == texts[0] and got[3] == texts[3] and got[4] == ""
+    tail = passage.split(". ")
+    assert got[1] == texts[1].split("\n")[0]
+    assert not any(s in got[2] for s in tail[1:]) and got[2].endswith(texts[2].split(". ")[-1])
+
+
+def test_line_dedup_guarantee(spark):
+    """Every window of two blocks that occurred before is gone; what is left holds every line's first place."""
+    r = random.Random(7)
+    pool = [prose(r, r.randint(3, 14)) for _ in range(25)]
+    texts = ["\n".join(r.choice(pool) for _ in range(r.randint(1, 12))) for _ in range(60)]
+    cleaned = {x.doc_id: x for x in line_dedup.dedup_lines(frame(spark, texts)).collect()}
+    seen, kept_lines = set(), set()
+    for d, t in enumerate(texts):
+        lines, n = t.split("\n"), [len(x.split()) for x in t.split("\n")]
+        gone = {i for x in cleaned[d].deleted_lines or [] for i in range(x.s, x.e)}
+        ends = [next((e for e in range(i + 1, len(lines) + 1) if sum(n[i:e]) >= 8), None) for i in range(len(lines))]
+        for i in range(len(lines) - 1):
+            if ends[i] and ends[i + 1]:
+                content = tuple(lines[i : max(ends[i], ends[i + 1])])
+                if (content, ends[i] - i) in seen:
+                    assert set(range(i, max(ends[i], ends[i + 1]))) <= gone, (d, i)
+                seen.add((content, ends[i] - i))
+        kept_lines |= {x for i, x in enumerate(lines) if i not in gone}
+        assert cleaned[d].text == "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    assert kept_lines == {x for t in texts for x in t.split("\n")}
+
+
+def test_patience_alignment():
+    text, template = "x a b q c d a e".split(), "a b c d e".split()
+    pairs = license_scan.align(text, template)
+    assert pairs == sorted(pairs) and all(text[i] == template[j] for i, j in pairs) and len(pairs) == 5
+    assert license_scan.increasing([(0, 3), (1, 1), (2, 2), (3, 0), (4, 4)]) == [(1, 1), (2, 2), (4, 4)]
+
+
+def test_licenses_found_changed_and_repeated(spark):
+    r = random.Random(8)
+    mit = license_scan.TEMPLATES["MIT"]
+    w = mit.split()
+    w[10] = "somebody"
+    texts = [prose(r, 30) + " " + " ".join(w) + " " + prose(r, 10), "Released under the MIT License. " + prose(r, 50) + " Released under the MIT License.", prose(r, 300), " ".join(w[:40])]
+    got = sorted((x.doc_id, x.license, texts[x.doc_id][x.start : x.end][:8]) for x in license_scan.scan_licenses(frame(spark, texts)).collect())
+    assert got == [(0, "MIT", "Permissi"), (1, "MIT line", "Released"), (1, "MIT line", "Released")]
+
+
+def test_toxicity_held_out(spark):
+    r = random.Random(9)
+    bad = ["vexgrub", "snarlop", "krothid"]
+    rows, labels = [], []
+    for i in range(600):
+        toxic = i % 4 == 0
+        w = prose(r, r.randint(5, 120)).split()
+        if toxic:
+            w.insert(r.randrange(len(w)), r.choice(bad))
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame(labels, "doc_id long, label int")
+    out = toxicity.score(docs, toxicity.fit(docs, known.filter("doc_id < 400"))).filter("doc_id >= 400").collect()
+    assert all((x.score >= 0.7) == (x.doc_id % 4 == 0) for x in out)
+
+
+def test_quality_keeps_good_and_draws_k(spark):
+    r = random.Random(10)
+    rows = [(i, " ".join(w + "###" for w in prose(r, 40).split()) if i % 5 == 0 else prose(r, r.randint(20, 200))) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 != 0)) for i in range(300)], "doc_id long, quality int")
+    out = {x.doc_id: x.selected for x in quality.resample(docs, labels).collect()}
+    assert sum(out[i] for i in range(300, 500) if i % 5) >= 158 and not any(out[i] for i in range(300, 500, 5))
+    assert sum(x.selected for x in quality.resample(docs, labels, 123).collect()) == 123
+
+
+def test_top_k_breaks_ties_by_id(spark):
+    rows = spark.createDataFrame([(i, float(i % 3)) for i in range(90)], "doc_id long, x double")
+    got = sorted(x.doc_id for x in quality.top_k(rows, "x", 40, "doc_id").filter("selected").collect())
+    assert got == sorted([i for i in range(90) if i % 3 == 2] + [1 + 3 * i for i in range(10)])
+    many = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit(1.0).alias("x"))
+    assert quality.top_k(many, "x", 17_000, "doc_id").filter("selected").agg(F.max("doc_id"), F.count("*")).first() == (16_999, 17_000)
+
+
+def test_search_is_exact(spark):
+    v = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", topk_search.quantised("embedding").alias("v"))
+    rows = {r.vec_id: np.array(r.v) for r in v.collect()}
+    want = set()
+    for q in [q for q in rows if q % 100 == 0]:
+        best = sorted(((-int(rows[q] @ x), i) for i, x in rows.items() if i != q))[:10]
+        want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
+    assert {tuple(r) for r in op9_exact_top_k(spark, SF).collect()} == want
+
+
+def test_index_stops_only_on_proof():
+    rng = np.random.default_rng(2)
+    x = np.vstack([rng.integers(-300, 300, (4000, 12)), np.repeat(rng.integers(-300, 300, (1, 12)), 500, 0)])
+    index = topk_search.Index(np.arange(len(x)), x)
+    for q in rng.integers(-300, 300, (20, 12)):
+        ids, scores = index.search(q, 10, 5)
+        want = sorted(((-int(q @ v), i) for i, v in enumerate(x) if i != 5))[:10]
+        assert list(zip((-scores).tolist(), ids.tolist(), strict=True)) == want
+
+
+def test_word_hashes_of_long_and_mixed_texts():
+    import pyarrow as pa
+
+    texts = ["A b", None, "", "b A " * 700_000, "ab c", "c\x0bD"]
+    got = [h[b[r] : b[r + 1]] for i, j, h, b in word_hashes(pa.array(texts)) for r in range(j - i)]
+    assert [len(x) for x in got] == [2, 0, 0, 1_400_000, 2, 2]
+    assert (got[3].reshape(-1, 2) == got[0][::-1]).all() and got[4][1] == got[5][0]
+    assert len(shingles(got[0], 3)) == 1 and len(shingles(got[1], 3)) == 0
