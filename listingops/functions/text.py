@@ -9,6 +9,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 from listingops.functions.numbers import ean_valid
 from listingops.sources import dims
@@ -27,13 +28,13 @@ def plain(x: Column) -> Column:
     return F.translate(x, dims.LATIN_FROM, dims.LATIN_TO)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_accents(x: pd.Series) -> pd.Series:
     """Text without any combining mark (NFKD), for scripts that the Latin table leaves out."""
     return x.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Sequence-matching ratio of two texts, case ignored; null where either is."""
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x.strip().lower(), y.strip().lower()).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")

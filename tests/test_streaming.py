@@ -1,0 +1,69 @@
+"""Streams give what the batch operators give."""
+
+from datetime import datetime, timedelta
+
+from pyspark.sql import functions as F
+
+from listingops.operators import grouping
+from listingops.streaming import streams
+
+START = datetime(2026, 5, 1, 10)
+
+
+def drained(spark, stream, name, tmp_path, mode="append"):
+    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / f"cp_{name}")).start()
+    q.processAllAvailable()
+    q.stop()
+    return spark.table(name)
+
+
+def source(spark, rows, schema, folder):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
+    return spark.readStream.schema(schema).parquet(str(folder))
+
+
+def test_sessions_equal_groups(spark, tmp_path):
+    times = [0, 14.9, 29.9, 40, 100, 114, 129]
+    rows = [("a", n, START + timedelta(seconds=s)) for n, s in enumerate(times)]
+    s = source(spark, [*rows, ("z", 99, START + timedelta(hours=2))], "lot_id string, photo_id long, captured_at timestamp", tmp_path / "p")
+    got = sorted((r.started_at, r.size) for r in drained(spark, streams.gap_groups(s), "gaps", tmp_path).filter("lot_id = 'a'").collect())
+    batch = spark.createDataFrame([(*r, f"{r[1]}", True, None) for r in rows], "lot_id string, photo_id long, captured_at timestamp, name string, readable boolean, read_error string")
+    assert got == sorted((r.started_at, r.size) for r in grouping.group_photos(batch).collect())
+
+
+def test_repeats_are_dropped(spark, tmp_path):
+    rows = [(1, "x", "a", "h1", START), (2, "x", "a", "h1", START), (3, "x", "b", None, START), (4, "x", "c", None, START)]
+    s = source(spark, rows, "photo_id long, lot_id string, path string, sha256 string, arrived_at timestamp", tmp_path / "p")
+    assert drained(spark, streams.first_contents(s), "contents", tmp_path).count() == 3
+    assert drained(spark, streams.first_paths(s), "paths", tmp_path).count() == 3
+
+
+def test_ledger_changes_sum_to_totals(spark, tmp_path):
+    rows = [("p", 1, "cost", None, 500), ("p", 2, "sold", 2000, None), ("p", 3, "cost", None, 900), ("p", 4, "sold", 2500, None), ("q", 1, "undo_sale", None, None), ("r", 1, "sold", 700, None), ("r", 2, "returned", None, None), ("s", 1, "sold", 100, None), ("s", 2, "undo_sale", None, None)]
+    s = source(spark, rows, "product_id string, seq long, type string, price_cents long, cost_cents long", tmp_path / "e")
+    out = drained(spark, streams.ledger_changes(s), "changes", tmp_path)
+    assert tuple(streams.live_totals(out).first()) == (2500, 2000, 1)
+    assert [r.reject for r in out.filter("product_id = 'q'").collect()] == ["no_sale"]
+
+
+def test_references_and_late_photos(spark, tmp_path):
+    write = streams.reference_writer(str(tmp_path / "refs"))
+    batch = spark.createDataFrame([("a", START), ("b", START + timedelta(1))], "product_id string, confirmed_at timestamp")
+    write(batch, 0)
+    write(batch, 0)
+    write(batch.union(spark.createDataFrame([("c", START)], batch.schema)), 1)
+    assert {r.product_id: r.n for r in spark.read.parquet(str(tmp_path / "refs")).collect()} == {"a": 1, "b": 2, "c": 3}
+    spark.createDataFrame([("x", START)], "lot_id string, ended_at timestamp").write.parquet(str(tmp_path / "closed"))
+    put = streams.late_writer(str(tmp_path / "closed"), str(tmp_path / "late"), str(tmp_path / "kept"))
+    put(spark.createDataFrame([("x", 1, START), ("x", 2, START + timedelta(1)), ("y", 3, START)], "lot_id string, photo_id long, captured_at timestamp"), 0)
+    assert [r.photo_id for r in spark.read.parquet(str(tmp_path / "late")).collect()] == [1]
+    assert spark.read.parquet(str(tmp_path / "kept")).count() == 2
+
+
+def test_violations_and_usage(spark, tmp_path):
+    t = source(spark, [(1, "vinted", "title", None, "abc"), (2, "vinted", "title", None, "buena camiseta")], "text_id long, platform string, field string, brand string, text string", tmp_path / "t")
+    assert [r.text_id for r in drained(spark, streams.live_violations(t), "codes", tmp_path).collect()] == [1]
+    u = source(spark, [("p", "m", 10, 1, 0, False), ("p", "m", 10, 1, 0, True)], "product_id string, model string, tokens_in long, tokens_out long, cache_read long, cached boolean", tmp_path / "u")
+    prices = spark.createDataFrame([("m", 1.0, 5.0)], "model string, price_in double, price_out double")
+    r = drained(spark, streams.live_usage(u, prices, ["product_id"]), "usage", tmp_path, "complete").first()
+    assert (r.calls, r.hits, r.tokens_in) == (1, 1, 10) and F.col is not None
