@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from listingops.operators.ledger import assign_references
 from listingops.operators.listings import text_violations
@@ -43,7 +43,7 @@ def first_paths(photos: DataFrame, lateness: str = LATENESS) -> DataFrame:
 
 
 LEDGER_OUT = "product_id string, seq bigint, state string, price_cents bigint, cost_cents bigint, sold_delta bigint, profit_delta bigint, reject string"
-LEDGER_STATE = StructType.fromDDL("cost bigint, sold boolean, state string, price bigint, snap bigint")
+LEDGER_STATE = StructType([StructField("cost", LongType()), StructField("sold", BooleanType()), StructField("state", StringType()), StructField("price", LongType()), StructField("snap", LongType())])
 
 
 class LedgerProcessor(StatefulProcessor):
