@@ -22,10 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listingops.llm.common import ship, written
+from listingops.llm.common import if_small, ship, written
 from listingops.llm.words import BASE, buffers_of, hashes_of_block, mixed, powers, runs
 
 U = np.uint64
+BROADCAST_DOCUMENTS = 200_000  # with deletions; more are joined by a shuffle of the texts
 STOP = np.zeros(256, dtype=bool)
 STOP[list(b".!?")] = True
 
@@ -145,29 +146,32 @@ def repeated_runs(docs: DataFrame, min_words: int = 8, window: int = 2) -> DataF
     key is a hash of the text: rows equal in doc_id and text are one document. Null texts and doc_ids take no part.
     """
     own = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-    table = written(_fingerprinted(own, min_words, window), "lines").dropDuplicates(["doc_id", "key"])
+    table = written(_fingerprinted(own, min_words, window), "lines")
+    if not table.groupBy("doc_id", "key").count().filter("count > 1").isEmpty():
+        table = table.dropDuplicates(["doc_id", "key"])
     marks = table.select("doc_id", "key", F.explode(F.arrays_zip("at", "fingerprints", "windows")).alias("m")).select("doc_id", "key", F.col("m.at").alias("at"), F.col("m.fingerprints").alias("f"), F.col("m.windows").alias("w"))
     often = marks.groupBy("f").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("f")
     shared = written(marks.join(often, "f"), "marks")
     place = F.struct("doc_id", "key", "at")
-    pairs = None
-    for c in ("f", "w"):
-        first = shared.groupBy(c).agg(F.min(place).alias("first"))
-        found = shared.join(first, c).filter(place > F.col("first"))
-        found = found.select("doc_id", "key", "at", F.col("first.doc_id").alias("b_id"), F.col("first.key").alias("b_key"), (F.col("at") - F.col("first.at")).alias("diagonal"))
-        pairs = found if pairs is None else pairs.union(found)
-    runs = pairs.groupBy("doc_id", "key", "b_id", "b_key", "diagonal").agg(F.collect_set("at").alias("at"))  # no more than a document's lines
+    first = {c: shared.groupBy(c).agg(F.min(place).alias(f"first_{c}")) for c in ("f", "w")}
+    found = shared.join(first["f"], "f").join(first["w"], "w")
+    # a window's own first place covers its selected block; the block's first place serves where the window has none
+    found = found.withColumn("first", F.when(place > F.col("first_w"), F.col("first_w")).when(place > F.col("first_f"), F.col("first_f"))).filter("first IS NOT NULL")
+    pairs = found.select("doc_id", "key", "at", F.col("first.doc_id").alias("b_id"), F.col("first.key").alias("b_key"), (F.col("at") - F.col("first.at")).alias("diagonal"))
+    runs = pairs.groupBy("doc_id", "key", "b_id", "b_key").agg(F.collect_set(F.struct("diagonal", "at")).alias("places"))  # no more than a document's lines
     a = table.select("doc_id", "key", F.col("lines").alias("a"))
     b = table.select(F.col("doc_id").alias("b_id"), F.col("key").alias("b_key"), F.col("lines").alias("b"))
-    both = runs.join(b, ["b_id", "b_key"]).join(a, ["doc_id", "key"]).select("doc_id", "key", "diagonal", "at", "a", "b")
+    both = runs.join(b, ["b_id", "b_key"]).join(a, ["doc_id", "key"]).select("doc_id", "key", "places", "a", "b")
     schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_lines", pa.int32()), ("s", pa.int32()), ("e", pa.int32())])
 
     def extend(batches):
         for batch in batches:
             out = []
-            for d, k, g, at, x, y in zip(*(batch.column(c) for c in range(6)), strict=True):
+            for d, k, places, x, y in zip(*(batch.column(c) for c in range(5)), strict=True):
                 x, y = x.values.to_numpy(), y.values.to_numpy()
-                out += [(d.as_py(), k.as_py(), len(x), s, e) for s, e in _extended(x, y, g.as_py(), np.sort(at.values.to_numpy()))]
+                g, at = (places.values.field(i).to_numpy() for i in (0, 1))
+                for diagonal in np.unique(g):
+                    out += [(d.as_py(), k.as_py(), len(x), s, e) for s, e in _extended(x, y, int(diagonal), np.sort(at[g == diagonal]))]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema, strict=True)], schema=schema)
 
@@ -200,6 +204,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 8, window: int = 2) -> DataFra
     deleted_lines is replaced.
     """
     runs = repeated_runs(docs, min_words, window).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("deleted").alias("_deleted"))
+    runs = if_small(written(runs, "deleted"), BROADCAST_DOCUMENTS)
     joined = docs.join(runs, (F.col("doc_id").cast("long") == F.col("_d")) & (F.xxhash64("text") == F.col("_k")), "left")
 
     @F.pandas_udf("string")
