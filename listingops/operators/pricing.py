@@ -65,12 +65,13 @@ def comparables(listings: DataFrame) -> DataFrame:
 
 
 def value_queries(queries: DataFrame, listings: DataFrame) -> DataFrame:
-    """queries(..., terms) with n, median, least, most, reason and comparables; no figure under five comparables."""
-    first = comparables(listings).groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.median("price").alias("_m"), F.min("price").alias("_l"), F.max("price").alias("_h"), F.array_sort(F.collect_list(F.struct("rank", "url", "price", "title"))).alias("comparables"))
+    """queries(..., terms) with n, median, least, most, reason and comparables; no figure under five comparables. Prices count
+    in whole cents."""
+    first = comparables(listings).groupBy("query").agg(F.count(F.lit(1)).alias("n"), *(f(F.rint(F.col("price") * 100)).alias(c) for f, c in ((F.median, "_m"), (F.min, "_l"), (F.max, "_h"))), F.array_sort(F.collect_list(F.struct("rank", "url", "price", "title"))).alias("comparables"))
     rows = queries.join(first, queries["terms"] == first["query"], "left").drop("query")
     rows = rows.withColumn("n", F.coalesce("n", F.lit(0)))
     enough = F.col("n") >= dims.LEAST_COMPARABLES
-    rounded = lambda c: F.when(enough, F.round(c, 2))
+    rounded = lambda c: F.when(enough, F.floor(F.col(c) + 0.5) / 100)  # noqa: E731  half a cent goes up
     reason = F.when(enough, "median_asked").otherwise("too_few")
     return rows.withColumn("median", rounded("_m")).withColumn("least", rounded("_l")).withColumn("most", rounded("_h")).withColumn("reason", reason).drop("_m", "_l", "_h")
 

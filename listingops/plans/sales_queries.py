@@ -16,9 +16,9 @@ WITH attr AS (
     CASE WHEN p_partkey % 7 <> 0 THEN p_type END AS tipo, CASE WHEN p_partkey % 11 <> 0 THEN CAST(p_size AS VARCHAR) END AS talla FROM part)
 """
 LISTINGS = """
-, lst AS (SELECT p_brand || ' ' || p_type AS query, l_orderkey * 10 + l_linenumber AS rank, l_orderkey || '-' || l_linenumber AS url, round(l_extendedprice / l_quantity, 2) AS price, p_name AS title FROM lineitem JOIN part ON l_partkey = p_partkey),
+, lst AS (SELECT p_brand || ' ' || p_type AS query, l_orderkey * 10 + l_linenumber AS rank, l_orderkey || '-' || l_linenumber AS url, floor(l_extendedprice * 100 / l_quantity + 0.5) / 100 AS price, p_name AS title FROM lineitem JOIN part ON l_partkey = p_partkey),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank, url) AS k FROM lst WHERE price > 0) WHERE k <= 15),
-val AS (SELECT query, count(*) AS n, round(median(price), 2) AS median, min(price) AS least, max(price) AS most FROM top GROUP BY query)
+val AS (SELECT query, count(*) AS n, floor(median(round_even(price * 100, 0)) + 0.5) / 100 AS median, min(price) AS least, max(price) AS most FROM top GROUP BY query)
 """
 VARIANTS = """
 , var AS (

@@ -32,7 +32,7 @@ def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def comparables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as listings of their part's brand and type, ranked by order and line."""
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    price = F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2)
+    price = F.floor(F.col("l_extendedprice") * 100 / F.col("l_quantity") + 0.5) / 100
     return rows.select(F.concat_ws(" ", "p_brand", "p_type").alias("query"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("rank"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("url"), price.alias("price"), F.col("p_name").alias("title"))
 
 

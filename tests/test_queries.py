@@ -21,7 +21,7 @@ def duck():
 
 def rows(df: pd.DataFrame) -> list:
     def cell(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return ""
         if isinstance(v, float):
             return f"{v:.5f}".rstrip("0").rstrip(".")
