@@ -3,13 +3,15 @@
 A line ends at a line feed, or at a word that ends in . ! or ? before a blank, so that running prose has lines too. A block is the shortest
 run of lines, from one line on, of at least min_words words. Winnowing selects in each window of `window` consecutive
 blocks the one of least hash, so that any repeated run of that many blocks has a selected block in common, whatever
-surrounds it. Selected blocks are joined by their own hash and by the hashes of the windows that selected them, each to
+surrounds it. Blocks of long_words words or more are selected besides, in any window, so that a repeated run of one
+such block, as a single long line or sentence is, is found too. Selected blocks are joined by their own hash and by the hashes of the windows that selected them, each to
 its first place by (doc_id, text key, line). From each such pair of places the match is extended line by line both
 ways, and the later run is deleted.
 
-What is guaranteed: every line of a run of `window` blocks or more that occurs before (in an earlier document, or
-earlier in its own) is deleted, and the first place of any line stays. Shorter runs, down to one block, go where
-winnowing selected them.
+What is guaranteed: every line of a run of `window` blocks or more, or of one block of long_words words or more, that
+occurs before (in an earlier document, or earlier in its own) is deleted, and the first place of any line stays. Only
+whole lines are deleted: a passage that starts or ends inside a line loses the whole lines within it. Runs of fewer
+blocks, all under long_words words, go where winnowing selected them.
 """
 
 from __future__ import annotations
@@ -68,19 +70,20 @@ def _ranged(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         return mixed((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64))
 
 
-def blocks(lines: Lines, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(line, hash) of the block that starts at each line, where the text has enough words from there on."""
+def blocks(lines: Lines, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, hash, words) of the block that starts at each line, where the text has enough words from there on."""
     words = np.concatenate(([0], np.cumsum(lines.words)))
     end = np.searchsorted(words, words[:-1] + min_words)
     text_end = np.repeat(lines.bounds[1:], np.diff(lines.bounds))
     at = np.flatnonzero(end <= text_end)
-    return at, _ranged(lines.hashes, at, end[at])
+    return at, _ranged(lines.hashes, at, end[at]), words[end[at]] - words[at]
 
 
-def winnowed(at: np.ndarray, b: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def winnowed(at: np.ndarray, b: np.ndarray, long: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(line, its block's hash, hash of the window that selected it) of every window of consecutive blocks of a text.
 
-    A text with fewer blocks than a window has one window of them all.
+    A text with fewer blocks than a window has one window of them all. A long block that no window selects is a window
+    of its own.
     """
     parts = []
     text = np.searchsorted(bounds, at, side="right")  # blocks of a text start at consecutive lines
@@ -99,8 +102,12 @@ def winnowed(at: np.ndarray, b: np.ndarray, bounds: np.ndarray, window: int) ->
             for j in range(w):
                 key = key * BASE + view[i, j]
         parts.append((at[pick], b[pick], mixed(key)))
+        long[pick] = False
     if not parts:
         return at, b, b
+    own = np.flatnonzero(long)
+    with np.errstate(over="ignore"):
+        parts.append((at[own], b[own], mixed(BASE + b[own])))
     out = tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     by = np.argsort(out[0], kind="stable")
     return out[0][by], out[1][by], out[2][by]
@@ -109,7 +116,7 @@ def winnowed(at: np.ndarray, b: np.ndarray, bounds: np.ndarray, window: int) ->
 LINES = "doc_id long, key long, lines array<long>, at array<int>, fingerprints array<long>, windows array<long>"
 
 
-def _fingerprinted(docs: DataFrame, min_words: int, window: int) -> DataFrame:
+def _fingerprinted(docs: DataFrame, min_words: int, window: int, long_words: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("lines", pa.list_(pa.int64())), ("at", pa.list_(pa.int32())), ("fingerprints", pa.list_(pa.int64())), ("windows", pa.list_(pa.int64()))])
 
     def lists(flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -121,7 +128,8 @@ def _fingerprinted(docs: DataFrame, min_words: int, window: int) -> DataFrame:
             for i, j in runs(offsets):
                 off = offsets[i : j + 1] - offsets[i]
                 lines = lines_of(data[offsets[i] : offsets[j]], off)
-                at, f, w = winnowed(*blocks(lines, min_words), lines.bounds, window)
+                at, b, n = blocks(lines, min_words)
+                at, f, w = winnowed(at, b, n >= long_words, lines.bounds, window)
                 cut = np.searchsorted(at, lines.bounds)
                 at = at - np.repeat(lines.bounds[:-1], np.diff(cut))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), lists(lines.hashes, lines.bounds), lists(at, cut), lists(f, cut), lists(w, cut)], schema=schema)
@@ -140,13 +148,13 @@ def _extended(a: np.ndarray, b: np.ndarray, diagonal: int, at: np.ndarray) -> li
     return [(int(starts[i]), int(ends[i])) for i in hit if i >= 0]
 
 
-def repeated_runs(docs: DataFrame, min_words: int = 8, window: int = 2) -> DataFrame:
+def repeated_runs(docs: DataFrame, min_words: int = 8, window: int = 2, long_words: int = 20) -> DataFrame:
     """doc_id, key, n_lines and deleted array<struct<s,e>> (line ranges, sorted, disjoint) of documents with repeats.
 
     key is a hash of the text: rows equal in doc_id and text are one document. Null texts and doc_ids take no part.
     """
     own = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-    table = written(_fingerprinted(own, min_words, window), "lines")
+    table = written(_fingerprinted(own, min_words, window, long_words), "lines")
     if not table.groupBy("doc_id", "key").count().filter("count > 1").isEmpty():
         table = table.dropDuplicates(["doc_id", "key"])
     marks = table.select("doc_id", "key", F.explode(F.arrays_zip("at", "fingerprints", "windows")).alias("m")).select("doc_id", "key", F.col("m.at").alias("at"), F.col("m.fingerprints").alias("f"), F.col("m.windows").alias("w"))
@@ -196,14 +204,14 @@ def without(text: str, deleted: list[tuple[int, int]]) -> str:
     return b"".join(raw[lines.starts[i] : e] for i, e in zip(kept, ends, strict=True)).decode("utf-8", "surrogatepass")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 8, window: int = 2) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = 8, window: int = 2, long_words: int = 20) -> DataFrame:
     """docs with text cleaned of later repeated runs, and deleted_lines (line ranges; null where nothing went).
 
     Every row and column stays, also rows with a null text or doc_id, which are left as they are; a document that is
     all repeats has an empty text. Rows equal in doc_id and text are cleaned alike. A column of docs that is named
     deleted_lines is replaced.
     """
-    runs = repeated_runs(docs, min_words, window).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("deleted").alias("_deleted"))
+    runs = repeated_runs(docs, min_words, window, long_words).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("deleted").alias("_deleted"))
     runs = if_small(written(runs, "deleted"), BROADCAST_DOCUMENTS)
     joined = docs.join(runs, (F.col("doc_id").cast("long") == F.col("_d")) & (F.xxhash64("text") == F.col("_k")), "left")
 

@@ -219,6 +219,35 @@ def test_line_dedup_guarantee(spark):
     assert kept_lines == {x for t in texts for x in t.split("\n")}
 
 
+def test_line_dedup_of_single_long_lines(spark):
+    """Every block of 20 words or more that occurred before is gone, whatever its neighbours; first places stay."""
+    r = random.Random(11)
+    line = lambda n: prose(r, n).capitalize() + "."
+    one = [line(51) for _ in range(30)]  # one line
+    two = [(line(25), line(26)) for _ in range(30)]  # 51 words from the middle of a line on: the first is glued
+    short = [(line(46), line(5)) for _ in range(30)]  # the second runs on into foreign text
+    texts = []
+    for _ in range(3):
+        for a, (b, c), (d, e) in zip(one, two, short, strict=True):
+            texts += [f"{line(9)} {a} {line(12)}", f"{line(9)} {prose(r, 4)} {b} {c} {line(12)}", f"{line(9)} {d} {e} {line(12)}"]
+    got = {x.doc_id: x for x in line_dedup.dedup_lines(frame(spark, texts)).collect()}
+    seen, lost, lines_seen, lines_kept = set(), [], set(), set()
+    for i, t in enumerate(texts):
+        lines = [x + "." for x in t.rstrip(".").split(". ")]
+        gone = {n for x in got[i].deleted_lines or [] for n in range(x.s, x.e)}
+        for n in range(len(lines)):
+            e = next((e for e in range(n + 1, len(lines) + 1) if sum(len(x.split()) for x in lines[n:e]) >= 8), None)
+            block = tuple(lines[n:e])
+            if e and sum(len(x.split()) for x in block) >= 20:
+                if block in seen and not set(range(n, e)) <= gone:
+                    lost.append((i, n))
+                seen.add(block)
+        lines_seen |= set(lines)
+        lines_kept |= {x for n, x in enumerate(lines) if n not in gone}
+    assert not lost and lines_kept == lines_seen
+    assert all(x not in got[i].text for k, own in enumerate(zip(one, (c for _, c in two), (d for d, _ in short), strict=True)) for m, x in enumerate(own) for i in (3 * k + m + 90, 3 * k + m + 180))
+
+
 def test_patience_alignment():
     text, template = "x a b q c d a e".split(), "a b c d e".split()
     pairs = license_scan.align(text, template)
