@@ -4,12 +4,16 @@ Each benchmark item's words make one 64-bit SimHash. Every window of as many wor
 sums that slide. So that items of many sizes need few passes over a text, sizes are rounded down by less than an eighth:
 the item's first words of that number are its fingerprint; comparison is over its whole size. The fingerprint is cut into four blocks of 16 bits; an index holds each item's blocks and all blocks
 one bit away. Two fingerprints at most RADIUS = 7 bits apart agree in some block up to one bit, so no pair within the
-radius is missed. Candidates are then compared exactly: weighted Jaccard similarity of their five-word shingles, each
+radius is missed. No radius holds all that the threshold accepts: a change of one word can turn many bits of a short
+item, and words of small weight may change at will. So a second index holds of each item the heaviest shingles that
+weigh more than a similar window may lack together. Every window that is similar enough has one of them, and all windows
+around such a place are candidates. Candidates are then compared exactly: weighted Jaccard similarity of their five-word shingles, each
 with its multiplicity and a weight of 1 / (benchmark items that hold it).
 """
 
 from __future__ import annotations
 
+import bisect
 from collections import Counter
 
 import numpy as np
@@ -23,6 +27,7 @@ from listingops.llm.words import shingles, word_hashes
 RADIUS, BLOCKS, BLOCK_BITS, SHINGLE = 7, 4, 16, 5
 ITEMS_A_PASS = 5_000
 STEP = 4096  # words whose sums are held at once
+SIEVE = np.uint64((1 << 20) - 1)  # bits of a shingle that are looked up first
 
 
 def sums_of(h: np.ndarray, kind: type) -> np.ndarray:
@@ -50,7 +55,7 @@ def simhash(h: np.ndarray) -> np.uint64:
 class Items:
     """The benchmark items of one pass by size, with their block indexes."""
 
-    def __init__(self, rows: list[tuple[int, np.ndarray]]):
+    def __init__(self, rows: list[tuple[int, np.ndarray]], least: float = 0.8):
         shingled = {k: Counter(shingles(h, SHINGLE).tolist()) for k, h in rows}
         held = Counter(s for c in shingled.values() for s in c)
         self.weight = {s: 1.0 / n for s, n in held.items()}
@@ -71,6 +76,22 @@ class Items:
             for b, part in enumerate(prints.view(np.uint16).reshape(-1, BLOCKS).T):
                 self.tables[n // 8, b, (part[:, None] ^ near[None, :]).ravel()] |= bit
             self.items[size] = (prints, [k for k, _ in own], self.tables[n // 8], bit)
+        self.least = least
+        self.total: dict[int, float] = {}
+        self.needed: dict[int, dict[int, list[int]]] = {}  # by words of a shingle: the items that need it or another of theirs
+        for k, own in shingled.items():
+            weighed = sorted(((self.weight.get(s, 1.0) * n, s) for s, n in own.items()), key=lambda x: (-x[0], x[1]))
+            self.total[k], lacking = sum(w for w, _ in weighed), 0.0
+            by = self.needed.setdefault(min(self.size[k], SHINGLE), {})
+            for w, s in weighed:
+                by.setdefault(s, []).append(k)
+                lacking += w
+                if lacking > (1 - least) * self.total[k] + 1e-9:
+                    break
+        self.sieves = {}
+        for m, by in self.needed.items():
+            self.sieves[m] = np.zeros(int(SIEVE) + 1, dtype=bool)
+            self.sieves[m][(np.fromiter(by, np.uint64, len(by)) & SIEVE).astype(np.int64)] = True
 
     def similarity(self, item: int, window: Counter) -> float:
         own = self.shingles[item]
@@ -103,26 +124,60 @@ class Items:
                         out += [(keys[j], low + int(at[i]), size) for i, j in zip(*np.nonzero(near), strict=True)]
         return out
 
+    def around_needed(self, h: np.ndarray, bounds: np.ndarray) -> set[tuple[int, int]]:
+        """(item, position) of all windows that hold a needed shingle and enough weight of the item's shingles.
+
+        A window has as many words as the item, or fewer at its text's end.
+        """
+        out: set[tuple[int, int]] = set()
+        for m, by in self.needed.items():
+            if not m or len(h) < m:
+                continue
+            x = shingles(h, m)
+            at = np.flatnonzero(self.sieves[m].take((x & SIEVE).astype(np.int64)))
+            text = np.searchsorted(bounds, at, side="right") - 1
+            inside = at + m <= bounds[text + 1]
+            hits: dict[tuple[int, int], list[list[int]]] = {}
+            for p, t in zip(at[inside].tolist(), text[inside].tolist(), strict=True):
+                for k in by.get(int(x[p]), ()):
+                    groups = hits.setdefault((t, k), [])
+                    if groups and p - groups[-1][1] < self.size[k]:
+                        groups[-1][1] = p
+                    else:
+                        groups.append([p, p])
+            for (t, k), groups in hits.items():
+                n, own, end = self.size[k], self.shingles[k], int(bounds[t + 1])
+                for p, q in groups:
+                    low = max(int(bounds[t]), p - n + m)
+                    w = [self.weight.get(s, 1.0) if s in own else 0.0 for s in x[low : min(q + n, end) - m + 1].tolist()]
+                    sums, start = np.concatenate(([0.0], np.cumsum(w))), np.arange(low, q + 1)
+                    held = sums[np.minimum(start + n, end) - m + 1 - low] - sums[start - low]
+                    out.update((k, i) for i in start[held >= self.least * self.total[k] - 1e-6].tolist())
+        return out
+
     def matches(self, h: np.ndarray, bounds: np.ndarray, least: float) -> list[tuple[int, int, int, int, float]]:
         """(text, item, position, size, similarity) in the texts with the words h[bounds[t] : bounds[t + 1]].
 
-        Of overlapping windows of one item: the most similar, then the first. No window crosses a text's end.
+        Of overlapping windows of one item: the most similar, then the first. No window crosses a text's end: there, and
+        in a text shorter than the item, it has the words that are left.
         """
-        best: list[tuple[int, int, int, int, float]] = []
-        for k, at, size in sorted(self.candidates(h)):
-            t = int(np.searchsorted(bounds, at, side="right")) - 1
-            if at + size > bounds[t + 1]:
-                continue
+        text_of = lambda at: int(np.searchsorted(bounds, at, side="right")) - 1
+        near = {(k, at) for k, at, size in self.candidates(h) if at + size <= bounds[text_of(at) + 1]}
+        found: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
+        for k, at in near | self.around_needed(h, bounds):
+            t = text_of(at)
             size = int(min(self.size[k], bounds[t + 1] - at))
             x = self.similarity(k, Counter(shingles(h[at : at + size], SHINGLE).tolist()))
-            if x < least:
-                continue
-            at -= int(bounds[t])
-            if best and best[-1][:2] == (t, k) and at < best[-1][2] + size:
-                if x > best[-1][4]:
-                    best[-1] = (t, k, at, size, x)
-            else:
-                best.append((t, k, at, size, x))
+            if x >= least:
+                found.setdefault((t, k), []).append((-x, at - int(bounds[t]), size))
+        best: list[tuple[int, int, int, int, float]] = []
+        for (t, k), own in sorted(found.items()):
+            taken: list[tuple[int, int]] = []  # start and end, disjoint, sorted
+            for x, at, size in sorted(own):
+                i = bisect.bisect(taken, (at, at))
+                if (i == 0 or taken[i - 1][1] <= at) and (i == len(taken) or at + size <= taken[i][0]):
+                    taken.insert(i, (at, at + size))
+                    best.append((t, k, at, size, -x))
         return best
 
 
@@ -131,8 +186,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, items_
     benchmark(item_id, text) with a similarity of at least `least`. start counts words from 0.
 
     Documents are never shuffled. The benchmark is sent to the tasks items_a_pass items at a time; a larger one takes
-    more passes. Null and empty texts and items match nothing, texts shorter than an item don't match it; repeated rows
-    match each; other columns are ignored.
+    more passes. Null and empty texts and items match nothing, a text shorter than an item is held against it whole;
+    repeated rows match each; other columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -154,7 +209,7 @@ def _scan(docs: DataFrame, rows: list[tuple[int, np.ndarray]], keys: list[int],
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int32()), ("n_words", pa.int32()), ("similarity", pa.float64())])
 
     def run(batches):
-        items = Items(held.value)
+        items = Items(held.value, least)
         for batch in batches:
             ids, out = batch.column(0), []
             for i, _, h, bounds in word_hashes(batch.column(1)):

@@ -114,6 +114,36 @@ def test_leaks_are_those_of_brute_force(spark):
     assert got == want >= {(n, n) for n in range(6)} | {(10, 5)}
 
 
+def similarity(a, b, held):
+    """Weighted Jaccard similarity of the five-word shingles of two lists of words."""
+    from collections import Counter
+
+    x, y = (Counter(tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))) for t in (a, b))
+    w = lambda s: 1 / held.get(s, 1)
+    return sum(w(s) * min(x[s], y[s]) for s in x | y) / sum(w(s) * max(x[s], y[s]) for s in x | y)
+
+
+def test_leaks_with_edited_edges_and_ends(spark):
+    """Items of 15 to 59 words, edited at either edge, in long texts and alone: as brute force over all windows."""
+    r = random.Random(12)
+    items = [prose(r, n).split() for n in range(15, 60) for _ in range(2)]
+    new = lambda n: ["new"] * n
+    edits = [lambda w: new(1) + w[1:], lambda w: new(2) + w[2:], lambda w: w[1:], lambda w: w[2:], lambda w: w[:-1], lambda w: w[:-2], lambda w: w[:-1] + new(1), lambda w: w[:3] + new(1) + w[4:]]
+    texts = [(k, around(f(w))) for k, w in enumerate(items) for f in edits for around in (lambda w: w, lambda w: prose(r, 9).split() + w, lambda w: prose(r, 7).split() + w + prose(r, 8).split())]
+    want = {(d, k) for d, (k, t) in enumerate(texts) if any(similarity(t[i : i + len(items[k])], items[k], {}) >= 0.8 for i in range(len(t)))}
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.find_leaks(frame(spark, [" ".join(t) for _, t in texts]), bench).collect()}
+    assert len(want) > 1000 and got == want
+
+
+def test_adjacent_leaks_are_both_found(spark):
+    r = random.Random(13)
+    w = prose(r, 30).split()
+    text = " ".join(["new", *w[1:], *w])
+    got = decontaminate.find_leaks(frame(spark, [text]), spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")).collect()
+    assert sorted((x.start, x.n_words) for x in got) == [(0, 30), (30, 30)]
+
+
 def test_all_fingerprints_within_the_radius_are_candidates():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
