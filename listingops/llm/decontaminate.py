@@ -8,7 +8,7 @@ radius is missed. No radius holds all that the threshold accepts: a change of on
 item, and words of small weight may change at will. So a second index holds of each item the heaviest shingles that
 weigh more than a similar window may lack together. Every window that is similar enough has one of them, and all windows
 around such a place are candidates. Candidates are then compared exactly: weighted Jaccard similarity of their five-word shingles, each
-with its multiplicity and a weight of 1 / (benchmark items that hold it).
+with its multiplicity and a weight of 1 / (items of the whole benchmark that hold it).
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,9 +56,10 @@ def simhash(h: np.ndarray) -> np.uint64:
 class Items:
     """The benchmark items of one pass by size, with their block indexes."""
 
-    def __init__(self, rows: list[tuple[int, np.ndarray]], least: float = 0.8):
+    def __init__(self, rows: list[tuple[int, np.ndarray]], least: float = 0.8, shared: dict[int, int] | None = None):
+        """shared: the number of items of the whole benchmark that hold a shingle, where it is more than one."""
         shingled = {k: Counter(shingles(h, SHINGLE).tolist()) for k, h in rows}
-        held = Counter(s for c in shingled.values() for s in c)
+        held = Counter(s for c in shingled.values() for s in c) if shared is None else shared
         self.weight = {s: 1.0 / n for s, n in held.items()}
         self.items: dict[int, tuple[np.ndarray, list[int], np.ndarray, np.uint8]] = {}  # by size: fingerprints, items, blocks
         self.shingles = shingled
@@ -186,30 +188,45 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, items_
     benchmark(item_id, text) with a similarity of at least `least`. start counts words from 0.
 
     Documents are never shuffled. The benchmark is sent to the tasks items_a_pass items at a time; a larger one takes
-    more passes. Null and empty texts and items match nothing, a text shorter than an item is held against it whole;
+    more passes, with the same rows. The shingles that several items share go with each pass. Null and empty texts and items match nothing, a text shorter than an item is held against it whole;
     repeated rows match each; other columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
     items = benchmark.filter(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").dropDuplicates(["item_id", "text"])
     passes = max(1, -(-items.count() // items_a_pass))
+    shared = spark.sparkContext.broadcast(_shared(items))
     out = None
     for p in range(passes):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p).orderBy("item_id", "text").collect()
         texts = pa.array([r["text"] for r in part], pa.string())
         keys = [r["item_id"] for r in part]
         rows = [(n, h[b[n - i] : b[n - i + 1]]) for i, j, h, b in word_hashes(texts) for n in range(i, j)]
-        found = _scan(docs, [(n, h) for n, h in rows], keys, least)
+        found = _scan(docs, [(n, h) for n, h in rows], keys, least, shared)
         out = found if out is None else out.union(found)
     return out
 
 
-def _scan(docs: DataFrame, rows: list[tuple[int, np.ndarray]], keys: list[int], least: float) -> DataFrame:
+def _shared(items: DataFrame) -> dict[int, int]:
+    """The shingles that more than one item of the whole benchmark holds, with the number of items; the same in all passes."""
+    schema = pa.schema([("s", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            for i, j, h, b in word_hashes(batch.column(0)):
+                own = [np.unique(shingles(h[b[n] : b[n + 1]], SHINGLE)) for n in range(j - i)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64))], schema=schema)
+
+    often = items.select("text").mapInArrow(run, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").toArrow()
+    return dict(zip(often["s"].combine_chunks().to_numpy().view(np.uint64).tolist(), often["n"].to_pylist(), strict=True))
+
+
+def _scan(docs: DataFrame, rows: list[tuple[int, np.ndarray]], keys: list[int], least: float, shared: Broadcast) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(rows)  # items_a_pass items at most
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int32()), ("n_words", pa.int32()), ("similarity", pa.float64())])
 
     def run(batches):
-        items = Items(held.value, least)
+        items = Items(held.value, least, shared.value)
         for batch in batches:
             ids, out = batch.column(0), []
             for i, _, h, bounds in word_hashes(batch.column(1)):

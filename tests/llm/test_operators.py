@@ -136,6 +136,23 @@ def test_leaks_with_edited_edges_and_ends(spark):
     assert len(want) > 1000 and got == want
 
 
+def test_passes_over_the_benchmark_give_the_rows_of_one(spark):
+    r = random.Random(14)
+    boilerplate = prose(r, 14)
+    items = [(k, boilerplate + " " + prose(r, n)) for k, n in enumerate(range(8, 32, 2))]
+    texts = [prose(r, 14) + " " + t.split(" ", 14)[14] + " " + prose(r, 5) for _, t in items]  # all but the boilerplate
+    texts += [boilerplate + " " + prose(r, 12), *(t for _, t in items), *("new " + t.split(" ", 1)[1] for _, t in items)]
+    found = lambda n: sorted(map(tuple, decontaminate.find_leaks(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string"), items_a_pass=n).collect()))
+    one = found(5000)
+    held = {}
+    for _, t in items:
+        w = t.split()
+        for s in {tuple(w[i : i + 5]) for i in range(len(w) - 4)}:
+            held[s] = held.get(s, 0) + 1
+    want = {(d, k) for d, t in enumerate(texts) for k, it in items if any(similarity(t.split()[i : i + len(it.split())], it.split(), held) >= 0.8 for i in range(len(t.split())))}
+    assert {x[:2] for x in one} == want and found(3) == one
+
+
 def test_adjacent_leaks_are_both_found(spark):
     r = random.Random(13)
     w = prose(r, 30).split()
