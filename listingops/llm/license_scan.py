@@ -3,7 +3,10 @@
 Text and template are words (runs of letters and digits, lower-cased). Words that occur once in both anchor the
 alignment; the longest increasing subsequence of anchors is kept, and the gaps between kept anchors are aligned in the
 same way. Coverage is the share of the template's words that the alignment matches. A template may occur anywhere in a
-text and more than once, so alignment starts from windows around the template's rarest word in the text.
+text and more than once, so alignment starts from places of the template's rarest words in the text: in a window of the
+template's length at such a word's own place in the template, so that a neighbouring copy is outside, and in wider ones
+for texts with words put in. Of a seed's alignments the one with most words counts, where each foreign word within costs
+half a word; matches at its ends that cost more than they bring are trimmed.
 """
 
 from __future__ import annotations
@@ -93,6 +96,19 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def trimmed(pairs: list[tuple[int, int]]) -> tuple[float, list[tuple[int, int]]]:
+    """The best run of pairs and its worth: a pair is worth 1, a text word between two pairs -0.5."""
+    best, out, worth, first = 0.0, pairs[:0], 0.0, 0
+    for n, (i, _) in enumerate(pairs):
+        kept = worth - 0.5 * (i - pairs[n - 1][0] - 1) if n else 0.0
+        if kept <= 0:
+            kept, first = 0.0, n
+        worth = kept + 1
+        if worth > best:
+            best, out = worth, pairs[first : n + 1]
+    return best, out
+
+
 class Scanner:
     """Templates with what a text must hold for a coverage of `least`."""
 
@@ -140,17 +156,28 @@ class Scanner:
                     break
             if rare is None:
                 continue
-            done = -1
-            for p in sorted(seeds):
-                if p < done:
-                    continue
-                low, high = max(0, p - 2 * m, done), min(len(words), p + 2 * m)
-                pairs = align(words[low:high], template)
-                if len(pairs) >= self.least * m:
-                    s, e = low + pairs[0][0], low + pairs[-1][0]
-                    if e - s < 2 * m:
-                        found.append((len(pairs), spans[s][0], spans[e][1], key, len(pairs) / m))
-                        done = e + 1
+            own: list[tuple[int, int]] = []  # first and last + 1 word of this template's matches, disjoint, sorted
+            where: dict[str, list[int]] = {}
+            for j, w in enumerate(template):
+                where.setdefault(w, []).append(j)
+            for slacks in ((0,), (0, max(1, m // 4), m, 2 * m)):  # whole copies first, which bound the windows of others
+                for p in sorted(seeds):
+                    i = bisect.bisect(own, (p, len(words)))
+                    left, right = own[i - 1][1] if i else 0, own[i][0] if i < len(own) else len(words)
+                    if p < left:
+                        continue
+                    best: tuple[float, list[tuple[int, int]]] = (0.0, [])
+                    for low, high in dict.fromkeys((max(left, p - j - x), min(right, p - j + m + x)) for x in slacks for j in where[words[p]]):
+                        pairs = [(low + i, j) for i, j in align(words[low:high], template)]
+                        worth, short = trimmed(pairs)
+                        if len(short) < self.least * m and pairs and pairs[-1][0] - pairs[0][0] < 2 * m:
+                            worth, short = worth - m, pairs  # loose words, where there is no denser run
+                        if len(short) >= self.least * m and (not best[1] or worth > best[0]):
+                            best = worth, short
+                    if best[1] and (len(slacks) > 1 or len(best[1]) == m == best[1][-1][0] - best[1][0][0] + 1):
+                        s, e = best[1][0][0], best[1][-1][0]
+                        found.append((len(best[1]), spans[s][0], spans[e][1], key, len(best[1]) / m))
+                        bisect.insort(own, (s, e + 1))
         found.sort(key=lambda x: (-x[0], -x[4], x[1], x[3]))
         out: list[tuple[str, int, int, float]] = []
         for _, s, e, key, x in found:

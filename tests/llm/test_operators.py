@@ -312,6 +312,24 @@ def test_licenses_found_changed_and_repeated(spark):
     assert got == [(0, "MIT", "Permissi"), (1, "MIT line", "Released"), (1, "MIT line", "Released")]
 
 
+def test_adjacent_licenses_are_all_found():
+    r, t = random.Random(15), license_scan.TEMPLATES
+    scanner = license_scan.Scanner(t, 0.8)
+    for key in ("MIT", "MIT line", "CC-BY-4.0 line", "GPL-3.0 line"):
+        n = len(license_scan.words_of(t[key])[0])
+        for copies in (2, 3, 5):
+            for gap in (0, 1, 2, n // 2, n):
+                text = prose(r, 7) + " " + "".join(t[key] + " " + prose(r, gap) + " " for _ in range(copies)) + prose(r, 5)
+                got = scanner.scan(text)
+                assert [(k, x, text[s:e]) for k, s, e, x in got] == [(key, 1.0, t[key].rstrip("."))] * copies, (key, copies, gap)
+    got = scanner.scan(t["CC-BY-SA-4.0 line"] + " " + t["CC-BY-4.0 line"])
+    assert [k for k, *_ in got] == ["CC-BY-SA-4.0 line", "CC-BY-4.0 line"]
+    w = t["MIT"].split()
+    w[30:30] = prose(r, 6).split()
+    w[60] = "changed"
+    assert [k for k, *_ in scanner.scan(" ".join(w + w))] == ["MIT", "MIT"]
+
+
 def test_toxicity_held_out(spark):
     r = random.Random(9)
     bad = ["vexgrub", "snarlop", "krothid"]
