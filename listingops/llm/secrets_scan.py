@@ -98,12 +98,10 @@ def transitions(tokens: list[str]) -> np.ndarray:
 WORD = re.compile(r"[A-Za-z][A-Za-z_-]{5,}")
 
 
-def fit(docs: DataFrame, sample_rows: int = 20_000, drawn_each: int = 2_000, seed: int = 7) -> Model:
-    """Both models. sample_rows bounds the rows of docs (doc_id, text) that are read for labelled samples, chosen by a
-    hash of doc_id; what reaches the driver are counts of character pairs, whose number is fixed."""
+def fit(docs: DataFrame, *, drawn_each: int = 2_000, seed: int = 7) -> Model:
+    """Both models, counted over all rows of docs (doc_id, text); what leaves a task and reaches the driver are counts
+    of character pairs, whose number is fixed."""
     spark: SparkSession = docs.sparkSession
-    rows = docs.count()
-    part = docs if rows <= sample_rows else docs.filter(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * sample_rows / rows)))
     schema = pa.schema([("random", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())])
 
     def count(batches):
@@ -121,7 +119,7 @@ def fit(docs: DataFrame, sample_rows: int = 20_000, drawn_each: int = 2_000, see
 
     ship(spark)
     counts = np.zeros((2, EDGE + 1, EDGE + 1))
-    for r in part.select("text").mapInArrow(count, "random int, a int, b int, n long").groupBy("random", "a", "b").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select("text").mapInArrow(count, "random int, a int, b int, n long").groupBy("random", "a", "b").agg(F.sum("n").alias("n")).collect():
         counts[r["random"], r["a"], r["b"]] = r["n"]
     counts[1] /= max(1.0, counts[1].sum() / 50_000)  # samples from the corpus weigh no more than the drawn ones
     counts[1] += transitions(drawn(drawn_each, seed))

@@ -93,6 +93,18 @@ def test_markov_models_tell_random_from_named(spark):
         assert not m.is_secret(t)
 
 
+def test_markov_models_count_all_rows(spark):
+    r = random.Random(16)
+    texts = ["".join(r.choices("abcdefgh_XYZ", k=9)).strip("_") for _ in range(24_000)]
+    counts = np.zeros((2, secrets_scan.EDGE + 1, secrets_scan.EDGE + 1))
+    for t in texts:
+        counts[0] += secrets_scan.transitions([w for w in secrets_scan.WORD.findall(t) if len(w) < 64])
+    counts[1] = secrets_scan.transitions(secrets_scan.drawn(2_000, 7))
+    p = counts + np.array([0.5, 0.05])[:, None, None]
+    p = np.log(p / p.sum(axis=2, keepdims=True))
+    assert np.allclose(secrets_scan.fit(frame(spark, texts)).ratio, p[1] - p[0])
+
+
 def test_leaks_are_those_of_brute_force(spark):
     r = random.Random(3)
     items = [prose(r, n) for n in (15, 17, 24, 33, 40, 59)]
