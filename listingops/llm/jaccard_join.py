@@ -4,19 +4,21 @@ A document's set holds the hashes of its k-word shingles. Two documents link whe
 
 1. Documents with equal sets are one class. A set of n shingles whose shingles are put in a global order can only link
    to sets that share one of its first n - ceil(num n / den) + 1 shingles, its prefix. The order used is: shingles of
-   a fixed share of the hash space by how many rows hold them, those that nothing else holds first; then the rest by
+   a fixed share of the hash space by how many classes hold them, those that nothing else holds first; then the rest by
    hash. So only that share of shingles is counted, over all documents, and hot passages come last.
-2. Classes of identical prefix and size are one group.
-3. Groups of copies would make all pairs of their members. Instead members are held against one centre: first that of
-   their group, then the centre that shares most of their prefix. Verified members stand behind their centre.
-4. Pairs of centres that share a prefix shingle and pass the size filter are compared. Jaccard distance is a metric:
-   members of two centres further apart than the threshold and both radii can't link. The other pairs, if still in
-   different components, are expanded: members are joined by what sets them apart from the larger group's centre, and
-   verified.
-
-Comparisons are first bounded by parity sketches (the sets' symmetric difference is at least the number of odd bits)
-and then made on the whole sets. No link between different sets is lost; links within a class or behind a centre are
-never listed one by one.
+2. Classes of identical prefix and size are one group, held against its first member.
+3. Each class is held against one class that shares most of its prefix. What is linked so far gets the label of its
+   component; only classes of different labels are ever held against each other from there on.
+4. The classes that share a prefix shingle, less those of its most frequent label, are the shingle's rest. With FEW of
+   them, they are paired with the others directly. More are held against a hub, the one of them with the fewest
+   shingles of its own, and each class is then its difference to the hub's set: |x ^ y| = |dx| + |dy| - 2 |dx & dy|, so
+   two classes that are not both linked to the hub can only link if they share a good part of their differences.
+   These are joined by prefixes in turn, rarest first, in place of the long common part: step 4 again, with elements of
+   differences as shingles. After LEVELS rounds what is left is paired directly, so that nothing depends on the bound.
+
+A hot group of near copies so costs a few comparisons for each member. Pairs are first bounded by parity sketches (the
+sets' symmetric difference is at least the number of odd bits) and then compared on the whole sets. No link between
+different sets is lost; links within a class or a component are never listed one by one.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ from listingops.llm.words import mixed, shingles, word_hashes
 
 U = np.uint64
 SKETCH_BITS = 512
-STAR_ROUNDS = 2
+FEW = 24
+LEVELS = 4
 
 
 def class_of(s: np.ndarray) -> int:
@@ -86,7 +89,8 @@ def shingle_sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """cid, s (sorted set) of the classes of wanted(doc_id, text_key), read from their texts again."""
-    own = docs.join(if_small(wanted), ["doc_id", "text_key"], "left_semi")
+    wanted = if_small(wanted.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")))
+    own = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("_d")) & (docs["text_key"] == F.col("_k")), "left_semi")
     schema = pa.schema([("cid", pa.int64()), ("s", pa.list_(pa.int64()))])
 
     def run(batches):
@@ -104,163 +108,141 @@ class Join:
 
     def __init__(self, docs: DataFrame, k: int, num: int, den: int):
         self.k, self.num, self.den = k, num, den
-        self.docs = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+        self.kappa = (den - num) / (den + num)  # of two linked sets' sizes, the most that they differ by
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
         self.rows = written(shingle_sets(self.docs, k, num, den), "sets")
-        self.distance = 1 - num / den
 
     # -- prefixes ----------------------------------------------------------------------------------------------------
 
-    def prefixes(self) -> DataFrame:
+    def prefixes(self, classes: DataFrame) -> DataFrame:
         """cid, n, u, prefix of the classes that can link: u shingles of the prefix are nobody else's and left out."""
-        rows = self.rows.filter("n > 0")
-        total = rows.agg(F.sum("n0")).first()[0] or 1
+        total = classes.agg(F.sum("n0")).first()[0] or 1
         bits = min(63, max(32, int(total).bit_length() + 8))  # a key may stand for several shingles; it then joins more, never less
-        marks = rows.select("cid", F.explode(F.transform("low", lambda x: F.shiftrightunsigned(x, 64 - bits))).alias("key"))
+        marks = classes.select("cid", F.explode(F.transform("low", lambda x: F.shiftrightunsigned(x, 64 - bits))).alias("key"))
         often = marks.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
         shared = marks.join(often, "key").groupBy("cid").agg(F.array_sort(F.collect_set(F.struct("df", "key"))).alias("shared"))  # no more than a document's shingles
-        classes = rows.select("cid", "n", "n0", "extra").dropDuplicates(["cid"])
         p = F.col("n") - F.ceil(F.col("n") * self.num / F.lit(self.den)).cast("int") + 1
-        both = classes.join(shared, "cid", "left").withColumn("u", F.col("n0") - F.coalesce(F.size("shared"), F.lit(0))).withColumn("p", p)
+        both = classes.select("cid", "n", "n0", "extra").join(shared, "cid", "left").withColumn("u", F.col("n0") - F.coalesce(F.size("shared"), F.lit(0))).withColumn("p", p)
         able = both.filter("u < p OR n0 < p")
         own = F.coalesce(F.transform(F.slice("shared", F.lit(1), F.greatest(F.col("p") - F.greatest("u", F.lit(0)), F.lit(0))), lambda x: x["key"]), F.expr("CAST(array() AS array<bigint>)"))
         return able.select("cid", "n", F.greatest("u", F.lit(0)).alias("u"), F.array_distinct(F.concat(own, "extra")).alias("prefix"))
 
     # -- comparisons -------------------------------------------------------------------------------------------------
 
-    def verified(self, pairs: DataFrame, slack: Column | None = None) -> DataFrame:
-        """pairs(a, b, ...) with distance, where it is at most the threshold's (plus slack, a column of pairs)."""
-        most = F.lit(self.distance + 1e-9) if slack is None else slack + self.distance + 1e-9
-        pairs = pairs.withColumn("_most", most)
-        side = lambda x: self.sketches.select(F.col("cid").alias(x), F.col("n").alias(f"_n{x}"), F.col("sketch").alias(f"_k{x}"))
+    def most(self, a: str, b: str) -> Column:
+        """The largest symmetric difference of two linked sets of sizes a and b, with room for rounding."""
+        return (F.col(a) + F.col(b)) * self.kappa + 1e-6
+
+    def linked(self, pairs: DataFrame) -> DataFrame:
+        """pairs(a, b) that link, as a written table."""
+        side = lambda x: self.sketches.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}"))
         near = pairs.join(side("a"), "a").join(side("b"), "b")
-        odd = F.aggregate(F.sequence(F.lit(0), F.lit(SKETCH_BITS // 64 - 1)), F.lit(0), lambda acc, i: acc + F.bit_count(F.element_at("_ka", i + 1).bitwiseXOR(F.element_at("_kb", i + 1))))
-        both = F.col("_na") + F.col("_nb")
-        gap = F.greatest(odd, F.abs(F.col("_na") - F.col("_nb")))  # the symmetric difference is no smaller
-        near = near.filter(2 * gap / (both + gap) <= F.col("_most")).drop("_ka", "_kb")
-        near = written(near, "pairs")
-        whole = lambda x: self.wholes.select(F.col("cid").alias(x), F.col("s").alias(f"_s{x}"))
-        loaded = near.join(whole("a"), "a").join(whole("b"), "b")
-
-        fields = [f for f in near.schema if f.name not in ("_na", "_nb", "_most")]
-
-        def run(batches):
-            for batch in batches:
-                sa, sb = batch.column(batch.schema.get_field_index("_sa")), batch.column(batch.schema.get_field_index("_sb"))
-                shared = np.array([len(np.intersect1d(x.values.to_numpy(), y.values.to_numpy(), assume_unique=True)) for x, y in zip(sa, sb, strict=True)], dtype=np.int64)
-                yield batch.drop_columns(["_sa", "_sb"]).append_column("shared", pa.array(shared))
-
-        names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in near.schema)
-        compared = loaded.select(*near.columns, "_sa", "_sb").mapInArrow(run, f"{names}, shared long")
-        union = F.col("_na") + F.col("_nb") - F.col("shared")
-        out = compared.withColumn("linked", F.col("shared") * self.den >= union * self.num).withColumn("distance", 1 - F.col("shared") / union)
-        return written(out.filter("linked OR distance <= _most").select(*[f.name for f in fields], "linked", "distance"), "compared")
-
-    # -- stars -------------------------------------------------------------------------------------------------------
-
-    def starred(self, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(nodes behind new centres, links): edges(a: node, b: centre) that are verified, where a is nobody's centre."""
-        chosen = self.verified(edges)
-        kept = written(chosen.filter("linked").join(chosen.filter("linked").select(F.col("b").alias("a")).distinct(), "a", "left_anti"), "star")
-        moved = nodes.join(kept.select(F.col("a").alias("centre"), F.col("b").alias("_to"), F.col("distance").alias("_d")), "centre", "left")
-        behind = moved.select("cid", F.coalesce("_to", "centre").alias("centre"), (F.col("r") + F.coalesce("_d", F.lit(0.0))).alias("r"))
-        return written(behind, "nodes"), kept.select("a", "b")
+        odd = F.aggregate(F.sequence(F.lit(0), F.lit(SKETCH_BITS // 64 - 1)), F.lit(0), lambda acc, i: acc + F.bit_count(F.element_at("ka", i + 1).bitwiseXOR(F.element_at("kb", i + 1))))
+        near = near.filter((odd <= self.most("na", "nb")) & (F.abs(F.col("na") - F.col("nb")) <= self.most("na", "nb")))
+        whole = lambda x: self.wholes.select(F.col("cid").alias(x), F.col("s").alias(f"s{x}"))
+        shared = F.size(F.array_intersect("sa", "sb"))
+        compared = written(near.select("a", "b"), "near").join(whole("a"), "a").join(whole("b"), "b").select("a", "b", shared.alias("shared"), (F.size("sa") + F.size("sb")).alias("both"))
+        return written(compared.filter(F.col("shared") * self.den >= (F.col("both") - F.col("shared")) * self.num).select("a", "b"), "links")
+
+    def labelled(self, posts: DataFrame, links: DataFrame) -> DataFrame:
+        """posts(cid, ...) with lab: the component of the class by links."""
+        roots = components(links).select(F.col("node").alias("cid"), F.col("root").alias("_root"))
+        return posts.join(roots, "cid", "left").withColumn("lab", F.coalesce("_root", "cid")).drop("_root")
+
+    # -- groups ------------------------------------------------------------------------------------------------------
+
+    def settled(self, posts: DataFrame, last: bool) -> tuple[DataFrame, DataFrame]:
+        """(links found among groups with a small rest, hub and cid of the members of others).
+
+        posts(key, cid, n, m, w, lab, side): the classes that share key; m is the size of their set (or difference), w
+        how much of it is nobody else's. Groups of one label are done. Where side is not null, only classes of
+        different sides are paired.
+        """
+        by_label = posts.groupBy("key", "lab").agg(F.count(F.lit(1)).alias("m"))
+        mains = by_label.groupBy("key").agg(F.max(F.struct("m", "lab")).alias("x"), F.sum("m").alias("f"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+        mains = mains.select("key", F.col("x.lab").alias("main"), (F.col("f") - F.col("x.m")).alias("rest"))
+        posts = written(posts.join(mains, "key"), "posts")
+        few = posts if last else posts.filter(F.col("rest") <= FEW)
+        x, y = few.filter("lab <> main").alias("x"), few.alias("y")
+        fits = (F.abs(F.col("x.m") - F.col("y.m")) <= self.most("x.n", "y.n")) & (F.col("x.w") + F.col("y.w") <= self.most("x.n", "y.n"))
+        other = (F.col("x.lab") != F.col("y.lab")) & ((F.col("y.lab") == F.col("y.main")) | (F.col("x.cid") < F.col("y.cid"))) & (F.col("x.side").isNull() | (F.col("x.side") != F.col("y.side")))
+        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & other & fits).select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b"))
+        found = self.linked(pairs.distinct())
+        if last:
+            return found, posts.select(F.col("cid").alias("hub"), "cid").limit(0)
+        many = posts.filter(F.col("rest") > FEW)
+        hubs = many.filter("lab <> main").groupBy("key").agg(F.min(F.struct("w", "cid")).alias("x")).select("key", F.col("x.cid").alias("hub"))
+        return found, written(many.join(hubs, "key").select("hub", "cid").distinct(), "members")
+
+    def differences(self, members: DataFrame) -> DataFrame:
+        """hub, cid, n, m, d, near of members(hub, cid): the difference d to the hub's set, its size, whether they link."""
+        own = members.filter("hub <> cid").join(self.wholes.select("cid", F.col("s").alias("sn")), "cid").join(self.wholes.select(F.col("cid").alias("hub"), F.col("s").alias("sh")), "hub")
+        d = F.concat(F.array_except("sn", "sh"), F.array_except("sh", "sn"))
+        rows = own.select("hub", "cid", F.size("sn").alias("n"), F.size("sh").alias("nh"), d.alias("d")).withColumn("m", F.size("d"))
+        shared, union = (F.col("n") + F.col("nh") - F.col("m")) / 2, (F.col("n") + F.col("nh") + F.col("m")) / 2
+        return written(rows.withColumn("near", shared * self.den >= union * self.num), "differences")
+
+    def regrouped(self, rows: DataFrame, links: DataFrame) -> DataFrame:
+        """Posts, as settled() takes them, of the elements of differences(...) that classes not yet linked may share.
+
+        A class x with |dx| = m can only link to a y with m - most <= |dy|, so they share (m + |dy| - most) / 2 elements
+        at least; x stands under its rarest elements up to that number. An element that fewer than two can share counts
+        as nobody else's.
+        """
+        rows = self.labelled(rows, links)
+        by_label = rows.groupBy("hub", "lab").agg(F.count(F.lit(1)).alias("c"))
+        mains = by_label.groupBy("hub").agg(F.max(F.struct("c", "lab")).alias("x"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("hub", F.col("x.lab").alias("main"))
+        rows = written(rows.join(mains, "hub").withColumn("rest", F.col("lab") != F.col("main")), "sides")
+        least = rows.groupBy("hub").agg(F.min(F.when(F.col("rest"), F.col("m"))).alias("least_rest"), F.min(F.when(~F.col("rest"), F.col("m"))).alias("least_main"))
+        marks = rows.select("hub", "cid", "rest", F.explode("d").alias("e"))
+        use = marks.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("df"), F.sum(F.col("rest").cast("int")).alias("r")).filter("df > 1 AND r > 0")
+        kept = marks.join(use, ["hub", "e"]).groupBy("hub", "cid").agg(F.array_sort(F.collect_list(F.struct("df", "e", "r"))).alias("u"))  # no more than two documents' shingles
+        sized = rows.select("hub", "cid", "n", "m", "lab", "rest").join(least, "hub").join(kept, ["hub", "cid"])
+        most = F.col("n") * (1 + self.den / self.num) * self.kappa + 1e-6  # for the largest set that may link
+        need = lambda other: F.greatest(F.lit(1.0), F.ceil((F.col("m") + F.greatest(F.col(other), F.col("m") - most) - most - 1e-6) / 2))
+
+        def prefix(kind: int, fits, other: str) -> Column:  # kind: 0 among the rest, 1 between the rest and the most frequent label
+            u = F.filter("u", fits)
+            size = F.greatest(F.lit(0.0), F.coalesce(F.size(u) - need(other) + 1, F.lit(0.0))).cast("int")
+            return F.transform(F.slice(u, F.lit(1), size), lambda v: F.struct(F.lit(kind).alias("kind"), v["e"].alias("e"), (F.col("m") - F.size(u)).alias("w")))
+
+        among_rest = F.when(F.col("rest"), prefix(0, lambda v: v["r"] > 1, "least_rest"))
+        with_main = prefix(1, lambda v: v["r"] < v["df"], "_other")
+        sized = sized.withColumn("_other", F.when(F.col("rest"), F.col("least_main")).otherwise(F.col("least_rest")))
+        nothing = F.expr("CAST(array() AS array<struct<kind:int,e:bigint,w:int>>)")
+        posts = sized.select("hub", "cid", "n", "m", "lab", "rest", F.explode(F.concat(F.coalesce(among_rest, nothing), F.coalesce(with_main, nothing))).alias("p"))
+        return posts.select(F.xxhash64("hub", "p.kind", "p.e").alias("key"), "cid", "n", "m", F.col("p.w").alias("w"), "lab", F.when(F.col("p.kind") == 1, F.col("rest").cast("int")).alias("side"))
 
     def links(self) -> DataFrame:
         """a, b: links between classes that connect all that any links connect."""
-        prefixes = written(self.prefixes(), "prefixes")
+        classes = written(self.rows.filter("n > 0").dropDuplicates(["cid"]), "classes")
+        prefixes = written(self.prefixes(classes), "prefixes")
         posts = prefixes.select("cid", "n", "u", F.xxhash64("n", "prefix").alias("alike"), F.explode("prefix").alias("key"))
-        often = posts.groupBy("key").agg(F.min("cid").alias("x"), F.max("cid").alias("y")).filter("x < y").select("key")
-        posts = written(posts.join(often, "key"), "posts")
+        heads = posts.groupBy("key").agg(F.min(F.struct("u", "cid")).alias("x"), F.count(F.lit(1)).alias("f")).filter("f > 1").select("key", F.col("x.cid").alias("head"))
+        posts = written(posts.join(heads, "key"), "posts")
         able = posts.select("cid").distinct()
-        wanted = self.rows.join(able, "cid", "left_semi").groupBy("cid").agg(F.min(F.struct("doc_id", "text_key")).alias("x")).select("x.doc_id", "x.text_key")
-        wanted = written(wanted, "wanted")
-        self.wholes = written(_whole_sets(self.docs, wanted, self.k), "wholes")
+        chosen = classes.join(able, "cid", "left_semi")
+        self.wholes = written(_whole_sets(self.docs, written(chosen.select("doc_id", "text_key"), "wanted"), self.k), "wholes")
         words = F.transform(F.sequence(F.lit(0), F.lit(SKETCH_BITS // 64 - 1)), lambda i: F.conv(F.hex(F.substring("sketch", i * 8 + 1, 8)), 16, -10).cast("long"))
-        self.sketches = written(self.rows.join(able, "cid", "left_semi").dropDuplicates(["cid"]).select("cid", "n", words.alias("sketch")), "sketches")
-        nodes = able.select("cid", F.col("cid").alias("centre"), F.lit(0.0).alias("r"))
-        found = []
-        # groups of identical prefix and size: all members against the first one
+        self.sketches = written(chosen.select("cid", "n", words.alias("sketch")), "sketches")
+        # groups of identical prefix and size against their first member; each class against one that shares most of its prefix
         groups = posts.filter("u = 0").select("cid", "alike").distinct()
-        heads = groups.groupBy("alike").agg(F.min("cid").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        nodes, new = self.starred(nodes, groups.join(heads, "alike").filter("cid > b").select(F.col("cid").alias("a"), "b"))
-        found.append(new)
-        band = F.floor(F.log(F.col("n")) / -np.log(self.num / self.den)).cast("int") if self.num < self.den else F.col("n")
-        for _ in range(STAR_ROUNDS):
-            centres = nodes.filter("cid = centre").select("cid")
-            own = posts.join(centres, "cid").select("cid", "key", "u", band.alias("band"))
-            heads = own.groupBy("key", "band").agg(F.min(F.struct("u", "cid")).alias("head"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("key", "band", F.col("head.cid").alias("b"))
-            best = own.join(heads, ["key", "band"]).filter("cid != b").groupBy("cid", "b").agg(F.count(F.lit(1)).alias("m"))
-            best = best.groupBy(F.col("cid").alias("a")).agg(F.max(F.struct("m", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
-            nodes, new = self.starred(nodes, best)
-            found.append(new)
-        # centres that share a prefix shingle of their members
-        radius = nodes.groupBy("centre").agg(F.max("r").alias("r"))
-        marks = posts.join(nodes, "cid").groupBy("key", "centre").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-        marks = written(marks.join(marks.groupBy("key").agg(F.min("centre").alias("x"), F.max("centre").alias("y")).filter("x < y").select("key"), "key"), "marks")
-        x, y = marks.alias("x"), marks.alias("y")
-        size = (F.col("y.high") * self.den >= F.col("x.low") * self.num) & (F.col("x.high") * self.den >= F.col("y.low") * self.num)
-        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.centre") < F.col("y.centre")) & size).select(F.col("x.centre").alias("a"), F.col("y.centre").alias("b")).distinct()
-        pairs = pairs.join(radius.select(F.col("centre").alias("a"), F.col("r").alias("ra")), "a").join(radius.select(F.col("centre").alias("b"), F.col("r").alias("rb")), "b")
-        near = self.verified(pairs, F.col("ra") + F.col("rb"))
-        found.append(near.filter("linked").select("a", "b"))
-        links = found[0]
-        for new in found[1:]:
-            links = links.unionByName(new)
-        links = written(links, "links")
-        open_pairs = near.filter("NOT linked")
-        if open_pairs.isEmpty():
-            return links
-        # members of near centres that are not yet connected
-        root = components(links)
-        named = lambda c: root.select(F.col("node").alias(c), F.col("root").alias(f"_root_{c}"))
-        apart = open_pairs.join(named("a"), "a", "left").join(named("b"), "b", "left").filter(F.coalesce("_root_a", "a") != F.coalesce("_root_b", "b"))
-        more, pairs = self.expanded(apart.select("a", "b"), nodes)
-        return written(links.unionByName(more).unionByName(self.verified(pairs).filter("linked").select("a", "b")), "links")
-
-    def expanded(self, apart: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(links found, pairs a, b still to verify) between the members of centres apart(a, b).
-
-        The centre with more members is the hub, and every member of either side is held as its difference to the hub's
-        set. |x ^ y| = |dx| + |dy| - 2 |dx & dy|, so a member y that is not linked to the hub can only link to an x with
-        which it shares (|dx| + |dy| - most) / 2 elements of difference, one at least. Differences are few and mostly
-        nobody else's; they are joined by prefixes, rarest first, in place of the long common part.
-        """
-        kappa = (self.den - self.num) / (self.den + self.num)  # of two linked sets' sizes, the most that they differ by
-        size = nodes.groupBy(F.col("centre").alias("c")).agg(F.count(F.lit(1)).alias("m"))
-        sides = apart.join(size.select(F.col("c").alias("a"), F.col("m").alias("ma")), "a").join(size.select(F.col("c").alias("b"), F.col("m").alias("mb")), "b")
-        first = (F.col("ma") > F.col("mb")) | ((F.col("ma") == F.col("mb")) & (F.col("a") < F.col("b")))
-        sides = written(sides.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("other")), "sides")
-        member = nodes.select(F.col("centre").alias("c"), F.col("cid").alias("node"))
-        own = sides.select("hub").distinct().join(member, F.col("hub") == F.col("c")).select("hub", "node", F.lit(0).alias("y"))
-        far = sides.join(member, F.col("other") == F.col("c")).select("hub", "node", F.lit(1).alias("y")).distinct()
-        loaded = own.union(far).join(self.wholes.select(F.col("cid").alias("node"), F.col("s").alias("sn")), "node").join(self.wholes.select(F.col("cid").alias("hub"), F.col("s").alias("sh")), "hub")
-
-        def differ(batches):
-            for batch in batches:
-                sn, sh = batch.column(3), batch.column(4)
-                d = [np.setxor1d(x.values.to_numpy(), z.values.to_numpy(), assume_unique=True) for x, z in zip(sn, sh, strict=True)]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in d]))), pa.int32()), pa.array(np.concatenate(d)))
-                count = lambda c: pa.array([len(x.values) for x in c], pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), count(sn), count(sh), lists], names=["hub", "node", "y", "n", "nh", "d"])
-
-        rows = loaded.select("hub", "node", "y", "sn", "sh").mapInArrow(differ, "hub long, node long, y int, n int, nh int, d array<long>")
-        rows = written(rows.withColumn("m", F.size("d")), "differences")
-        shared, union = (F.col("n") + F.col("nh") - F.col("m")) / 2, (F.col("n") + F.col("nh") + F.col("m")) / 2
-        to_hub = shared * self.den >= union * self.num
-        links = rows.filter((F.col("y") == 1) & to_hub).select(F.col("hub").alias("a"), F.col("node").alias("b"))
-        rest = rows.filter(((F.col("y") == 0) & (F.col("node") != F.col("hub"))) | ((F.col("y") == 1) & ~to_hub))
-        sides_of = rest.groupBy("hub", (1 - F.col("y")).alias("y")).agg(F.min("m").alias("least"), F.max("n").alias("most_n"))
-        marks = rest.select("hub", "node", "y", F.explode("d").alias("e"))
-        useful = marks.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("df"), F.min("y").alias("x0"), F.max("y").alias("x1")).filter("x0 < x1").select("hub", "e", "df")
-        kept = marks.join(useful, ["hub", "e"]).groupBy("hub", "node", "y").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("u"))  # no more than a document's shingles
-        need = F.greatest(F.lit(1.0), F.ceil((F.col("m") + F.col("least") - (F.col("n") + F.col("most_n")) * kappa - 1e-6) / 2))
-        sized = rest.select("hub", "node", "y", "n", "m").join(sides_of, ["hub", "y"]).join(kept, ["hub", "node", "y"]).withColumn("k", F.size("u") - need + 1)
-        able = sized.filter("k >= 1").select("hub", "node", "y", "n", "m", F.explode(F.transform(F.slice("u", F.lit(1), F.col("k").cast("int")), lambda v: v["e"])).alias("e"))
-        x, z = able.filter("y = 0").alias("x"), able.filter("y = 1").alias("z")
-        most = (F.col("x.n") + F.col("z.n")) * kappa + 1e-6
-        fits = (F.abs(F.col("x.n") - F.col("z.n")) <= most) & (F.abs(F.col("x.m") - F.col("z.m")) <= most)
-        pairs = x.join(z, (F.col("x.hub") == F.col("z.hub")) & (F.col("x.e") == F.col("z.e")) & fits).select(F.least("x.node", "z.node").alias("a"), F.greatest("x.node", "z.node").alias("b"))
-        return links, pairs.filter("a <> b").distinct()
+        firsts = groups.groupBy("alike").agg(F.min("cid").alias("b"))
+        alike = groups.join(firsts, "alike").filter("cid > b").select(F.col("cid").alias("a"), "b")
+        best = posts.filter("cid <> head").groupBy("cid", "head").agg(F.count(F.lit(1)).alias("c"))
+        best = best.groupBy(F.col("cid").alias("a")).agg(F.max(F.struct("c", "head")).alias("x")).select("a", F.col("x.head").alias("b"))
+        links = self.linked(alike.union(best).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        posts = posts.select("key", "cid", "n", F.col("n").alias("m"), F.col("u").alias("w"), F.lit(None).cast("int").alias("side"))
+        posts = self.labelled(posts, links)
+        for level in range(LEVELS):
+            found, members = self.settled(posts, level == LEVELS - 1)
+            links = links.unionByName(found)
+            if members.isEmpty():
+                break
+            rows = self.differences(members)
+            links = written(links.unionByName(rows.filter("near").select(F.col("hub").alias("a"), F.col("cid").alias("b"))), "links")
+            posts = self.regrouped(rows, links)
+        return links
 
     def result(self) -> DataFrame:
         """doc_id, text_key, n_shingles, component_id of every row."""
@@ -275,10 +257,11 @@ class Join:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, text_key, n_shingles, component_id of every row of docs(doc_id, text) with a doc_id.
+    """doc_id, text_key, n_shingles, component_id of every row of docs(doc_id, text).
 
-    component_id is the least doc_id that links reach, the row's own included. A text with fewer than k words has one
-    shingle of them all; a text without words, empty or null has none and links with nothing. Repeated rows are rows
-    each, and link. text_key is xxhash64 of the text. Other columns are ignored; empty input gives no rows.
+    component_id is the least doc_id that links reach, the row's own included; a null doc_id is none, so it is null
+    where links reach no other. A text with fewer than k words has one shingle of them all; a text without words, empty
+    or null has none and links with nothing. Repeated rows are rows each, and link. text_key is xxhash64 of the text.
+    Other columns are ignored; empty input gives no rows.
     """
     return Join(docs, k, num, den).result()

@@ -223,6 +223,23 @@ def test_jaccard_components(spark, k, num, seed):
     assert [got[i] for i in range(len(texts))] == brute_components(texts, k, num)
 
 
+@pytest.mark.parametrize(("k", "num", "words", "seed"), [(3, 90, 60, 17), (5, 80, 90, 19)])
+def test_jaccard_components_of_hot_groups(spark, monkeypatch, k, num, words, seed):
+    """Groups of near copies of two bases that share passages, edited within small pools of words: every level runs."""
+    monkeypatch.setattr(jaccard_join, "FEW", 1)
+    r = random.Random(seed)
+    shared, texts = prose(r, words // 2).split(), []
+    bases = [shared + prose(r, words // 2).split() for _ in range(2)]
+    for _ in range(160):
+        w = list(r.choice(bases))
+        for _ in range(r.choice((0, 1, 1, 2, 2, 3, 4, 6))):
+            w[r.choice((3, 9, 14, r.randrange(len(w))))] = r.choice(WORDS[:4])
+        texts.append(" ".join(w))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.near_duplicates(frame(spark, texts), k, num, 100).collect()}
+    want = brute_components(texts, k, num)
+    assert [got[i] for i in range(len(texts))] == want and 3 < len({c for _, c in want}) < 150, len({c for _, c in want})
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(40)] + [(7, 7), (None, 3)]
     got = {x.node: x.root for x in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
