@@ -9,8 +9,12 @@ gap are consumed in batches as large as the counts allow; what remains is packed
 from __future__ import annotations
 
 import bisect
+import json
+import os
+import re
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -161,55 +165,67 @@ def assign(pieces: DataFrame, capacity: int, length: str, order: list[str]) -> D
 
 
 RANKS = 1 << 46  # more than any length has pieces
-CACHE_ENTRIES = 500_000
-_held: dict[str, tuple] = {}
+# Fixed value: the pattern by which byte-level BPE cuts a text before it merges.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Characters whose classes are the same in every version of Unicode that a library may have.
+SETTLED = re.compile("[\\x00-\u024f\u0400-\u045f\u2010-\u2027\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*")
+_held: dict[str, Encoder] = {}
+
+
+def _byte_characters() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: itself where printable, else from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(others)}
 
 
 class Encoder:
-    """Texts to little-endian unsigned 32-bit ids, by the named vocabulary file, remembering the ids of segments.
+    """Texts to little-endian unsigned 32-bit ids, by a vocabulary file of the tokenizers library.
 
-    The vocabulary's pre-tokeniser never lets a token cross from a non-space character to a following space, nor to or
-    from a single line feed between non-spaces, so such texts are encoded by segment. Texts with other white space or
-    with a special token's string are encoded whole.
+    Where the file is plain byte-level BPE whose ids follow its merges, texts of settled characters without a special
+    token go through a tiktoken encoding built from the same file, which gives the same ids in a fraction of the time.
+    All others go through tokenizers.
     """
 
-    ODD = ("  ", "\n ", " \n", "\n\n", "<|", *map(chr, (0, 9, 11, 12, 13, 28, 29, 30, 31)))
-    WIDE = tuple(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))  # other white space
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
+        self.tokenizer = Tokenizer.from_file(path)
+        held = json.loads(Path(path).read_text(encoding="utf-8"))
+        self.special = tuple(x["content"] for x in held.get("added_tokens", ()))
+        self.fast = self._ranks(held)
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _ranks(self, held: dict):
+        import tiktoken
 
-    def segments(self, text: str) -> list[str] | None:
-        if text[:1].isspace() or text[-1:].isspace() or any(x in text for x in self.ODD) or (not text.isascii() and any(x in text for x in self.WIDE)):
+        model, cut = held["model"], held.get("pre_tokenizer") or {}
+        if held.get("normalizer") or model["type"] != "BPE" or model.get("dropout") or model.get("ignore_merges") or model.get("byte_fallback"):
+            return None
+        if cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
             return None
-        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        byte = _byte_characters()
+        ids = {k: v for k, v in model["vocab"].items() if k not in self.special}
+        merged = [ids.get("".join(m if isinstance(m, list) else m.split(" ")), -1) for m in model["merges"]]
+        if sorted(merged) != merged or merged[:1] == [-1] or any(c not in byte for k in ids for c in k):
+            return None
+        return tiktoken.Encoding("byte-level", pat_str=BYTE_LEVEL, mergeable_ranks={bytes(byte[c] for c in k): v for k, v in ids.items()}, special_tokens={})
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE_ENTRIES:  # what was used since the last turn stays
-            self.older, self.known = self.known, {}
-        cut = [self.segments(t) for t in texts]
-        new = {s for x in cut if x for s in x}.difference(self.known)
-        again = new & self.older.keys()
-        self.known.update((s, self.older[s]) for s in again)
-        new = list(new - again)
-        self.known.update(zip(new, self.whole(new), strict=True))
-        odd = iter(self.whole([t for t, x in zip(texts, cut, strict=True) if x is None]))
-        get = self.known.__getitem__
-        return [next(odd) if x is None else b"".join(map(get, x)) for x in cut]
+        if self.fast is None:
+            return self.whole(texts)
+        odd = [(not t.isascii() and not SETTLED.fullmatch(t)) or any(x in t for x in self.special) for t in texts]
+        others = iter(self.whole([t for t, o in zip(texts, odd, strict=True) if o]))
+        return [next(others) if o else np.array(self.fast.encode_ordinary(t), dtype="<u4").tobytes() for t, o in zip(texts, odd, strict=True)]
 
 
 def encoder(path: str) -> Encoder:
-    import os
-
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if path not in _held:
-        _held[path] = (Encoder(path),)
-    return _held[path][0]
+        _held[path] = Encoder(path)
+    return _held[path]
 
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"

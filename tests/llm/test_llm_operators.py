@@ -68,11 +68,14 @@ def test_packing_is_gapless_and_exact(spark):
     assert len(seqs) <= -(-sum(p.length for p in rows) // 1024) * 1.02 + 1
 
 
-def test_encoder_remembers_exactly():
+def test_encoder_gives_the_ids_of_tokenizers():
     e, r = packing.Encoder(vocabulary()), random.Random(1)
-    odd = ["", " a", "a  b", "a\n\nb", "x\ty", "<|endoftext|> z", "nb\xa0sp", "don't we'll", "日本語 テスト", "end\n"]
-    texts = odd + ["".join(r.choices("ab c\n.é!", k=40)) for _ in range(200)]
-    assert e(texts) == e.whole(texts) == e(texts)
+    assert e.fast is not None
+    odd = ["", " a", "a  b", "a\n\nb", "x\ty", "<|endoftext|> z", "nb\xa0sp", "don't we'll", "日本語 テスト", "end\n", "\u2003x\u0378y", "x" * 3000]
+    texts = odd + ["".join(r.choices("ab c\n.é!'s_1²", k=60)) for _ in range(300)]
+    settled = [chr(c) for c in range(0xD800) if packing.SETTLED.fullmatch(chr(c))]
+    texts += [f"a{c}b {c} {c}{c}1" for c in settled if ord(c) < 0x4E00] + ["".join(r.choices(settled, k=40)) for _ in range(300)]
+    assert e(texts) == e.whole(texts)
 
 
 def test_secrets_base_digest(spark):
