@@ -1,14 +1,13 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact verification.
 
-Each benchmark item's words make one 64-bit SimHash. Every window of as many words in every document gets its own, by
-sums that slide. So that items of many sizes need few passes over a text, sizes are rounded down by less than an eighth:
-the item's first words of that number are its fingerprint; comparison is over its whole size. The fingerprint is cut into four blocks of 16 bits; an index holds each item's blocks and all blocks
-one bit away. Two fingerprints at most RADIUS = 7 bits apart agree in some block up to one bit, so no pair within the
-radius is missed. No radius holds all that the threshold accepts: a change of one word can turn many bits of a short
+Each benchmark item's words make one SimHash of 48 bits. Every window of as many words in every document gets its own,
+by sums that slide. The fingerprint is cut into three blocks of 16 bits; an index holds each item's blocks and all
+blocks one bit away. Two fingerprints at most RADIUS = 5 bits apart agree in some block up to one bit, so no pair within
+the radius is missed. No radius holds all that the threshold accepts: a change of one word can turn many bits of a short
 item, and words of small weight may change at will. So a second index holds of each item the heaviest shingles that
 weigh more than a similar window may lack together. Every window that is similar enough has one of them, and all windows
-around such a place are candidates. Candidates are then compared exactly: weighted Jaccard similarity of their five-word shingles, each
-with its multiplicity and a weight of 1 / (items of the whole benchmark that hold it).
+around such a place are candidates too. Candidates are then compared exactly: weighted Jaccard similarity of their
+five-word shingles, each with its multiplicity and a weight of 1 / (items of the whole benchmark that hold it).
 """
 
 from __future__ import annotations
@@ -25,7 +24,8 @@ from pyspark.sql import functions as F
 from listingops.llm.common import ship
 from listingops.llm.words import shingles, word_hashes
 
-RADIUS, BLOCKS, BLOCK_BITS, SHINGLE = 7, 4, 16, 5
+RADIUS, BLOCKS, BLOCK_BITS, SHINGLE = 5, 3, 16, 5
+BITS = BLOCKS * BLOCK_BITS
 ITEMS_A_PASS = 5_000
 STEP = 4096  # words whose sums are held at once
 SIEVE = np.uint64((1 << 20) - 1)  # bits of a shingle that are looked up first
@@ -33,24 +33,25 @@ SIEVE = np.uint64((1 << 20) - 1)  # bits of a shingle that are looked up first
 
 def sums_of(h: np.ndarray, kind: type) -> np.ndarray:
     """Running sums, for each bit, of +1 where a word's hash has it and -1 where not; modulo the type's range."""
-    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(np.int8)
-    out = np.zeros((len(h) + 1, 64), dtype=kind)
+    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8)[:, : BITS // 8], axis=1, bitorder="little").view(np.int8)
+    out = np.zeros((len(h) + 1, BITS), dtype=kind)
     np.cumsum(bits * np.int8(2) - np.int8(1), axis=0, dtype=kind, out=out[1:])
     return out
 
 
 def window_fingerprints(sums: np.ndarray, size: int) -> np.ndarray:
-    """SimHash of each window of size words: a bit is set where more words have it than not."""
-    return np.packbits(((sums[size:] - sums[:-size]) > 0).ravel(), bitorder="little").view(np.uint64)
+    """(windows, BLOCKS) SimHash of each window of size words: a bit is set where more words have it than not."""
+    return np.packbits(((sums[size:] - sums[:-size]) > 0).ravel(), bitorder="little").view(np.uint16).reshape(-1, BLOCKS)
 
 
-def window_size(n: int) -> int:
-    """The size of the windows for items of n words: eight sizes from each power of two to the next."""
-    return n - n % max(1, 1 << n.bit_length() - 4 if n >= 16 else 1)
+def simhash(h: np.ndarray) -> np.ndarray:
+    return window_fingerprints(sums_of(h, np.int32), len(h))[0]
 
 
-def simhash(h: np.ndarray) -> np.uint64:
-    return window_fingerprints(sums_of(h, np.int32), len(h))[0]
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The number of bits by which each row of a differs from each row of b."""
+    whole = lambda x: x.astype(np.uint64) @ np.array([1 << BLOCK_BITS * i for i in range(BLOCKS)], dtype=np.uint64)
+    return np.bitwise_count(whole(a)[:, None] ^ whole(b)[None, :])
 
 
 class Items:
@@ -67,15 +68,14 @@ class Items:
         self.size = {k: len(h) for k, h in rows}
         for k, h in rows:
             if len(h):
-                size = window_size(len(h))
-                by_size.setdefault(size, []).append((k, h[:size]))
+                by_size.setdefault(len(h), []).append((k, h))
         near = np.concatenate(([0], 1 << np.arange(BLOCK_BITS)))
         # eight sizes share a table of bytes, a bit for each, so that the tables stay in the processor's cache
         self.tables = np.zeros((-(-len(by_size) // 8), BLOCKS, 1 << BLOCK_BITS), dtype=np.uint8)
         for n, (size, own) in enumerate(sorted(by_size.items())):
-            prints = np.array([simhash(h) for _, h in own], dtype=np.uint64)
+            prints = np.array([simhash(h) for _, h in own], dtype=np.uint16)
             bit = np.uint8(1 << n % 8)
-            for b, part in enumerate(prints.view(np.uint16).reshape(-1, BLOCKS).T):
+            for b, part in enumerate(prints.T):
                 self.tables[n // 8, b, (part[:, None] ^ near[None, :]).ravel()] |= bit
             self.items[size] = (prints, [k for k, _ in own], self.tables[n // 8], bit)
         self.least = least
@@ -118,10 +118,10 @@ class Items:
                     continue
                 prints, keys, table, bit = self.items[size]
                 own = window_fingerprints(sums, size)[:STEP]
-                part = np.ascontiguousarray(own.view(np.uint16).reshape(-1, BLOCKS).T)
-                at = np.flatnonzero((table[0].take(part[0]) | table[1].take(part[1]) | table[2].take(part[2]) | table[3].take(part[3])) & bit)
+                part = np.ascontiguousarray(own.T)
+                at = np.flatnonzero((table[0].take(part[0]) | table[1].take(part[1]) | table[2].take(part[2])) & bit)
                 if len(at):
-                    near = np.bitwise_count(own[at][:, None] ^ prints[None, :]) <= RADIUS
+                    near = apart(own[at], prints) <= RADIUS
                     if near.any():
                         out += [(keys[j], low + int(at[i]), size) for i, j in zip(*np.nonzero(near), strict=True)]
         return out

@@ -184,7 +184,7 @@ def test_all_fingerprints_within_the_radius_are_candidates():
     for k, (prints, keys, _, _) in items.items.items():
         own = decontaminate.window_fingerprints(decontaminate.sums_of(h, np.int32), k)
         for p, key in zip(prints, keys, strict=True):
-            near = np.flatnonzero(np.bitwise_count(own ^ p) <= decontaminate.RADIUS)
+            near = np.flatnonzero(decontaminate.apart(own, p[None, :])[:, 0] <= decontaminate.RADIUS)
             assert {(key, int(i)) for i in near} <= got
 
 
