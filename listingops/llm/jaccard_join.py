@@ -10,8 +10,8 @@ A document's set holds the hashes of its k-word shingles. Two documents link whe
 3. Each class is held against one class that shares most of its prefix. What is linked so far gets the label of its
    component; only classes of different labels are ever held against each other from there on.
 4. The classes that share a prefix shingle, less those of its most frequent label, are the shingle's rest. With FEW of
-   them, they are paired with the others directly. More are held against a hub, the one of them with the fewest
-   shingles of its own, and each class is then its difference to the hub's set: |x ^ y| = |dx| + |dy| - 2 |dx & dy|, so
+   them, they are paired with the others directly. More are held against a hub, a central one of them, and each class
+   is then its difference to the hub's set: |x ^ y| = |dx| + |dy| - 2 |dx & dy|, so
    two classes that are not both linked to the hub can only link if they share a good part of their differences.
    These are joined by prefixes in turn, rarest first, in place of the long common part: step 4 again, with elements of
    differences as shingles. After LEVELS rounds what is left is paired directly, so that nothing depends on the bound.
@@ -36,6 +36,7 @@ U = np.uint64
 SKETCH_BITS = 512
 FEW = 24
 LEVELS = 4
+SAMPLE = 64  # members of a group that vote for its hub, about
 
 
 def class_of(s: np.ndarray) -> int:
@@ -133,15 +134,16 @@ class Join:
         """The largest symmetric difference of two linked sets of sizes a and b, with room for rounding."""
         return (F.col(a) + F.col(b)) * self.kappa + 1e-6
 
+    def near(self, a: str, b: str, na: str, nb: str) -> Column:
+        """Whether the sketches a and b leave room for a link of sets of the sizes na and nb."""
+        odd = sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(1, SKETCH_BITS // 64)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
+        return (F.abs(F.col(na) - F.col(nb)) <= self.most(na, nb)) & (odd <= self.most(na, nb))
+
     def linked(self, pairs: DataFrame) -> DataFrame:
-        """pairs(a, b) that link, as a written table."""
-        side = lambda x: self.sketches.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}"))
-        near = pairs.join(side("a"), "a").join(side("b"), "b")
-        odd = F.aggregate(F.sequence(F.lit(0), F.lit(SKETCH_BITS // 64 - 1)), F.lit(0), lambda acc, i: acc + F.bit_count(F.element_at("ka", i + 1).bitwiseXOR(F.element_at("kb", i + 1))))
-        near = near.filter((odd <= self.most("na", "nb")) & (F.abs(F.col("na") - F.col("nb")) <= self.most("na", "nb")))
+        """pairs(a, b) that link, by their whole sets, as a written table."""
         whole = lambda x: self.wholes.select(F.col("cid").alias(x), F.col("s").alias(f"s{x}"))
         shared = F.size(F.array_intersect("sa", "sb"))
-        compared = written(near.select("a", "b"), "near").join(whole("a"), "a").join(whole("b"), "b").select("a", "b", shared.alias("shared"), (F.size("sa") + F.size("sb")).alias("both"))
+        compared = written(pairs, "near").join(whole("a"), "a").join(whole("b"), "b").select("a", "b", shared.alias("shared"), (F.size("sa") + F.size("sb")).alias("both"))
         return written(compared.filter(F.col("shared") * self.den >= (F.col("both") - F.col("shared")) * self.num).select("a", "b"), "links")
 
     def labelled(self, posts: DataFrame, links: DataFrame) -> DataFrame:
@@ -155,19 +157,20 @@ class Join:
         """(links found among groups with a small rest, hub and cid of the members of others).
 
         posts(key, cid, n, m, w, lab, side): the classes that share key; m is the size of their set (or difference), w
-        how much of it is nobody else's. Groups of one label are done. Where side is not null, only classes of
+        how many of its elements come before key: two sets whose first common element is key differ by the w of both at
+        least. Groups of one label are done. Where side is not null, only classes of
         different sides are paired.
         """
         by_label = posts.groupBy("key", "lab").agg(F.count(F.lit(1)).alias("m"))
         mains = by_label.groupBy("key").agg(F.max(F.struct("m", "lab")).alias("x"), F.sum("m").alias("f"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
         mains = mains.select("key", F.col("x.lab").alias("main"), (F.col("f") - F.col("x.m")).alias("rest"))
         posts = written(posts.join(mains, "key"), "posts")
-        few = posts if last else posts.filter(F.col("rest") <= FEW)
+        few = (posts if last else posts.filter(F.col("rest") <= FEW)).join(self.sketches.select("cid", "sketch"), "cid")
         x, y = few.filter("lab <> main").alias("x"), few.alias("y")
         fits = (F.abs(F.col("x.m") - F.col("y.m")) <= self.most("x.n", "y.n")) & (F.col("x.w") + F.col("y.w") <= self.most("x.n", "y.n"))
         other = (F.col("x.lab") != F.col("y.lab")) & ((F.col("y.lab") == F.col("y.main")) | (F.col("x.cid") < F.col("y.cid"))) & (F.col("x.side").isNull() | (F.col("x.side") != F.col("y.side")))
-        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & other & fits).select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b"))
-        found = self.linked(pairs.distinct())
+        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & other & fits & self.near("x.sketch", "y.sketch", "x.n", "y.n"))
+        found = self.linked(pairs.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct())
         if last:
             return found, posts.select(F.col("cid").alias("hub"), "cid").limit(0)
         many = posts.filter(F.col("rest") > FEW)
@@ -175,12 +178,27 @@ class Join:
         return found, written(many.join(hubs, "key").select("hub", "cid").distinct(), "members")
 
     def differences(self, members: DataFrame) -> DataFrame:
-        """hub, cid, n, m, d, near of members(hub, cid): the difference d to the hub's set, its size, whether they link."""
-        own = members.filter("hub <> cid").join(self.wholes.select("cid", F.col("s").alias("sn")), "cid").join(self.wholes.select(F.col("cid").alias("hub"), F.col("s").alias("sh")), "hub")
-        d = F.concat(F.array_except("sn", "sh"), F.array_except("sh", "sn"))
-        rows = own.select("hub", "cid", F.size("sn").alias("n"), F.size("sh").alias("nh"), d.alias("d")).withColumn("m", F.size("d"))
+        """hub, cid, n, m, d, near of members(hub, cid): the difference d to its group's hub, its size, whether they link.
+
+        The first hub is any member and may be far from the others. Elements in which most of a sample of the group
+        differ from it are its own peculiarities; the member nearest to the group without these becomes the hub. The
+        sample only chooses the hub, whatever it is the links found are the same.
+        """
+        own = members.select(F.col("hub").alias("group"), "cid").join(self.wholes.select("cid", F.col("s").alias("sn")), "cid").join(self.wholes.select(F.col("cid").alias("group"), F.col("s").alias("sh")), "group")
+        rows = written(own.select("group", "cid", F.size("sn").alias("n"), F.concat(F.array_except("sn", "sh"), F.array_except("sh", "sn")).alias("d")), "first")
+        sizes = rows.groupBy("group").agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / SAMPLE)).alias("each"))
+        some = rows.select("group", "cid", "d").join(sizes, "group").filter(F.pmod(F.xxhash64("cid"), F.col("each")) == 0)
+        voters = some.groupBy("group").agg(F.count(F.lit(1)).alias("voters"))
+        common = some.select("group", F.explode("d").alias("e")).groupBy("group", "e").agg(F.count(F.lit(1)).alias("c")).join(voters, "group").filter("2 * c > voters").groupBy("group").agg(F.collect_list("e").alias("common"))
+        apart = lambda x, y: F.size(F.array_except(x, y)) + F.size(F.array_except(y, x))
+        nothing = F.expr("CAST(array() AS array<bigint>)")
+        ranked = rows.join(common, "group", "left").select("group", F.struct(apart("d", F.coalesce("common", nothing)).alias("far"), "cid").alias("x"))
+        hubs = ranked.groupBy("group").agg(F.min("x").alias("x")).select("group", F.col("x.cid").alias("hub"))
+        hubs = hubs.join(rows.select("group", F.col("cid").alias("hub"), F.col("n").alias("nh"), F.col("d").alias("dh")), ["group", "hub"])
+        once = rows.select("group", "cid").join(hubs.select("group", "hub"), "group").filter("cid <> hub").groupBy("hub", "cid").agg(F.min("group").alias("group"))  # groups of one hub are one
+        out = rows.join(once, ["group", "cid"]).join(hubs, ["group", "hub"]).select("hub", "cid", "n", "nh", F.concat(F.array_except("d", "dh"), F.array_except("dh", "d")).alias("d")).withColumn("m", F.size("d"))
         shared, union = (F.col("n") + F.col("nh") - F.col("m")) / 2, (F.col("n") + F.col("nh") + F.col("m")) / 2
-        return written(rows.withColumn("near", shared * self.den >= union * self.num), "differences")
+        return written(out.withColumn("near", shared * self.den >= union * self.num), "differences")
 
     def regrouped(self, rows: DataFrame, links: DataFrame) -> DataFrame:
         """Posts, as settled() takes them, of the elements of differences(...) that classes not yet linked may share.
@@ -204,7 +222,7 @@ class Join:
         def prefix(kind: int, fits, other: str) -> Column:  # kind: 0 among the rest, 1 between the rest and the most frequent label
             u = F.filter("u", fits)
             size = F.greatest(F.lit(0.0), F.coalesce(F.size(u) - need(other) + 1, F.lit(0.0))).cast("int")
-            return F.transform(F.slice(u, F.lit(1), size), lambda v: F.struct(F.lit(kind).alias("kind"), v["e"].alias("e"), (F.col("m") - F.size(u)).alias("w")))
+            return F.transform(F.slice(u, F.lit(1), size), lambda v, i: F.struct(F.lit(kind).alias("kind"), v["e"].alias("e"), (F.col("m") - F.size(u) + i).alias("w")))
 
         among_rest = F.when(F.col("rest"), prefix(0, lambda v: v["r"] > 1, "least_rest"))
         with_main = prefix(1, lambda v: v["r"] < v["df"], "_other")
@@ -217,7 +235,7 @@ class Join:
         """a, b: links between classes that connect all that any links connect."""
         classes = written(self.rows.filter("n > 0").dropDuplicates(["cid"]), "classes")
         prefixes = written(self.prefixes(classes), "prefixes")
-        posts = prefixes.select("cid", "n", "u", F.xxhash64("n", "prefix").alias("alike"), F.explode("prefix").alias("key"))
+        posts = prefixes.select("cid", "n", "u", F.xxhash64("n", "prefix").alias("alike"), F.posexplode("prefix").alias("at", "key"))
         heads = posts.groupBy("key").agg(F.min(F.struct("u", "cid")).alias("x"), F.count(F.lit(1)).alias("f")).filter("f > 1").select("key", F.col("x.cid").alias("head"))
         posts = written(posts.join(heads, "key"), "posts")
         able = posts.select("cid").distinct()
@@ -231,8 +249,10 @@ class Join:
         alike = groups.join(firsts, "alike").filter("cid > b").select(F.col("cid").alias("a"), "b")
         best = posts.filter("cid <> head").groupBy("cid", "head").agg(F.count(F.lit(1)).alias("c"))
         best = best.groupBy(F.col("cid").alias("a")).agg(F.max(F.struct("c", "head")).alias("x")).select("a", F.col("x.head").alias("b"))
-        links = self.linked(alike.union(best).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        posts = posts.select("key", "cid", "n", F.col("n").alias("m"), F.col("u").alias("w"), F.lit(None).cast("int").alias("side"))
+        pairs = alike.union(best).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        side = lambda x: self.sketches.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}"))
+        links = self.linked(pairs.join(side("a"), "a").join(side("b"), "b").filter(self.near("ka", "kb", "na", "nb")).select("a", "b"))
+        posts = posts.select("key", "cid", "n", F.col("n").alias("m"), (F.col("u") + F.col("at")).alias("w"), F.lit(None).cast("int").alias("side"))
         posts = self.labelled(posts, links)
         for level in range(LEVELS):
             found, members = self.settled(posts, level == LEVELS - 1)
