@@ -10,18 +10,19 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PACKAGE = Path(__file__).resolve().parents[1]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or one made here where it is unset (tests)."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors see: spark.checkpoint.dir, or one made here where it is unset on a single machine."""
+    sc = spark.sparkContext
+    conf = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or getattr(sc, "_listingops_dir", None)
     if not conf:
-        conf = getattr(spark.sparkContext, "_listingops_dir", None)
-        if conf is None:
-            conf = "file://" + tempfile.mkdtemp(prefix="listingops-")
-            spark.sparkContext._listingops_dir = conf
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        conf = sc._listingops_dir = "file://" + tempfile.mkdtemp(prefix="listingops-")
     return conf.rstrip("/")
 
 
@@ -63,14 +64,26 @@ def salts(rows: int, per_salt: int = 50_000) -> int:
     return max(32, -(-rows // per_salt))
 
 
-def fits_broadcast(df: DataFrame, limit_rows: int) -> bool:
-    """Whether df has limit_rows rows at most; reads no more than one row beyond."""
-    return df.limit(limit_rows + 1).count() <= limit_rows
+def bytes_of(df: DataFrame) -> int:
+    """About how many bytes the rows of df take in memory. df is read once."""
+
+    def width(kind: T.DataType) -> int:
+        return sum(width(f.dataType) for f in kind.fields) if isinstance(kind, T.StructType) else 8
+
+    size = F.lit(16 + 8 * len(df.columns))
+    for f in df.schema:
+        if isinstance(f.dataType, T.ArrayType):
+            size = size + F.coalesce(F.size(f.name), F.lit(0)) * width(f.dataType.elementType)
+        elif isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(f.name), F.lit(0))
+        else:
+            size = size + width(f.dataType)
+    return df.agg(F.sum(size)).first()[0] or 0
 
 
-def if_small(df: DataFrame, limit_rows: int = 1_000_000) -> DataFrame:
-    """df, to be broadcast where it has limit_rows rows at most, else joined by a shuffle. df is read once more."""
-    return F.broadcast(df) if fits_broadcast(df, limit_rows) else df
+def if_small(df: DataFrame, limit: int = 32 << 20) -> DataFrame:
+    """df, to be broadcast where its rows take limit bytes at most, else joined by a shuffle. df is read once more."""
+    return F.broadcast(df) if bytes_of(df) <= limit else df
 
 
 def ranked_in(df: DataFrame, key: list[str], order: list[str], n_salts: int, out: str) -> DataFrame:

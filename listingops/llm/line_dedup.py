@@ -1,16 +1,19 @@
 """Line dedup: winnowing over line hashes.
 
-A line ends at a line feed, or at a word that ends in . ! or ? before a blank, so that running prose has lines too. A block is the shortest
-run of lines, from one line on, of at least min_words words. Winnowing selects in each window of `window` consecutive
-blocks the one of least hash, so that any repeated run of that many blocks has a selected block in common, whatever
-surrounds it. Blocks of long_words words or more are selected besides, in any window, so that a repeated run of one
-such block, as a single long line or sentence is, is found too. Selected blocks are joined by their own hash and by the hashes of the windows that selected them, each to
-its first place by (doc_id, text key, line). From each such pair of places the match is extended line by line both
-ways, and the later run is deleted.
-
-What is guaranteed: every line of a run of `window` blocks or more, or of one block of long_words words or more, that
-occurs before (in an earlier document, or earlier in its own) is deleted, and the first place of any line stays. Only
-whole lines are deleted: a passage that starts or ends inside a line loses the whole lines within it. Runs of fewer
+A line ends at a line feed, or at a word that ends in . ! or ? before a blank, so that running prose has lines too. A
+block is the shortest run of lines, from one line on, of at least min_words words. Winnowing selects in each window of
+`window` consecutive blocks the one of least hash, so that any repeated run of that many blocks has a selected block in
+common, whatever surrounds it. Blocks of long_words words or more are selected besides, in any window, so that a
+repeated run of one such block, as a single long line or sentence is, is found too.
+
+A match at a selected block is extended line by line, both ways, until another selected block is sure to take over: to
+the left by window - 1 lines, to the right as long as the block that starts `window` lines after is not whole. Block and
+extensions are ranges of lines, each with a hash; a range that has an earlier place, by (doc_id, text key, line), is
+deleted. Each length is joined to the first place of its own, so that a run is held against all earlier texts at once.
+
+What is guaranteed: every line of a run that occurs before (in an earlier document, or earlier in its own) and that has
+`window` consecutive blocks or a block of long_words words or more is deleted, and the first place of any line stays.
+Only whole lines are deleted: a passage that starts or ends inside a line loses the whole lines within it. Runs of fewer
 blocks, all under long_words words, go where winnowing selected them.
 """
 
@@ -21,14 +24,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from listingops.llm.common import if_small, ship, written
-from listingops.llm.words import BASE, buffers_of, hashes_of_block, mixed, powers, runs
+from listingops.llm.words import buffers_of, hashes_of_block, mixed, powers, runs
 
 U = np.uint64
-BROADCAST_DOCUMENTS = 200_000  # with deletions; more are joined by a shuffle of the texts
 STOP = np.zeros(256, dtype=bool)
 STOP[list(b".!?")] = True
 
@@ -70,22 +72,21 @@ def _ranged(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         return mixed((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64))
 
 
-def blocks(lines: Lines, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line, hash, words) of the block that starts at each line, where the text has enough words from there on."""
+def blocks(lines: Lines, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(line, end, hash, words) of the block that starts at each line, where the text has enough words from there on."""
     words = np.concatenate(([0], np.cumsum(lines.words)))
     end = np.searchsorted(words, words[:-1] + min_words)
     text_end = np.repeat(lines.bounds[1:], np.diff(lines.bounds))
     at = np.flatnonzero(end <= text_end)
-    return at, _ranged(lines.hashes, at, end[at]), words[end[at]] - words[at]
+    return at, end[at], _ranged(lines.hashes, at, end[at]), words[end[at]] - words[at]
 
 
-def winnowed(at: np.ndarray, b: np.ndarray, long: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line, its block's hash, hash of the window that selected it) of every window of consecutive blocks of a text.
+def winnowed(at: np.ndarray, b: np.ndarray, long: np.ndarray, bounds: np.ndarray, window: int) -> np.ndarray:
+    """Which blocks some window of consecutive blocks of a text selects, or are long.
 
-    A text with fewer blocks than a window has one window of them all. A long block that no window selects is a window
-    of its own.
+    A text with fewer blocks than a window has one window of them all.
     """
-    parts = []
+    chosen = long.copy()
     text = np.searchsorted(bounds, at, side="right")  # blocks of a text start at consecutive lines
     sizes = np.bincount(text, minlength=1)
     for w in range(1, window + 1):
@@ -96,100 +97,135 @@ def winnowed(at: np.ndarray, b: np.ndarray, long: np.ndarray, bounds: np.ndarray
         if w < window:
             whole &= sizes[text[: len(view)]] == w
         i = np.flatnonzero(whole)
-        pick = i + w - 1 - np.argmin(view[i][:, ::-1], axis=1)  # the last of equal ones
-        key = np.full(len(i), U(w), dtype=np.uint64)
-        with np.errstate(over="ignore"):
-            for j in range(w):
-                key = key * BASE + view[i, j]
-        parts.append((at[pick], b[pick], mixed(key)))
-        long[pick] = False
-    if not parts:
-        return at, b, b
-    own = np.flatnonzero(long)
-    with np.errstate(over="ignore"):
-        parts.append((at[own], b[own], mixed(BASE + b[own])))
-    out = tuple(np.concatenate(x) for x in zip(*parts, strict=True))
-    by = np.argsort(out[0], kind="stable")
-    return out[0][by], out[1][by], out[2][by]
-
-
-LINES = "doc_id long, key long, lines array<long>, at array<int>, fingerprints array<long>, windows array<long>"
-
+        chosen[i + w - 1 - np.argmin(view[i][:, ::-1], axis=1)] = True  # the last of equal ones
+    return chosen
 
-def _fingerprinted(docs: DataFrame, min_words: int, window: int, long_words: int) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("lines", pa.list_(pa.int64())), ("at", pa.list_(pa.int32())), ("fingerprints", pa.list_(pa.int64())), ("windows", pa.list_(pa.int64()))])
 
-    def lists(flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat.view(np.int64) if flat.dtype == np.uint64 else flat.astype(np.int32)))
+def ranges_of(lines: Lines, min_words: int, window: int, long_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first line, end, hash) of every selected block and its extensions, by first line and end."""
+    at, end, b, n = blocks(lines, min_words)
+    pick = winnowed(at, b, n >= long_words, lines.bounds, window)
+    at, end = at[pick], end[pick]
+    words = np.concatenate(([0], np.cumsum(lines.words)))
+    text = np.searchsorted(lines.bounds, at, side="right")
+    low, high = lines.bounds[text - 1], lines.bounds[text]
+    starts, ends = [at], [end]
+    for j in range(1, window):
+        ok = at - j >= low
+        starts.append(at[ok] - j)
+        ends.append(end[ok])
+    s, e, high = at, end + 1, high
+    while len(s):
+        ok = e <= high
+        s, e, high = s[ok], e[ok], high[ok]
+        ok = words[e] - words[np.minimum(s + window, e)] < min_words
+        s, e, high = s[ok], e[ok], high[ok]
+        starts.append(s)
+        ends.append(e)
+        e = e + 1
+    s, e = np.concatenate(starts), np.concatenate(ends)
+    by = np.lexsort((e, s))
+    return s[by], e[by], _ranged(lines.hashes, s[by], e[by])
+
+
+FOUND = "doc_id long, key long, hashes array<long>, starts array<int>, ends array<int>, deleted_starts array<int>, deleted_ends array<int>"
+
+
+class Held:
+    """The ranges of some documents of a task. Of equal ranges only the first can matter to other documents."""
+
+    def __init__(self):
+        self.docs: list[np.ndarray] = []
+        self.sizes: list[np.ndarray] = []
+        self.lines: list[np.ndarray] = []
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n = 0
+
+    def add(self, ids: np.ndarray, keys: np.ndarray, lines: Lines, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+        s, e, h = found
+        cut = np.searchsorted(s, lines.bounds)
+        base = np.repeat(lines.bounds[:-1], np.diff(cut))
+        self.docs.append(np.stack((ids, keys), axis=1))
+        self.sizes.append(np.diff(cut))
+        self.lines.append(np.diff(lines.bounds))
+        self.parts.append((s - base, e - base, h))
+        self.n += len(s)
+
+    def flush(self, schema: pa.Schema) -> pa.RecordBatch:
+        """FOUND: each range that is the first of its hash here, and the lines that ranges after the first cover."""
+        docs, sizes, n_lines = np.concatenate(self.docs), np.concatenate(self.sizes), np.concatenate(self.lines)
+        s, e, h = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        _, rank = np.unique(docs, axis=0, return_inverse=True)
+        doc = np.repeat(np.arange(len(docs)), sizes)
+        place = rank.reshape(-1)[doc]
+        by = np.lexsort((s, place, h))
+        new = np.concatenate((np.ones(1, bool), h[by][1:] != h[by][:-1]))[: len(by)]
+        head = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))] if len(by) else by
+        later = np.zeros(len(s), bool)
+        later[by] = (place[by] != place[head]) | (s[by] != s[head])  # a repeated row of one document is no repeat
+        first = np.zeros(len(s), bool)
+        first[by[new]] = True
+        base = np.concatenate(([0], np.cumsum(n_lines)))
+        depth = np.bincount(base[doc[later]] + s[later], minlength=base[-1] + 1) - np.bincount(base[doc[later]] + e[later], minlength=base[-1] + 1)
+        gone = np.cumsum(depth[:-1]) > 0
+        start, end = gone.copy(), gone.copy()
+        start[1:] &= ~gone[:-1]
+        end[:-1] &= ~gone[1:]
+        edge = base[1:-1][(base[1:-1] > 0) & (base[1:-1] < len(gone))]  # no range goes on into the next document
+        start[edge] |= gone[edge]
+        end[edge - 1] |= gone[edge - 1]
+        out_s, out_e = np.flatnonzero(start), np.flatnonzero(end) + 1
+        of = np.searchsorted(base, out_s, side="right") - 1
+
+        def lists(x: np.ndarray, owner: np.ndarray, kind: pa.DataType) -> pa.Array:
+            offsets = np.searchsorted(owner, np.arange(len(docs) + 1))
+            return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x, kind))
+
+        ours = doc[first]
+        columns = [pa.array(docs[:, 0]), pa.array(docs[:, 1]), lists(h[first].view(np.int64), ours, pa.int64()), lists(s[first].astype(np.int32), ours, pa.int32()), lists(e[first].astype(np.int32), ours, pa.int32()), lists((out_s - base[of]).astype(np.int32), of, pa.int32()), lists((out_e - base[of]).astype(np.int32), of, pa.int32())]
+        self.__init__()
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
+def _found(docs: DataFrame, min_words: int, window: int, long_words: int, at_once: int) -> DataFrame:
+    whole = lambda t: pa.list_(t)
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("hashes", whole(pa.int64())), *((c, whole(pa.int32())) for c in ("starts", "ends", "deleted_starts", "deleted_ends"))])
 
     def run(batches):
+        held = Held()
         for batch in batches:
             data, offsets = buffers_of(batch.column(2))
+            ids, keys = (batch.column(c).to_numpy() for c in (0, 1))
             for i, j in runs(offsets):
-                off = offsets[i : j + 1] - offsets[i]
-                lines = lines_of(data[offsets[i] : offsets[j]], off)
-                at, b, n = blocks(lines, min_words)
-                at, f, w = winnowed(at, b, n >= long_words, lines.bounds, window)
-                cut = np.searchsorted(at, lines.bounds)
-                at = at - np.repeat(lines.bounds[:-1], np.diff(cut))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), lists(lines.hashes, lines.bounds), lists(at, cut), lists(f, cut), lists(w, cut)], schema=schema)
+                lines = lines_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                held.add(ids[i:j], keys[i:j], lines, ranges_of(lines, min_words, window, long_words))
+                if held.n >= at_once:
+                    yield held.flush(schema)
+        if held.docs:
+            yield held.flush(schema)
 
     ship(docs.sparkSession)
-    return docs.mapInArrow(run, LINES)
-
+    return docs.mapInArrow(run, FOUND)
 
-def _extended(a: np.ndarray, b: np.ndarray, diagonal: int, at: np.ndarray) -> list[tuple[int, int]]:
-    """Runs [start, end) of a around the places at, equal in b at places less by diagonal."""
-    low, high = max(0, diagonal), min(len(a), len(b) + diagonal)
-    same = np.concatenate(([False], a[low:high] == b[low - diagonal : high - diagonal], [False]))
-    edges = np.flatnonzero(same[1:] != same[:-1])
-    starts, ends = edges[::2] + low, edges[1::2] + low
-    hit = np.unique(np.searchsorted(starts, at, side="right") - 1)
-    return [(int(starts[i]), int(ends[i])) for i in hit if i >= 0]
 
+def repeated_runs(docs: DataFrame, min_words: int = 8, window: int = 2, long_words: int = 20, at_once: int = 1 << 20) -> DataFrame:
+    """doc_id, key and deleted array<struct<s,e>> (line ranges, sorted, disjoint) of documents with repeats.
 
-def repeated_runs(docs: DataFrame, min_words: int = 8, window: int = 2, long_words: int = 20) -> DataFrame:
-    """doc_id, key, n_lines and deleted array<struct<s,e>> (line ranges, sorted, disjoint) of documents with repeats.
-
-    key is a hash of the text: rows equal in doc_id and text are one document. Null texts and doc_ids take no part.
+    key is a hash of the text: rows equal in doc_id and text are one document. Null texts and doc_ids take no part. A
+    task passes equal ranges on once for every at_once ranges that it has read, so a line that a third of all documents
+    hold makes no large group: its rows are as many as tasks.
     """
     own = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-    table = written(_fingerprinted(own, min_words, window, long_words), "lines")
-    if not table.groupBy("doc_id", "key").count().filter("count > 1").isEmpty():
-        table = table.dropDuplicates(["doc_id", "key"])
-    marks = table.select("doc_id", "key", F.explode(F.arrays_zip("at", "fingerprints", "windows")).alias("m")).select("doc_id", "key", F.col("m.at").alias("at"), F.col("m.fingerprints").alias("f"), F.col("m.windows").alias("w"))
-    often = marks.groupBy("f").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("f")
-    shared = written(marks.join(often, "f"), "marks")
-    place = F.struct("doc_id", "key", "at")
-    first = {c: shared.groupBy(c).agg(F.min(place).alias(f"first_{c}")) for c in ("f", "w")}
-    found = shared.join(first["f"], "f").join(first["w"], "w")
-    # a window's own first place covers its selected block; the block's first place serves where the window has none
-    found = found.withColumn("first", F.when(place > F.col("first_w"), F.col("first_w")).when(place > F.col("first_f"), F.col("first_f"))).filter("first IS NOT NULL")
-    pairs = found.select("doc_id", "key", "at", F.col("first.doc_id").alias("b_id"), F.col("first.key").alias("b_key"), (F.col("at") - F.col("first.at")).alias("diagonal"))
-    runs = pairs.groupBy("doc_id", "key", "b_id", "b_key").agg(F.collect_set(F.struct("diagonal", "at")).alias("places"))  # no more than a document's lines
-    a = table.select("doc_id", "key", F.col("lines").alias("a"))
-    b = table.select(F.col("doc_id").alias("b_id"), F.col("key").alias("b_key"), F.col("lines").alias("b"))
-    both = runs.join(b, ["b_id", "b_key"]).join(a, ["doc_id", "key"]).select("doc_id", "key", "places", "a", "b")
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_lines", pa.int32()), ("s", pa.int32()), ("e", pa.int32())])
-
-    def extend(batches):
-        for batch in batches:
-            out = []
-            for d, k, places, x, y in zip(*(batch.column(c) for c in range(5)), strict=True):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                g, at = (places.values.field(i).to_numpy() for i in (0, 1))
-                for diagonal in np.unique(g):
-                    out += [(d.as_py(), k.as_py(), len(x), s, e) for s, e in _extended(x, y, int(diagonal), np.sort(at[g == diagonal]))]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema, strict=True)], schema=schema)
-
-    spans = both.mapInArrow(extend, "doc_id long, key long, n_lines int, s int, e int").distinct()
-    merged = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("s", "e"))),
-        F.expr("CAST(array() AS array<struct<s:int,e:int>>)"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["e"] >= x["s"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], x["e"]).alias("e"))))).otherwise(F.concat(acc, F.array(x))),
-    )
-    return spans.groupBy("doc_id", "key").agg(F.max("n_lines").alias("n_lines"), merged.alias("deleted"))
+    table = written(_found(own, min_words, window, long_words, at_once), "ranges")
+    marks = table.select("doc_id", "key", F.explode(F.arrays_zip("hashes", "starts", "ends")).alias("m")).select(F.col("m.hashes").alias("h"), "doc_id", "key", F.col("m.starts").alias("s"), F.col("m.ends").alias("e"))
+    place = F.struct("doc_id", "key", "s")
+    later = marks.withColumn("first", F.min(place).over(Window.partitionBy("h"))).filter(place > F.col("first")).select("doc_id", "key", "s", "e")
+    here = table.select("doc_id", "key", F.explode(F.arrays_zip("deleted_starts", "deleted_ends")).alias("m")).select("doc_id", "key", F.col("m.deleted_starts").alias("s"), F.col("m.deleted_ends").alias("e"))
+    order = Window.partitionBy("doc_id", "key").orderBy("s", "e")
+    reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    spans = later.unionByName(here).withColumn("_new", F.when(reach.isNull() | (F.col("s") > reach), 1).otherwise(0))
+    merged = spans.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_id", "key", "_run").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    return merged.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("deleted"))  # no more than a document's lines
 
 
 def without(text: str, deleted: list[tuple[int, int]]) -> str:
@@ -204,15 +240,15 @@ def without(text: str, deleted: list[tuple[int, int]]) -> str:
     return b"".join(raw[lines.starts[i] : e] for i, e in zip(kept, ends, strict=True)).decode("utf-8", "surrogatepass")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 8, window: int = 2, long_words: int = 20) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = 8, window: int = 2, long_words: int = 20, at_once: int = 1 << 20) -> DataFrame:
     """docs with text cleaned of later repeated runs, and deleted_lines (line ranges; null where nothing went).
 
     Every row and column stays, also rows with a null text or doc_id, which are left as they are; a document that is
     all repeats has an empty text. Rows equal in doc_id and text are cleaned alike. A column of docs that is named
     deleted_lines is replaced.
     """
-    runs = repeated_runs(docs, min_words, window, long_words).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("deleted").alias("_deleted"))
-    runs = if_small(written(runs, "deleted"), BROADCAST_DOCUMENTS)
+    runs = repeated_runs(docs, min_words, window, long_words, at_once).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("deleted").alias("_deleted"))
+    runs = if_small(written(runs, "deleted"))
     joined = docs.join(runs, (F.col("doc_id").cast("long") == F.col("_d")) & (F.xxhash64("text") == F.col("_k")), "left")
 
     @F.pandas_udf("string")

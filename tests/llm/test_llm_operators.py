@@ -327,6 +327,52 @@ def test_line_dedup_of_single_long_lines(spark):
     assert all(x not in got[i].text for k, own in enumerate(zip(one, (c for _, c in two), (d for d, _ in short), strict=True)) for m, x in enumerate(own) for i in (3 * k + m + 90, 3 * k + m + 180))
 
 
+def test_line_dedup_holds_runs_against_all_earlier_texts(spark):
+    """Lines that follow a repeated block go where any earlier text has them, not only the first that has the block."""
+    r = random.Random(21)
+    line = lambda n: prose(r, n).capitalize() + "."
+    a, b, s, t, u, v = line(12), line(13), line(3), line(4), line(2), line(9)
+    parts = [[a, b], [a, b, s, t], [a, b, s, t], [a, b, s, u, v], [v, a, b, s, u], [a, b, s, u], [v, a, b]]
+    texts = [" ".join([line(10), *x, line(11)]) for x in parts]
+    got = {x.doc_id: x.text for x in line_dedup.dedup_lines(frame(spark, texts)).collect()}
+    kept = [[a, b], [s, t], [], [u, v], [], [], []]
+    for n, x in enumerate(texts):
+        lines = [y + "." for y in x.rstrip(".").split(". ")]
+        if n != 4:
+            assert got[n] == " ".join([lines[0], *kept[n], lines[-1]]), n
+    assert a not in got[4] and b not in got[4] and s not in got[4] and u not in got[4]
+
+
+@pytest.mark.parametrize("at_once", [1, 50, 1 << 20])
+def test_line_dedup_equals_brute_force(spark, at_once):
+    """Every line of a repeated run that has a window of blocks or a long block is deleted; no first place is."""
+    r = random.Random(22)
+    pool = [prose(r, r.choice((1, 2, 4, 9, 12, 22))) for _ in range(14)]
+    texts = ["\n".join(r.choice(pool) for _ in range(r.randint(1, 14))) for _ in range(50)]
+    texts += texts[:3]
+    split = [t.split("\n") for t in texts]
+    got = {x.doc_id: {i for y in x.deleted_lines or [] for i in range(y.s, y.e)} for x in line_dedup.dedup_lines(frame(spark, texts), at_once=at_once).collect()}
+    words = [[len(x.split()) for x in t] for t in split]
+    for d, t in enumerate(split):
+        ends = [next((e for e in range(i + 1, len(t) + 1) if sum(words[d][i:e]) >= 8), None) for i in range(len(t))]
+        must = set()
+        for c in range(d + 1):
+            for i in range(len(t)):
+                for j in range(len(split[c]) if c < d else i):
+                    n = 0
+                    while i + n < len(t) and j + n < len(split[c]) and t[i + n] == split[c][j + n]:
+                        n += 1
+                    whole = [k for k in range(i, i + n) if ends[k] and ends[k] <= i + n]
+                    if any(k + 1 in whole for k in whole) or any(sum(words[d][k : ends[k]]) >= 20 for k in whole):
+                        must |= set(range(i, i + n))
+        assert must <= got[d], d
+    seen = set()
+    for d, t in enumerate(split):
+        for i, x in enumerate(t):
+            assert x in seen or i not in got[d]
+            seen.add(x)
+
+
 def test_patience_alignment():
     text, template = "x a b q c d a e".split(), "a b c d e".split()
     pairs = license_scan.align(text, template)
