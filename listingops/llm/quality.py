@@ -1,9 +1,8 @@
 """Quality classifier by importance resampling.
 
 Two generative models over hashed word n-grams (one and two words), one of target text and one of raw text, give each
-document a log importance weight, the mean over its n-grams of log p_target - log p_raw times a fixed length: left as a
-sum, the weight of a long text says more about its length than about its kind. Gumbel noise makes the k largest noisy
-weights a sample without replacement in proportion to the weights (Gumbel top-k).
+document its log importance weight, the sum over its n-grams of log p_target - log p_raw. Gumbel noise makes the k
+largest noisy weights a sample without replacement in proportion to the weights (Gumbel top-k).
 """
 
 from __future__ import annotations
@@ -20,7 +19,6 @@ from listingops.llm.words import mixed, word_hashes
 
 BITS = 18
 BUCKETS = 1 << BITS
-LENGTH = 256  # n-grams that a text weighs as
 U = np.uint64
 
 
@@ -46,12 +44,13 @@ def sampled(labels: DataFrame, rows: int, seed: int) -> DataFrame:
     return known.orderBy(h, "doc_id").limit(rows).withColumn("fold", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(2)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 50_000, prior: float = 5.0, seed: int = 5) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 50_000, prior: float = 50.0, seed: int = 5) -> Model:
     """The models: raw from every row of docs(doc_id, text), target from labels(doc_id, quality) with quality 1.
 
     sample_rows bounds the labelled rows; half of them fit the target model. They are broadcast, so no text is
     shuffled. Counts leave a task once, one row for each bucket. prior is how many n-grams of either kind a bucket
-    starts with, so that buckets with few say little.
+    starts with, so that buckets with few say little: the target sample lacks most rare n-grams of its own kind, and the
+    sum over a long text would add that up.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -78,9 +77,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 50_000, prior: fl
 
 
 def weigh(docs: DataFrame, model: Model, seed: int = 9) -> DataFrame:
-    """doc_id, n_grams, log_weight and gumbel_key = log_weight + Gumbel noise of every row of docs(doc_id, text).
+    """doc_id, text_key, n_grams, log_weight and gumbel_key = log_weight + Gumbel noise of every row of docs(doc_id, text).
 
-    The noise is a function of doc_id and seed, so a rerun draws the same. Null and empty texts have weight 0.
+    text_key is xxhash64 of the text. The noise is a function of doc_id, text and seed, so a rerun draws the same. Null
+    and empty texts have weight 0.
     """
     held = docs.sparkSession.sparkContext.broadcast(model.log_ratio)
 
@@ -88,15 +88,16 @@ def weigh(docs: DataFrame, model: Model, seed: int = 9) -> DataFrame:
         ratio = held.value
         for batch in batches:
             n, x = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for i, j, h, bounds in word_hashes(batch.column(1)):
+            for i, j, h, bounds in word_hashes(batch.column(2)):
                 row, bucket = ngram_buckets(h, bounds)
                 n[i:j] = np.bincount(row, minlength=j - i)
-                x[i:j] = np.bincount(row, ratio[bucket], minlength=j - i) * LENGTH / np.maximum(1, n[i:j])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(x)], names=["doc_id", "n_grams", "log_weight"])
+                x[i:j] = np.bincount(row, ratio[bucket], minlength=j - i)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(x)], names=["doc_id", "text_key", "n_grams", "log_weight"])
 
     ship(docs.sparkSession)
-    out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_grams long, log_weight double")
-    u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    out = keyed.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, n_grams long, log_weight double")
+    u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_key"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     return out.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(u)))
 
 
@@ -164,7 +165,7 @@ def expected_good(weighed: DataFrame, labels: DataFrame, lost_cost: float = 4.0,
 
 
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
-    """doc_id, n_grams, log_weight, gumbel_key and selected of every row of docs(doc_id, text).
+    """doc_id, text_key, n_grams, log_weight, gumbel_key and selected of every row of docs(doc_id, text).
 
     k rows are selected; without k, as many as weigh like labelled good text (expected_good). Null and empty texts have
     weight 0 and are drawn like others. Rows equal in doc_id and text are selected together.
