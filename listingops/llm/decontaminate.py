@@ -184,12 +184,14 @@ class Items:
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, items_a_pass: int = ITEMS_A_PASS) -> DataFrame:
-    """doc_id, item_id, start, n_words, similarity: windows of docs(doc_id, text) that repeat an item of
-    benchmark(item_id, text) with a similarity of at least `least`. start counts words from 0.
+    """doc_id, item_id, start, n_words, similarity, text_key: windows of docs(doc_id, text) that repeat an item of
+    benchmark(item_id, text) with a similarity of at least `least`. start counts words from 0; text_key is xxhash64 of
+    the document's text.
 
     Documents are never shuffled. The benchmark is sent to the tasks items_a_pass items at a time; a larger one takes
-    more passes, with the same rows. The shingles that several items share go with each pass. Null and empty texts and items match nothing, a text shorter than an item is held against it whole;
-    repeated rows match each; other columns are ignored.
+    more passes, with the same rows. The shingles that several items share go with each pass. Null and empty texts and
+    items match nothing, a text shorter than an item is held against it whole; repeated rows match each, a null doc_id
+    stays null; other columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -223,15 +225,16 @@ def _shared(items: DataFrame) -> dict[int, int]:
 
 def _scan(docs: DataFrame, rows: list[tuple[int, np.ndarray]], keys: list[int], least: float, shared: Broadcast) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(rows)  # items_a_pass items at most
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int32()), ("n_words", pa.int32()), ("similarity", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int32()), ("n_words", pa.int32()), ("similarity", pa.float64()), ("text_key", pa.int64())])
 
     def run(batches):
         items = Items(held.value, least, shared.value)
         for batch in batches:
-            ids, out = batch.column(0), []
-            for i, _, h, bounds in word_hashes(batch.column(1)):
-                out += [(ids[i + t].as_py(), keys[k], at, size, x) for t, k, at, size, x in items.matches(h, bounds, least)]
+            ids, text_keys, out = batch.column(0), batch.column(1), []
+            for i, _, h, bounds in word_hashes(batch.column(2)):
+                out += [(ids[i + t].as_py(), keys[k], at, size, x, text_keys[i + t].as_py()) for t, k, at, size, x in items.matches(h, bounds, least)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema, strict=True)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, start int, n_words int, similarity double")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    return keyed.mapInArrow(run, "doc_id long, item_id long, start int, n_words int, similarity double, text_key long")

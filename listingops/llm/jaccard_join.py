@@ -265,23 +265,25 @@ class Join:
         return links
 
     def result(self) -> DataFrame:
-        """doc_id, text_key, n_shingles, component_id of every row."""
+        """doc_id, text_key, n_shingles, component_id, component_key of every row."""
         roots = components(self.links())
         least = self.rows.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"))
         named = least.join(roots, least["cid"] == roots["node"], "left").select("cid", "least", F.coalesce("root", "cid").alias("root"))
         first = named.groupBy("root").agg(F.min("least").alias("component_id"))
-        by_class = named.join(first, "root").select("cid", "component_id")
+        by_class = named.join(first, "root").select("cid", "component_id", F.col("root").alias("component_key"))
         rows = self.rows.select("doc_id", "text_key", "cid", "n")
-        linked = rows.filter("n > 0").join(by_class, "cid").select("doc_id", "text_key", F.col("n").cast("long").alias("n_shingles"), "component_id")
-        return linked.unionByName(rows.filter("n = 0").select("doc_id", "text_key", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+        linked = rows.filter("n > 0").join(by_class, "cid").select("doc_id", "text_key", F.col("n").cast("long").alias("n_shingles"), "component_id", "component_key")
+        alone = rows.filter("n = 0").select("doc_id", "text_key", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component_key"))
+        return linked.unionByName(alone)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, text_key, n_shingles, component_id of every row of docs(doc_id, text).
+    """doc_id, text_key, n_shingles, component_id, component_key of every row of docs(doc_id, text).
 
     component_id is the least doc_id that links reach, the row's own included; a null doc_id is none, so it is null
-    where links reach no other. A text with fewer than k words has one shingle of them all; a text without words, empty
-    or null has none and links with nothing. Repeated rows are rows each, and link. text_key is xxhash64 of the text.
-    Other columns are ignored; empty input gives no rows.
+    where links reach no other. component_key names the component in any case, and is null where a text has no words. A
+    text with fewer than k words has one shingle of them all; a text without words, empty or null has none and links
+    with nothing. Repeated rows are rows each, and link. text_key is xxhash64 of the text. Other columns are ignored;
+    empty input gives no rows.
     """
     return Join(docs, k, num, den).result()
