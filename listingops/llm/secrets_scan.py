@@ -1,15 +1,16 @@
 """Secret scans: fixed rules, and character Markov models of random strings and of ordinary identifiers.
 
-A candidate is a run of key characters that no fixed rule covers. Two first-order character models give it a
+A candidate is a run of 12 or more key characters that no fixed rule covers. Two first-order character models give it a
 log-likelihood ratio; a run is reported when the ratio, in total and per character, says random. The models are trained
-from labelled samples (token, random 0/1): values that the rules find in the corpus and drawn strings on one side,
-words of the corpus on the other.
+from labelled samples (token, random 0/1): values that the rules find in the corpus and drawn strings on one side, all
+other runs of key characters of the corpus, words and identifiers, on the other.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,8 +27,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+SHORTEST = 12
+SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 EDGE = len(SYMBOLS)
 CODE = {c: i for i, c in enumerate(SYMBOLS)}
 _BYTE_CODE = np.full(256, EDGE, dtype=np.int64)
@@ -40,7 +41,6 @@ def _run_table(chars: str) -> bytes:
 
 
 _HEX_RUN, _KEY_RUN = _run_table("0123456789abcdef"), _run_table(SYMBOLS)
-_DIGIT = frozenset("0123456789")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -56,11 +56,24 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(out)
 
 
-def candidates(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str]]:
-    """Runs of 20 or more key characters that touch no span of taken."""
-    if b"\1" * 20 not in text.encode("utf-8", "surrogatepass").translate(_KEY_RUN):
-        return []
-    return [(m.start(), m.end(), m[0]) for m in CANDIDATE.finditer(text) if not any(s < m.end() and m.start() < e for s, e, *_ in taken)]
+_LONG_RUN = re.compile(b"\1{%d,}" % SHORTEST)
+
+
+def candidates(text: str, taken: list[tuple[int, int, int, str]]) -> Iterator[tuple[int, int, bytes]]:
+    """Runs of SHORTEST or more key characters, without dots at their ends, that touch no span of taken, by start."""
+    raw = text.encode("utf-8", "surrogatepass")
+    n, reach, at, point = 0, 0, 0, 0
+    for m in _LONG_RUN.finditer(raw.translate(_KEY_RUN)):
+        token = raw[m.start() : m.end()].lstrip(b".")
+        low = m.end() - len(token)
+        token = token.rstrip(b".")
+        point += low - at if len(raw) == len(text) else len(raw[at:low].decode("utf-8", "surrogatepass"))
+        at = low
+        if len(token) >= SHORTEST:
+            while n < len(taken) and taken[n][0] < point + len(token):  # the furthest end of spans that start before the run's end
+                reach, n = max(reach, taken[n][1]), n + 1
+            if reach <= point:
+                yield point, point + len(token), token
 
 
 @dataclass(frozen=True)
@@ -68,34 +81,47 @@ class Model:
     """Log-probabilities of the next character under both models: ratio[a, b] = log random - log identifier."""
 
     ratio: np.ndarray
-    per_char: float = 0.8
-    total: float = 20.0
+    per_char: float = 0.9
+    total: float = 14.0
 
-    def score(self, token: str) -> float:
-        codes = np.concatenate(([EDGE], _BYTE_CODE[np.frombuffer(token.encode("ascii"), np.uint8)], [EDGE]))
-        return float(self.ratio[codes[:-1], codes[1:]].sum())
+    def scores(self, tokens: list[bytes]) -> np.ndarray:
+        """The log-likelihood ratio of each token, its edges included."""
+        if not tokens:
+            return np.empty(0)
+        codes = _BYTE_CODE[np.frombuffer(b"\0".join([b"", *tokens, b""]), np.uint8)]
+        sums = np.concatenate(([0.0], np.cumsum(self.ratio[codes[:-1], codes[1:]])))
+        ends = np.cumsum([len(t) + 1 for t in tokens])
+        return sums[ends] - sums[np.concatenate(([0], ends[:-1]))]
 
-    def is_secret(self, token: str) -> float | None:
-        """The log-likelihood ratio of a random token, else None."""
-        x = self.score(token)
-        return x if x >= self.total and x >= self.per_char * (len(token) + 1) else None
+    def secret(self, tokens: list[bytes]) -> np.ndarray:
+        """The log-likelihood ratio of each token that is random, NaN for the others."""
+        x = self.scores(tokens)
+        return np.where((x >= self.total) & (x >= self.per_char * np.array([len(t) + 1 for t in tokens])), x, np.nan)
 
 
 def drawn(samples: int, seed: int) -> list[str]:
     """Random strings over the alphabets that keys are commonly written in, as many of each."""
     r = random.Random(seed)
     alphabets = (SYMBOLS[:62], SYMBOLS[26:62], SYMBOLS[:26] + SYMBOLS[52:62], "0123456789abcdef", SYMBOLS[:64])
-    return ["".join(r.choices(a, k=r.randint(20, 48))) for a in alphabets for _ in range(samples)]
+    return ["".join(r.choices(a, k=r.randint(SHORTEST, 48))) for a in alphabets for _ in range(samples)]
 
 
-def transitions(tokens: list[str]) -> np.ndarray:
-    out = np.zeros((EDGE + 1, EDGE + 1), dtype=np.int64)
-    codes = _BYTE_CODE[np.frombuffer("\0".join(["", *tokens, ""]).encode("ascii", "replace"), np.uint8)]
-    np.add.at(out, (codes[:-1], codes[1:]), 1)
+def transitions(texts: Iterable[str]) -> np.ndarray:
+    """How often each key character follows each in texts. A run's edges are EDGE, as are all other characters."""
+    codes = _BYTE_CODE[np.frombuffer("\0".join(["", *texts, ""]).encode("utf-8", "surrogatepass"), np.uint8)]
+    out = np.bincount(codes[:-1] * (EDGE + 1) + codes[1:], minlength=(EDGE + 1) ** 2).reshape(EDGE + 1, EDGE + 1)
+    out[EDGE, EDGE] = 0  # between runs
     return out
 
 
-WORD = re.compile(r"[A-Za-z][A-Za-z_-]{5,}")
+def outside(text: str, spans: list[tuple[int, int, int, str]]) -> Iterator[str]:
+    """The parts of text that no span of spans, sorted by start, covers."""
+    at = 0
+    for s, e, *_ in spans:
+        if s > at:
+            yield text[at:s]
+        at = max(at, e)
+    yield text[at:]
 
 
 def fit(docs: DataFrame, *, drawn_each: int = 2_000, seed: int = 7) -> Model:
@@ -107,13 +133,13 @@ def fit(docs: DataFrame, *, drawn_each: int = 2_000, seed: int = 7) -> Model:
     def count(batches):
         both = np.zeros((2, EDGE + 1, EDGE + 1), dtype=np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                text = text or ""
-                found = base_spans(text)
-                both[1] += transitions([v for *_, v in found])
-                for s, e, *_ in reversed(found):
-                    text = text[:s] + " " + text[e:]
-                both[0] += transitions([w for w in WORD.findall(text) if len(w) < 64])
+            for low in range(0, batch.num_rows, 64):
+                secret, plain = [], []
+                for text in batch.column(0).slice(low, 64).to_pylist():
+                    found = base_spans(text or "")
+                    secret += [v for *_, v in found]
+                    plain += outside(text or "", found)
+                both += np.stack((transitions(plain), transitions(secret)))
         at = np.nonzero(both)
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((*at, both[at]), schema, strict=True)], schema=schema)
 
@@ -146,11 +172,8 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
                 text = text or ""
                 base = base_spans(text)
                 spans = [(s, e, k, None) for s, e, k, _ in base]
-                for s, e, token in candidates(text, base):
-                    if not _DIGIT.isdisjoint(token) or not token.isalpha() or token.lower() != token:
-                        x = model.is_secret(token)
-                        if x is not None:
-                            spans.append((s, e, 3, x))
+                found = list(candidates(text, base))
+                spans += [(s, e, 3, float(x)) for (s, e, _), x in zip(found, model.secret([t for *_, t in found]), strict=True) if x == x]
                 out.append([{"kind": KINDS[k], "start": s, "end": e, "score": x} for s, e, k, x in sorted(spans, key=lambda y: (y[0], y[2], y[1]))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(kind))], names=["doc_id", "spans"])
 

@@ -89,19 +89,47 @@ def test_secrets_base_digest(spark):
 
 
 def test_markov_models_tell_random_from_named(spark):
-    m = secrets_scan.fit(spark.read.parquet(f"{SF}/documents.parquet"))
-    for t in ("wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY", "ghp_16C7e42F292c6912E7710c838347Ae178B4a"):
-        assert m.is_secret(t)
-    for t in ("internationalization-of-things", "MAX_CONNECTION_POOL_SIZE_LIMIT", "getApplicationContextFromRequest"):
-        assert not m.is_secret(t)
+    """Recall on random tokens of 12 characters and more, and false alarms among all runs of the given texts."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    m, r = secrets_scan.fit(docs), random.Random(23)
+    secret = lambda tokens: ~np.isnan(m.secret([t.encode() for t in tokens]))
+    assert secret(["wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY", "ghp_16C7e42F292c6912E7710c838347Ae178B4a"]).all()
+    assert not secret(["internationalization-of-things", "MAX_CONNECTION_POOL_SIZE_LIMIT", "getApplicationContextFromRequest", "www.example.com/things"]).any()
+    low, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for alphabet in (low, low + "0123456789", upper + "0123456789", low + upper + "0123456789", low + upper + "0123456789+/"):
+        for n in (12, 16, 24, 40):
+            assert secret(["".join(r.choices(alphabet, k=n)) for _ in range(200)]).mean() > (0.75 if n == 12 else 0.93), (alphabet, n)
+    runs = [t for x in docs.collect() for *_, t in secrets_scan.candidates(x.text or "", secrets_scan.base_spans(x.text or ""))]
+    assert len(runs) > 500 and secret([t.decode() for t in runs]).mean() < 0.005
+
+
+def test_planted_tokens_are_found(spark):
+    """Random tokens in texts of the given kind, lower-case ones and ones among other characters too; by code points."""
+    r, docs = random.Random(24), [x.text or "" for x in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    texts, want = [], set()
+    for d, t in enumerate(docs):
+        w = t.split(" ")
+        at = r.randrange(len(w) + 1)
+        token = "".join(r.choices("ghijklmnopqrstuvwxyz" if d % 2 else "GHJKmnpqrstuvw23456789", k=24))
+        head = " ".join(["é\U0001f600", *w[:at], ""]) + "("
+        texts.append(head + token + ".) " + " ".join(w[at:]))
+        want.add((d, len(head), len(head) + 24))
+    found = secrets_scan.scan(frame(spark, texts), secrets_scan.fit(frame(spark, docs))).collect()
+    got = {(x.doc_id, s.start, s.end) for x in found for s in x.spans if s.kind == "markov"}
+    assert len(want & got) >= 0.98 * len(want) and len(got - want) < 0.02 * len(want)
+
+
+def test_candidates_touch_no_span():
+    text = "a" * 15 + " password=" + "b1" * 9 + " ..." + "c" * 13 + ".. é" + "d" * 12 + " " + "e" * 11
+    got = list(secrets_scan.candidates(text, secrets_scan.base_spans(text)))
+    assert [(text[s:e].encode(), t) for s, e, t in got] == [(x * n, x * n) for x, n in ((b"a", 15), (b"c", 13), (b"d", 12))]
 
 
 def test_markov_models_count_all_rows(spark):
     r = random.Random(16)
     texts = ["".join(r.choices("abcdefgh_XYZ", k=9)).strip("_") for _ in range(24_000)]
     counts = np.zeros((2, secrets_scan.EDGE + 1, secrets_scan.EDGE + 1))
-    for t in texts:
-        counts[0] += secrets_scan.transitions([w for w in secrets_scan.WORD.findall(t) if len(w) < 64])
+    counts[0] = secrets_scan.transitions(texts)
     counts[1] = secrets_scan.transitions(secrets_scan.drawn(2_000, 7))
     p = counts + np.array([0.5, 0.05])[:, None, None]
     p = np.log(p / p.sum(axis=2, keepdims=True))
