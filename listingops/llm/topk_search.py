@@ -1,19 +1,21 @@
 """Exact top-k search over an impact-ordered index, score at a time.
 
-Vectors are dealt by a hash into blocks. A block's index has, for each dimension, the vectors' postings in segments of
-equal quantised value. A query takes the segments of all dimensions by descending quantised impact and adds each
+Tasks index the vectors that they read in blocks; vectors are never shuffled. A block's index has, for each dimension,
+the vectors' postings in segments of equal quantised value. A query takes the segments of all dimensions by descending quantised impact and adds each
 impact to its vectors' accumulators. It stops on proof only: when no vector outside the few that may still be members
 can reach the k-th best lower bound, whatever its unread postings hold. Possible members are then rescored exactly.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from listingops.llm.common import ship
+from listingops.llm.common import ship, written
 
 LEVELS = 32
 BATCH = 96  # segments between two looks at the proof
@@ -77,34 +79,79 @@ class Index:
         return ids[best], scores[best]
 
 
-def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int = 8192, query_rows: int = 1024) -> DataFrame:
+class Best:
+    """The k best rows of each of some queries over the blocks of a task."""
+
+    def __init__(self, queries: dict[int, tuple[np.ndarray, np.ndarray]], k: int, block_rows: int):
+        self.queries, self.k, self.block_rows = queries, k, block_rows
+        self.held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def add(self, ids: np.ndarray, vectors: pa.ListArray) -> None:
+        bounds, values = vectors.offsets.to_numpy().astype(np.int64), vectors.values.to_numpy()
+        sizes = np.diff(bounds)
+        for d in np.unique(sizes).tolist():
+            if d in self.queries:
+                at = np.flatnonzero(sizes == d)
+                own = self.held.setdefault(d, [])
+                own.append((ids[at], values[bounds[at][:, None] + np.arange(d)]))
+                if sum(len(x) for x, _ in own) >= self.block_rows:
+                    self.search(d)
+
+    def search(self, d: int) -> None:
+        ids, vectors = (np.concatenate(x) for x in zip(*self.held.pop(d), strict=True))
+        for low in range(0, len(ids), self.block_rows):
+            index = Index(ids[low : low + self.block_rows], vectors[low : low + self.block_rows])
+            for q, v in zip(self.queries[d][0].tolist(), self.queries[d][1], strict=True):
+                new, scores = index.search(v, self.k, q)
+                if q in self.found:
+                    new, scores = np.concatenate((self.found[q][0], new)), np.concatenate((self.found[q][1], scores))
+                    by = np.lexsort((new, -scores))[: self.k]
+                    new, scores = new[by], scores[by]
+                self.found[q] = new, scores
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        for d in list(self.held):
+            self.search(d)
+        if self.found:
+            ids, scores = (np.concatenate(x) for x in zip(*self.found.values(), strict=True))
+            asked = np.repeat(np.fromiter(self.found, np.int64, len(self.found)), [len(x) for x, _ in self.found.values()])
+            yield pa.RecordBatch.from_arrays([pa.array(asked), pa.array(ids), pa.array(scores)], names=["query_id", "vec_id", "score"])
+
+
+def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int = 8192, queries_a_pass: int = 16_384) -> DataFrame:
     """query_id, rank, vec_id, score: the k best inner products of each query over all other rows.
 
-    vectors(vec_id, v array<bigint>), queries(query_id, v). Rows are dealt to blocks of about block_rows, queries to
-    blocks of about query_rows; each pair of blocks is one task's work, and k rows for each query leave it. Rows with
-    the query's own id are not candidates; ties go to the smaller vec_id. Null vectors and vectors with a null
-    component take no part; vectors of another length are not compared. Repeated query ids are one query.
+    vectors(vec_id, v array<bigint>), queries(query_id, v). Each task indexes its rows in blocks of block_rows and
+    passes on k rows for each query. Queries are sent to the tasks queries_a_pass at a time, about; more of them take
+    more passes over the vectors, with the same rows. Rows with the query's own id are not candidates; ties go to the
+    smaller vec_id. Null vectors and vectors with a null component take no part; vectors of another length are not
+    compared. Repeated query ids are one query, repeated vectors are rows each; other columns are ignored.
     """
     spark = vectors.sparkSession
     whole = lambda c: F.col(c).isNotNull() & ~F.exists(c, lambda x: x.isNull())
-    data = vectors.filter(whole("v") & F.col("vec_id").isNotNull()).select("vec_id", "v", F.size("v").alias("d"))
-    asked = queries.filter(whole("v") & F.col("query_id").isNotNull()).select("query_id", "v", F.size("v").alias("d")).dropDuplicates(["query_id"])
-    n_blocks, n_query_blocks = max(1, -(-data.count() // block_rows)), max(1, -(-asked.count() // query_rows))
-    data = data.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))))
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(n_query_blocks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
-        index = Index(left["vec_id"].to_numpy(np.int64), np.stack(left["v"].to_list()).astype(np.int64))
-        out = []
-        for q, v in zip(right["query_id"], right["v"], strict=True):
-            ids, scores = index.search(np.asarray(v, dtype=np.int64), k, q)
-            out.append(pd.DataFrame({"query_id": np.full(len(ids), q), "vec_id": ids, "score": scores}))
-        return pd.concat(out)
-
+    data = vectors.filter(whole("v") & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<long>").alias("v"))
+    asked = written(queries.filter(whole("v") & F.col("query_id").isNotNull()).select(F.col("query_id").cast("long").alias("query_id"), F.col("v").cast("array<long>").alias("v")).dropDuplicates(["query_id"]), "queries")
+    passes = max(1, -(-asked.count() // queries_a_pass))
     ship(spark)
-    found = data.groupBy("d", "block", "part").cogroup(asked.groupBy("d", "block", "part")).applyInPandas(search, "query_id long, vec_id long, score long")
+    found = None
+    for p in range(passes):
+        part = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p).collect()  # queries_a_pass, about
+        by_size: dict[int, list] = {}
+        for r in part:
+            by_size.setdefault(len(r["v"]), []).append(r)
+        held = spark.sparkContext.broadcast({d: (np.array([r["query_id"] for r in own], np.int64), np.array([r["v"] for r in own], np.int64).reshape(len(own), d)) for d, own in by_size.items()})
+
+        def run(batches, held=held):
+            best = Best(held.value, k, block_rows)
+            for batch in batches:
+                for low in range(0, batch.num_rows, block_rows):
+                    some = batch.slice(low, block_rows)
+                    best.add(some.column(0).to_numpy(), pa.concat_arrays([some.column(1)]))
+            yield from best.rows()
+
+        new = data.mapInArrow(run, "query_id long, vec_id long, score long")
+        found = new if found is None else found.union(new)
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

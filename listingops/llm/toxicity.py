@@ -21,6 +21,7 @@ from listingops.llm.words import WHITE, buffers_of, runs
 
 ORDERS = (3, 4, 5)
 SLOTS = 1 << 20
+PIECE = 1 << 18
 _BYTE = np.arange(256, dtype=np.uint32)
 _BYTE[65:91] += 32
 _BYTE[WHITE] = 32
@@ -45,10 +46,19 @@ def ngram_slots(data: np.ndarray) -> np.ndarray:
 
 
 def _texts(batch: pa.RecordBatch, column: int):
-    """(row, bytes of its text with a blank before) in blocks."""
+    """(first row, last row + 1, bytes, offsets of the rows in them) in blocks of about PIECE bytes.
+
+    A longer text comes in several pieces, each with the bytes that its last n-grams need of the next.
+    """
     data, offsets = buffers_of(batch.column(column))
-    for i, j in runs(offsets, 1 << 18):
-        yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+    for i, j in runs(offsets, PIECE):
+        low, high = offsets[i], offsets[j]
+        if high - low <= 2 * PIECE:
+            yield i, j, data[low:high], offsets[i : j + 1] - low
+            continue
+        for at in range(low, high, PIECE):  # one long text
+            part = data[at : min(high, at + PIECE + max(ORDERS) - 1)]
+            yield i, j, part, np.array([0, len(part)])
 
 
 @dataclass(frozen=True)
@@ -103,32 +113,37 @@ def regression(rows: np.ndarray, feats: np.ndarray, r: np.ndarray, y: np.ndarray
     return w, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 24_000, min_z: float = 6.0, l2: float = 1.0, steps: int = 300, seed: int = 3) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 24_000, most_features: int = 4096, min_z: float = 6.0, l2: float = 1.0, steps: int = 300, seed: int = 3) -> Model:
     """The classifier of docs(doc_id, text) as labels(doc_id, label 0/1) marks them; null labels take no part.
 
-    sample_rows bounds the labelled rows it is fitted on, chosen by a hash of doc_id; they are broadcast, so no text
-    outside the sample is shuffled. What reaches the driver is bounded by sample_rows and by the number of slots.
-    Without rows of both classes every score is the share of label 1.
+    sample_rows bounds the labelled rows it is fitted on, chosen by a hash of doc_id, one for each doc_id; their ids are
+    broadcast, so no text outside the sample is shuffled. most_features bounds the features, those that tell most
+    first. The regression runs on the driver over the numbers of the features in the sample's texts, sample_rows lists
+    of most_features at most, whatever the input. Without rows of both classes every score is the share of label 1.
     """
     spark = docs.sparkSession
     ship(spark)
     some = labels.filter(F.col("label").isNotNull()).groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     some = some.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample_rows)
     tasks = max(2, min(8, spark.sparkContext.defaultParallelism))
-    known = written(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "label").repartition(tasks), "labelled")
+    known = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "label")).alias("x"))
+    known = written(known.select("x.text", "x.label").repartition(tasks), "labelled")
     schema = pa.schema([("slot", pa.int32()), ("clean", pa.int32()), ("toxic", pa.int32())])
 
     def count(batches):
         seen = np.zeros((2, SLOTS), dtype=np.int32)
         for batch in batches:
             labels = batch.column(1).to_pylist()
+            last, whole = -1, np.empty(0, np.int64)
             for i, j, data, off in _texts(batch, 0):
-                slots = ngram_slots(data) if len(data) else None
+                slots = ngram_slots(data)
                 for r in range(i, j):
                     s, e = off[r - i], off[r - i + 1]
-                    own = [slots[o, s : max(s, e - k + 1)] for o, k in enumerate(ORDERS)] if slots is not None else []
-                    if own:
-                        seen[int(labels[r] == 1), np.unique(np.concatenate(own))] += 1
+                    own = np.unique(np.concatenate([slots[o, s : max(s, e - k + 1)] for o, k in enumerate(ORDERS)]))
+                    if r == last:  # another piece of one text
+                        own = np.setdiff1d(own, whole, assume_unique=True)
+                    seen[int(labels[r] == 1), own] += 1
+                    last, whole = r, own if r != last else np.concatenate((whole, own))
         at = np.flatnonzero(seen.sum(axis=0) > 1)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(seen[0, at]), pa.array(seen[1, at])], schema=schema)
 
@@ -141,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 24_000, min_z: fl
     ratio = F.log((t + 0.5) / (n1 + 1.0)) - F.log((c + 0.5) / (n0 + 1.0))
     share = (c + t) / float(n0 + n1)
     z = (t / float(n1) - c / float(n0)) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1.0 / n1 + 1.0 / n0))
-    picked = sums.select("slot", ratio.alias("r"), z.alias("z")).filter(F.abs("z") >= min_z).orderBy(F.abs("z").desc(), "slot").limit(20_000).toPandas().sort_values("slot")
+    picked = sums.select("slot", ratio.alias("r"), z.alias("z")).filter(F.abs("z") >= min_z).orderBy(F.abs("z").desc(), "slot").limit(most_features).toPandas().sort_values("slot")
     slots, r = picked["slot"].to_numpy(np.int64), picked["r"].to_numpy(float)
     model = Model(slots, r, 0.0)
     table = model.table()

@@ -453,6 +453,72 @@ def test_toxicity_held_out(spark):
     assert all((x.score >= 0.7) == (x.doc_id % 4 == 0) for x in out)
 
 
+def test_toxicity_reads_long_texts_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    r = random.Random(25)
+    batch = pa.RecordBatch.from_arrays([pa.array([prose(r, n) for n in (0, 3, 900, 5, 2500, 1)])], names=["text"])
+    table = np.arange(toxicity.SLOTS, dtype=np.int32) % 5000  # 0: no feature
+    want = toxicity.hits(batch, 0, table)
+    monkeypatch.setattr(toxicity, "PIECE", 100)
+    got = toxicity.hits(batch, 0, table)
+    assert all((x == y).all() for x, y in zip(want, got, strict=True)) and len(want[0]) > 1000
+
+
+def test_search_in_blocks_and_passes(spark):
+    r = random.Random(26)
+    rows = [(i, [r.randint(-50, 50) for _ in range(6 if i % 9 else 4)]) for i in range(700)]
+    rows += [(i + 1000, v) for i, v in rows[:40]]
+    v = spark.createDataFrame(rows, "vec_id long, v array<long>").repartition(3)
+    asked = v.filter("vec_id % 7 = 0").withColumnRenamed("vec_id", "query_id")
+    got = {tuple(x) for x in topk_search.exact_top_k(v, asked, 5, block_rows=64, queries_a_pass=30).collect()}
+    want = set()
+    for q, x in rows:
+        if q % 7 == 0:
+            best = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for i, y in rows if i != q and len(y) == len(x))[:5]
+            want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
+    assert got == want
+
+
+def test_licenses_of_lists_of_packages():
+    """Short notices in any order with few words between: each is found, as written down when the text was made."""
+    r, t, scanner = random.Random(27), license_scan.TEMPLATES, license_scan.Scanner(license_scan.TEMPLATES, 0.8)
+    assert len(scanner.scan(f"x {t['MIT line']} y z w {t['MIT line']} q {t['MIT line']} r")) == 3
+    for _ in range(150):
+        want = [r.choice(("MIT line", "CC-BY-4.0 line", "GPL-3.0 line", "Apache-2.0 line", "All rights reserved")) for _ in range(r.randint(1, 6))]
+        text = " ".join(t[k] + " " + prose(r, r.randint(0, 4)) for k in want)
+        assert [k for k, *_ in scanner.scan(text)] == want
+
+
+def test_changed_licenses_against_the_longest_common_subsequence():
+    """Notices with words dropped, put in or replaced are found wherever brute force sees coverage enough, and no others."""
+    r = random.Random(28)
+    scanner = license_scan.Scanner(license_scan.TEMPLATES, 0.8)
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(new[j], row[j + 1]))
+            row = new
+        return row[-1]
+
+    found = missed = 0
+    for n in range(120):
+        key = r.choice(("MIT", "ISC", "BSD-2-Clause", "GPL notice", "MPL-2.0", "Unlicense"))
+        template = license_scan.words_of(license_scan.TEMPLATES[key])[0]
+        w = []
+        for x in template:
+            u = r.random()
+            w += [] if u < 0.002 * n else [r.choice(WORDS)] if u < 0.0025 * n else [x, r.choice(WORDS)] if u < 0.003 * n else [x]
+        coverage = common(w, template) / len(template)
+        got = [k for k, *_ in scanner.scan(prose(r, 20) + " " + " ".join(w) + " " + prose(r, 20))]
+        assert set(got) <= ({key} if coverage >= 0.8 else set()), (n, key, coverage)
+        found, missed = found + bool(got), missed + (coverage >= 0.82 and not got)
+    assert found > 60 and missed <= 2
+
+
 def test_quality_keeps_good_and_draws_k(spark):
     r = random.Random(10)
     rows = [(i, " ".join(w + "###" for w in prose(r, 40).split()) if i % 5 == 0 else prose(r, r.randint(20, 200))) for i in range(500)]
