@@ -77,9 +77,12 @@ def is_witness(x: Column) -> Column:
     return F.coalesce(F.length(F.regexp_replace(x, r"[^\p{L}\p{N}]", "")) >= dims.WITNESS_CHARS, F.lit(False))
 
 
+DISALLOWED = rf"([^\p{{L}}\p{{Nd}}\s{ALLOWED}])"
+
+
 def disallowed(x: Column) -> Column:
     """Characters that a listing may not hold, each once, in order of first use."""
-    return F.array_distinct(F.regexp_extract_all(x, F.lit(rf"([^\p{{L}}\p{{Nd}}\s{ALLOWED}])"), 0))
+    return F.array_distinct(F.regexp_extract_all(x, F.lit(DISALLOWED), 0))
 
 
 def excess_symbols(x: Column) -> Column:
@@ -94,15 +97,19 @@ def excess_upper(x: Column) -> Column:
 
 def long_word(x: Column) -> Column:
     """The first word of more than 30 characters without its outer punctuation, or null."""
-    bare = F.transform(words(x), lambda w: F.regexp_replace(w, r"^[.,;:!¿?¡'\"()]+|[.,;:!¿?¡'\"()]+$", ""))
+    long = F.filter(words(x), lambda w: F.length(w) > 30)  # few words are, so few are stripped
+    bare = F.transform(long, lambda w: F.regexp_replace(w, r"^[.,;:!¿?¡'\"()]+|[.,;:!¿?¡'\"()]+$", ""))
     return F.get(F.filter(bare, lambda w: F.length(w) > 30), F.lit(0))
 
 
 def other_brands(x: Column, brand: Column) -> Column:
     """Known brands that the text names as whole words, but for the selected one; sorted."""
     own = F.lower(F.trim(F.coalesce(brand, F.lit(""))))
-    found = [F.when(F.lower(x).rlike(rf"(?U)(?<!\w)\Q{b}\E(?!\w)") & (own != b), F.lit(b)) for b in sorted(dims.BRANDS)]
-    return F.array_compact(F.array(*found))
+
+    def named(low: Column) -> Column:  # the pattern runs only on texts that hold the brand's letters
+        return F.array_compact(F.array(*(F.when(low.contains(b) & low.rlike(rf"(?U)(?<!\w)\Q{b}\E(?!\w)") & (own != b), F.lit(b)) for b in sorted(dims.BRANDS))))
+
+    return F.get(F.transform(F.array(F.lower(x)), named), F.lit(0))
 
 
 def violations(x: Column, least: Column, most: Column, brand: Column) -> Column:
@@ -117,7 +124,7 @@ def violations(x: Column, least: Column, most: Column, brand: Column) -> Column:
         ("MENTIONS_OTHER_BRAND", F.size(other_brands(x, brand)) > 0),
         ("TOO_LONG", n > most),
         ("TOO_SHORT", n < least),
-        ("UNALLOWED_SYMBOLS", F.size(disallowed(x)) > 0),
+        ("UNALLOWED_SYMBOLS", x.rlike(DISALLOWED)),
     )
     return F.array_compact(F.array(*(F.when(rule, F.lit(code)) for code, rule in rules)))
 

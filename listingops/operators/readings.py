@@ -132,6 +132,20 @@ def plan_regions(regions: DataFrame) -> DataFrame:
     return rows.filter("plan <> 'read'").unionByName(fresh).unionByName(repeat.withColumn("plan", F.lit("repeat")))
 
 
+def pooled_readings(readings: DataFrame, planned: DataFrame) -> DataFrame:
+    """readings with those that OCR alone gives: the shortcuts of plan_regions, as legible readings of a printed code.
+
+    They come after the model's readings of a product, in the order of photo and region; a product that only has
+    shortcuts gets these alone.
+    """
+    last = readings.groupBy("product_id").agg(F.max("seq").alias("_last"))
+    w = W.partitionBy("product_id").orderBy("photo_seq", "region_seq")
+    own = planned.filter("plan = 'shortcut'").join(last, "product_id", "left").withColumn("seq", (F.coalesce("_last", F.lit(0)) + F.row_number().over(w)).cast("long"))
+    box = F.struct(*(F.col(c).cast("int").alias(c) for c in "xywh"))
+    rows = own.select("product_id", "seq", "photo", box.alias("box"), F.lit(True).alias("legible"), F.lit(True).alias("belongs"), F.lit("codigo_o_modelo_impreso").alias("location"), "content", F.col("value").alias("text"), F.col("text").alias("raw_ocr"), F.lit("ocr").alias("origin"))
+    return readings.select(*rows.columns).unionByName(rows)
+
+
 def near_regions(regions: DataFrame) -> DataFrame:
     """product_id, photo, a, b (region_seq, a < b) of boxes of one photo with a small vertical gap and enough overlap."""
     x, y = regions.alias("x"), regions.alias("y")
@@ -141,11 +155,11 @@ def near_regions(regions: DataFrame) -> DataFrame:
     return x.join(y, same & (gap <= dims.NEAR_GAP_Y) & (over > dims.NEAR_OVERLAP_X)).select("x.product_id", "x.photo", F.col("x.region_seq").alias("a"), F.col("y.region_seq").alias("b"))
 
 
-def region_clusters(regions: DataFrame, rounds: int = 12) -> DataFrame:
+def region_clusters(regions: DataFrame) -> DataFrame:
     """regions with cluster: the least region_seq that nearness reaches within its photo.
 
-    Labels double their reach each round (a label's own label is taken too), so 2 ** rounds boxes in a chain settle;
-    photos hold dozens.
+    Each round every box takes the least label of its neighbours, and that label's own; a label moves on by one box a
+    round at least, so as many rounds as a photo has boxes settle any chain. Photos hold dozens.
     """
     links = near_regions(regions)
     both = links.union(links.select("product_id", "photo", F.col("b").alias("a"), F.col("a").alias("b")))
@@ -159,7 +173,7 @@ def region_clusters(regions: DataFrame, rounds: int = 12) -> DataFrame:
         least = F.transform_values("g", lambda k, near: F.array_min(F.concat(F.array(acc[k]), F.transform(near, lambda b: acc[b]))))
         return F.transform_values(least, lambda k, v: F.least(v, least[v]))
 
-    settled = table.select(*keys, F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), labels, step).alias("label"))
+    settled = table.select(*keys, F.aggregate(F.sequence(F.lit(1), F.size("g")), labels, step).alias("label"))
     return regions.join(settled, keys).withColumn("cluster", F.col("label")[F.col("region_seq")]).drop("label")
 
 
@@ -216,12 +230,15 @@ def judged_codes(synthesis: DataFrame) -> tuple[DataFrame, DataFrame]:
     return valid, rows.filter("NOT _ok").select("product_id", "field", F.concat(F.lit("vlm_sintesis: "), "field", F.lit(" not valid: "), F.coalesce("value", F.lit("null"))).alias("failure"))
 
 
-def measures(attempts: DataFrame) -> DataFrame:
+def measures(attempts: DataFrame, products: DataFrame | None = None) -> DataFrame:
     """product_id, value, reason of attempts(product_id, seq, zero_visible, edge_visible, value): the first photo with
-    both ends in sight gives the value."""
+    both ends in sight gives the value. With products, those without any photo of a ruler are not_photographed."""
     ends = F.coalesce(F.col("zero_visible") & F.col("edge_visible") & F.col("value").isNotNull(), F.lit(False))
-    out = attempts.groupBy("product_id").agg(F.min(F.when(ends, F.struct("seq", "value"))).alias("x"))
-    return out.select("product_id", F.col("x.value").alias("value"), F.when(F.col("x").isNotNull(), "measured").otherwise("illegible").alias("reason"))
+    out = attempts.groupBy("product_id").agg(F.min(F.when(ends, F.struct("seq", "value"))).alias("x"), F.lit(True).alias("tried"))
+    if products is not None:
+        out = products.select("product_id").join(out, "product_id", "left")
+    reason = F.when(F.col("x").isNotNull(), "measured").when(F.col("tried"), "illegible").otherwise("not_photographed")
+    return out.select("product_id", F.col("x.value").alias("value"), reason.alias("reason"))
 
 
 def name_collisions(photos: DataFrame) -> DataFrame:

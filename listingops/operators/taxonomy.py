@@ -20,13 +20,12 @@ def tree_leaves(nodes: DataFrame) -> DataFrame:
     path holds the ancestors' names, root first. The tree is walked by a recursive query, level by level.
     """
     spark = nodes.sparkSession
-    nodes.createOrReplaceTempView("_tree_nodes")
     walked = spark.sql("""
         WITH RECURSIVE walk AS (
-          SELECT platform, id, name, CAST(array() AS array<string>) AS path, id AS root_id FROM _tree_nodes WHERE parent_id IS NULL
+          SELECT platform, id, name, CAST(array() AS array<string>) AS path, id AS root_id FROM {nodes} WHERE parent_id IS NULL
           UNION ALL
-          SELECT n.platform, n.id, n.name, concat(w.path, array(w.name)) AS path, w.root_id FROM walk w JOIN _tree_nodes n ON n.parent_id = w.id AND n.platform = w.platform
-        ) SELECT * FROM walk""")
+          SELECT n.platform, n.id, n.name, concat(w.path, array(w.name)) AS path, w.root_id FROM walk w JOIN {nodes} n ON n.parent_id = w.id AND n.platform = w.platform
+        ) SELECT * FROM walk""", nodes=nodes)
     parents = nodes.filter("parent_id IS NOT NULL").select("platform", F.col("parent_id").alias("id")).distinct()
     return walked.join(parents, ["platform", "id"], "left_anti").select("platform", F.col("id").alias("leaf_id"), "name", "path", "root_id")
 

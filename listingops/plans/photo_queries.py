@@ -297,12 +297,16 @@ def lot_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {PHOTOS}, r AS (SELECT lot_id, photo_id, (photo_id % 30) || '.jpg' AS base, row_number() OVER (PARTITION BY lot_id, photo_id % 30 ORDER BY 'd' || photo_id, photo_id) - 1 AS k FROM photos)
-SELECT lot_id, photo_id, CASE WHEN k = 0 THEN base ELSE replace(base, '.jpg', '_' || k || '.jpg') END AS target FROM r
+WITH {PHOTOS}, n AS (SELECT lot_id, photo_id, 'd' || photo_id || '/' AS dir, (photo_id % 5) || CASE WHEN photo_id % 7 < 2 THEN '_' || (photo_id % 4 + 1) ELSE '' END AS stem FROM photos),
+r AS (SELECT *, row_number() OVER (PARTITION BY lot_id, stem ORDER BY dir || stem, photo_id) - 1 AS k FROM n),
+free AS (SELECT b.lot_id, b.stem, g.g, row_number() OVER (PARTITION BY b.lot_id, b.stem ORDER BY g.g) AS k FROM (SELECT lot_id, stem, count(*) + 4 AS most FROM n GROUP BY ALL) b, LATERAL (SELECT unnest(range(1, b.most + 1)) AS g) g
+  WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.lot_id = b.lot_id AND n.stem = b.stem || '_' || g.g))
+SELECT r.lot_id, r.photo_id, CASE WHEN r.k = 0 THEN r.stem ELSE r.stem || '_' || free.g END || '.jpg' AS target FROM r LEFT JOIN free ON r.lot_id = free.lot_id AND r.stem = free.stem AND r.k = free.k
 """)
 def free_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target names of photos that share base names."""
-    p = derived.photos(spark, sf_dir).select("lot_id", "photo_id", F.concat(F.lit("d"), F.col("photo_id").cast("string"), F.lit("/"), (F.col("photo_id") % 30).cast("string"), F.lit(".jpg")).alias("path"))
+    """Target names of photos that share base names, some of which are numbered already."""
+    stem = F.concat((F.col("photo_id") % 5).cast("string"), F.when(F.col("photo_id") % 7 < 2, F.concat(F.lit("_"), (F.col("photo_id") % 4 + 1).cast("string"))).otherwise(""))
+    p = derived.photos(spark, sf_dir).select("lot_id", "photo_id", F.concat(F.lit("d"), F.col("photo_id").cast("string"), F.lit("/"), stem, F.lit(".jpg")).alias("path"))
     return ingest.free_names(p).select("lot_id", "photo_id", "target")
 
 

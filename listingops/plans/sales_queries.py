@@ -86,9 +86,9 @@ def term_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pricing.value_terms(terms, derived.comparables(spark, sf_dir)).select("term_id", "terms", "n", "median")
 
 
-EVENTS = """
+EVENTS = f"""
 WITH line AS (
-  SELECT l_partkey AS product_id, (l_orderkey * 10 + l_linenumber) * 4 AS base, l_shipdate AS t0, CASE WHEN l_suppkey % 2 = 0 THEN 'vinted' ELSE 'wallapop' END AS platform, CAST(round_even(l_extendedprice * 100, 0) AS BIGINT) AS price_cents,
+  SELECT l_partkey AS product_id, row_number() OVER (PARTITION BY l_partkey ORDER BY {', '.join(derived.LINE_ORDER)}) * 4 AS base, l_shipdate AS t0, CASE WHEN l_suppkey % 2 = 0 THEN 'vinted' ELSE 'wallapop' END AS platform, CAST(round_even(l_extendedprice * 100, 0) AS BIGINT) AS price_cents,
     CASE WHEN l_linenumber = 2 THEN l_orderkey END AS bundle_id, CASE WHEN l_returnflag = 'R' THEN 'returned' WHEN l_returnflag = 'A' AND l_orderkey % 3 = 0 THEN 'undo_sale' END AS after FROM lineitem),
 ev AS (
   SELECT product_id, base AS seq, t0, 'published' AS type, platform, price_cents, NULL::BIGINT AS bundle_id FROM line

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+LINE_ORDER = ("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -38,10 +41,12 @@ def comparables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Product events of line items by part: every line is published and sold; R lines are returned, A lines undone at
-    times. The retail price is the cost, set before all."""
-    l_ = table(spark, sf_dir, "lineitem")
+    times. The retail price is the cost, set before all. seq is the line's place among its part's lines, by all columns,
+    as order and line repeat within a part."""
+    order = W.partitionBy("l_partkey").orderBy(*LINE_ORDER)
+    l_ = table(spark, sf_dir, "lineitem").withColumn("_place", F.row_number().over(order).cast("long"))
     at = F.col("l_shipdate").cast("timestamp")
-    base = (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 4
+    base = F.col("_place") * 4
     platform = F.when(F.col("l_suppkey") % 2 == 0, "vinted").otherwise("wallapop")
     price = F.rint(F.col("l_extendedprice") * 100).cast("long")
     after = F.when(F.col("l_returnflag") == "R", "returned").when((F.col("l_returnflag") == "A") & (F.col("l_orderkey") % 3 == 0), "undo_sale")
@@ -80,7 +85,7 @@ def leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors as photo hashes: four bits of a vector's first components make the content, sixty-four the picture.
+    """Vectors as photo hashes: the signs of a vector's first twelve components make the content, sixty-four the picture.
 
     Bits say whether a component is above 0; every seventh vector has a copy one bit away.
     """

@@ -61,19 +61,21 @@ def lot_counts(accepted: DataFrame, rejects: DataFrame) -> DataFrame:
 
 
 def free_names(photos: DataFrame) -> DataFrame:
-    """photos(lot_id, photo_id, path) with target: the base name, with _1, _2 ... where a lot has it more than once.
+    """photos(lot_id, photo_id, path) with target: the base name, unique within its lot.
 
-    A numbered name that another file already bears gets the next suffix in a second pass.
+    The first file of a base name, by path and photo_id, keeps it; the others get the least numbers, _1, _2 ..., that
+    make no base name of the lot. A number stands for one stem and extension only, so no two files get one name.
     """
     base = F.regexp_extract("path", r"([^/\\]+)$", 1)
-    stem, ext = F.regexp_replace(base, r"\.[^.]*$", ""), F.regexp_extract(base, r"(\.[^.]*)$", 1)
-    numbered = lambda n: F.when(n == 0, F.col("_base")).otherwise(F.concat("_stem", F.lit("_"), n.cast("string"), "_ext"))
+    stem, ext = F.regexp_replace("_base", r"\.[^.]*$", ""), F.regexp_extract("_base", r"(\.[^.]*)$", 1)
     rows = photos.withColumn("_base", base).withColumn("_stem", stem).withColumn("_ext", ext)
     rows = rows.withColumn("_n", F.row_number().over(W.partitionBy("lot_id", "_base").orderBy("path", "photo_id")) - 1)
-    rows = rows.withColumn("target", numbered(F.col("_n")))
-    again = W.partitionBy("lot_id", "target").orderBy("_n", "path", "photo_id")
-    rows = rows.withColumn("_m", F.row_number().over(again) - 1).withColumn("_most", F.max("_n").over(W.partitionBy("lot_id", "_base")))
-    target = F.when(F.col("_m") == 0, F.col("target")).otherwise(F.concat("_stem", F.lit("_"), (F.col("_most") + F.col("_m") + F.col("_n")).cast("string"), "_ext"))
+    numbered = rows.select("lot_id", F.regexp_extract("_stem", r"^(.*)_([1-9]\d{0,8})$", 1).alias("_stem"), F.regexp_extract("_stem", r"^(.*)_([1-9]\d{0,8})$", 2).try_cast("int").alias("_k"), "_ext").filter("_k IS NOT NULL")
+    taken = numbered.groupBy("lot_id", "_stem", "_ext").agg(F.array_sort(F.collect_set("_k")).alias("_taken"))  # no more than a lot's names
+    rows = rows.join(taken, ["lot_id", "_stem", "_ext"], "left")
+    below = F.size(F.filter(F.transform(F.col("_taken"), lambda k, i: k - i - 1), lambda free: free < F.col("_n")))  # numbers taken up to the n-th free one
+    number = F.col("_n") + F.when(F.col("_taken").isNull(), 0).otherwise(below)
+    target = F.when(F.col("_n") == 0, F.col("_base")).otherwise(F.concat("_stem", F.lit("_"), number.cast("string"), "_ext"))
     return rows.withColumn("target", target).select(*photos.columns, "target")
 
 

@@ -265,3 +265,46 @@ def test_files_and_payloads(spark, tmp_path):
     assert tuple(ingest.snapshot_leaves(spark, str(snap)).select("leaf_id", "leaf_mandatory", "snapshot_date").first()) == (5, True, "2026-01-01")
     with pytest.raises(Exception):
         ingest.snapshot_leaves(spark, str(tmp_path / "absent.json")).count()
+
+
+def test_free_names_are_unique(spark):
+    import random
+
+    r = random.Random(1)
+    paths = [("x", f"{d}/{n}.jpg") for d in "xyzw" for n in ("a", "a_1", "a_3", "a_01", "b", "a_1_1", "a_2_1")] + [("y", "x/a.jpg"), ("y", "noext"), ("y", "z/noext")]
+    r.shuffle(paths)
+    rows = [(lot, i, p) for i, (lot, p) in enumerate(paths)]
+    out = ingest.free_names(spark.createDataFrame(rows, "lot_id string, photo_id long, path string")).collect()
+    assert len(out) == len(rows) == len({(x.lot_id, x.target) for x in out})
+    first = {}
+    for lot, _, p in sorted(rows, key=lambda x: (x[2], x[1])):
+        first.setdefault((lot, p.split("/")[-1]), p)
+    assert all(x.target == x.path.split("/")[-1] for x in out if first[x.lot_id, x.path.split("/")[-1]] == x.path)
+    one = spark.createDataFrame([(1, 1, "x/a.jpg"), (1, 2, "y/a.jpg"), (1, 3, "x/a_1.jpg"), (1, 4, "x/a_3.jpg"), (1, 5, "z/a.jpg")], "lot_id int, photo_id int, path string")
+    assert {x.photo_id: x.target for x in ingest.free_names(one).collect()} == {1: "a.jpg", 2: "a_2.jpg", 3: "a_1.jpg", 4: "a_3.jpg", 5: "a_4.jpg"}
+
+
+def test_chains_of_regions_settle(spark):
+    import random
+
+    r, rows = random.Random(2), []
+    for product, n in enumerate((2, 30, 50, 120)):
+        order = list(range(n))
+        r.shuffle(order)
+        rows += [(product, "p", 1, seq, 0, 12 * place, 40, 10, "t", 0.9) for place, seq in enumerate(order)]
+    frame = spark.createDataFrame(rows, "product_id int, photo string, photo_seq int, region_seq int, x int, y int, w int, h int, text string, score double")
+    assert {x.cluster for x in readings.region_clusters(frame).collect()} == {0}
+
+
+def test_shortcuts_join_the_readings(spark):
+    own = spark.createDataFrame([(1, 4, "a.jpg", None, True, True, "etiqueta_interior", "marca", "Nike", None, "vlm")], "product_id int, seq long, photo string, box struct<x:int,y:int,w:int,h:int>, legible boolean, belongs boolean, location string, content string, text string, raw_ocr string, origin string")
+    plan = spark.createDataFrame([(1, "b.jpg", 2, 1, 0, 0, 9, 9, "x 4006381333931", 0.9, "shortcut", "ean", "4006381333931"), (1, "b.jpg", 2, 2, 0, 0, 9, 9, "word", 0.9, "read", None, None), (2, "c.jpg", 1, 1, 0, 0, 9, 9, "DV1234-001", 0.9, "shortcut", "modelo", "DV1234-001")], "product_id int, photo string, photo_seq int, region_seq int, x int, y int, w int, h int, text string, score double, plan string, content string, value string")
+    out = sorted((x.product_id, x.seq, x.content, x.text, x.origin) for x in readings.pooled_readings(own, plan).collect())
+    assert out == [(1, 4, "marca", "Nike", "vlm"), (1, 5, "ean", "4006381333931", "ocr"), (2, 1, "modelo", "DV1234-001", "ocr")]
+
+
+def test_measures_without_a_photo(spark):
+    tries = spark.createDataFrame([(1, 1, True, True, 40.0), (2, 1, True, False, 30.0)], "product_id int, seq int, zero_visible boolean, edge_visible boolean, value double")
+    out = readings.measures(tries, spark.createDataFrame([(1,), (2,), (3,)], "product_id int")).collect()
+    assert sorted((x.product_id, x.value, x.reason) for x in out)[0] == (1, 40.0, "measured")
+    assert {x.product_id: x.reason for x in out} == {1: "measured", 2: "illegible", 3: "not_photographed"}
