@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,22 +21,33 @@ def exact_duplicates(hashes: DataFrame) -> DataFrame:
     return counts.join(listed, "sha256", "left")
 
 
-def near_duplicates(hashes: DataFrame, most: int = dims.NEAR_HASH_BITS, exclude_exact: bool = False) -> DataFrame:
+def band_plan(values: int, most: int) -> tuple[int, int]:
+    """(bands, bands a key): most + k bands of which two hashes near each other share k at least; k so that a key of
+    k bands has few values of `values` by chance."""
+    for k in range(1, 5):
+        if 2 ** (64 * k // (most + k)) >= values / 4 or k == 4:
+            return most + k, k
+    raise AssertionError
+
+
+def near_duplicates(hashes: DataFrame, most: int = dims.NEAR_HASH_BITS, exclude_exact: bool = False, plan: tuple[int, int] | None = None) -> DataFrame:
     """a, b (a < b), distance of photos of hashes(photo_id, bits bigint) at most `most` bits apart.
 
-    The 64 bits are cut into most + 1 bands; two hashes within `most` bits have an equal band, so an equality join on
-    bands misses none. Equal hashes are collapsed first and expanded to the least photo of each: a row stands for a
-    pair of values, and pairs inside one value are listed against its least photo only.
+    The 64 bits are cut into bands; each choice of k of them is a key, and two hashes within `most` bits have an equal
+    key, so an equality join on keys misses none. More hashes take longer keys (band_plan), so that the values that
+    share one by chance stay few. Equal hashes are collapsed first and expanded to the least photo of each: a row
+    stands for a pair of values, and pairs inside one value are listed against its least photo only.
     """
     known = hashes.filter("bits IS NOT NULL").select("photo_id", "bits")
     values = known.groupBy("bits").agg(F.min("photo_id").alias("head"))
-    n = most + 1
+    n, k = plan or band_plan(values.count(), most)
     edges = [round(i * 64 / n) for i in range(n + 1)]
-    band = F.array(*(F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(F.shiftleft("bits", 64 - edges[i + 1]), 64 - (edges[i + 1] - edges[i])).alias("v")) for i in range(n)))
-    rows = values.withColumn("band", F.explode(band))
+    band = [F.shiftrightunsigned(F.shiftleft("bits", 64 - edges[i + 1]), 64 - (edges[i + 1] - edges[i])) for i in range(n)]
+    keys = F.array(*(F.xxhash64(F.lit(number), *(band[i] for i in chosen)) for number, chosen in enumerate(combinations(range(n), k))))
+    rows = values.withColumn("key", F.explode(keys))
     x, y = rows.alias("x"), rows.alias("y")
     distance = F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits")))
-    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.head") < F.col("y.head")) & (distance <= most))
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.head") < F.col("y.head")) & (distance <= most))
     pairs = pairs.select(F.col("x.head").alias("a"), F.col("y.head").alias("b"), distance.cast("int").alias("distance")).distinct()
     if exclude_exact:
         return pairs

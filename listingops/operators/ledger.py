@@ -70,7 +70,7 @@ def sales(events: DataFrame) -> DataFrame:
 
 
 def ledger(products: DataFrame, pubs: DataFrame, sold: DataFrame) -> DataFrame:
-    """One row for each product with a publication or a sale, in latest-first order (order_no).
+    """One row for each product with a publication or a sale; ordered() puts them latest first.
 
     Live title and reference where the product exists, else the sale's snapshots; the cost shown is the sale's
     snapshot where there is a sale. profit_cents is null for returns and unknown prices.
@@ -144,7 +144,7 @@ def platform_options(rows: DataFrame) -> DataFrame:
 
 
 def report(rows: DataFrame) -> DataFrame:
-    """Ten text columns of the ledger report, order kept by order_no; null cells are blank, formulas are guarded."""
+    """Text columns of the ledger report, in the order of rows; null cells are blank, formulas are guarded."""
     day = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd"), F.lit(""))
     listed = F.array_join(F.transform("publications", lambda p: F.concat(p["platform"], F.lit(" ("), F.date_format(p["listed_at"], "yyyy-MM-dd"), F.lit(")"))), "; ")
     sold = F.when(F.col("state") == "vendida", "sí").when(F.col("state") == "devuelta", "devuelta").otherwise("no")
@@ -212,6 +212,21 @@ def deleted_lots(lots: DataFrame, asked: DataFrame, sold: DataFrame) -> tuple[Da
     return lots.join(asked.join(refused, "lot_id", "left_anti"), "lot_id", "left_anti"), refused
 
 
+def without_lots(tables: dict[str, DataFrame], asked: DataFrame, sold: DataFrame) -> dict[str, DataFrame]:
+    """Every table of tables without the rows of lots that may be deleted; a table without a lot_id goes by product_id.
+
+    tables holds lots and products and whatever hangs on either: photos, readings, fields, listings, seams, reviews.
+    """
+    gone = asked.join(sold.select("lot_id"), "lot_id", "left_anti").select("lot_id").distinct()
+    products = tables["products"].join(gone, "lot_id", "left_semi").select("product_id").distinct()
+    return {name: rows.join(gone, "lot_id", "left_anti") if "lot_id" in rows.columns else rows.join(products, "product_id", "left_anti") for name, rows in tables.items()}
+
+
+def newest_lots(lots: DataFrame) -> DataFrame:
+    """lots(lot_id, created_at, ...) newest first, undated ones last, ties by lot: a range sort, no single task."""
+    return lots.orderBy(F.col("created_at").desc_nulls_last(), "lot_id")
+
+
 def unknown_targets(commands: DataFrame, entities: DataFrame, key: str) -> DataFrame:
     """commands that name a key which entities lack, with a reason."""
     return commands.join(entities.select(key), key, "left_anti").withColumn("reason", F.lit(f"unknown_{key.removesuffix('_id')}"))

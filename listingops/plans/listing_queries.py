@@ -158,13 +158,13 @@ def category_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""
-WITH lf AS (SELECT p_type AS t, p_brand AS b, p_name AS name, min(p_partkey) AS leaf_id FROM part GROUP BY ALL),
-raw AS (SELECT leaf_id, 3.0 AS w, unnest(regexp_extract_all(lower(name), '[a-z0-9]+')) AS token FROM lf UNION ALL SELECT leaf_id, 1.5, unnest(regexp_extract_all(lower(b), '[a-z0-9]+')) FROM lf),
+WITH lf AS (SELECT p_type AS t, p_name AS name, min(p_partkey) AS leaf_id FROM part GROUP BY ALL),
+raw AS (SELECT leaf_id, 3.0 AS w, unnest(regexp_extract_all(lower(name), '[a-z0-9]+')) AS token FROM lf UNION ALL SELECT leaf_id, 1.5, unnest(regexp_extract_all(lower(t), '[a-z0-9]+')) FROM lf),
 tok AS (SELECT DISTINCT leaf_id, w, token FROM raw WHERE length(token) >= 3 AND token NOT IN ({_list(dims.RANKING_STOP_WORDS)})),
-ev AS (SELECT DISTINCT leaf_id, {STEM.format('token')} AS stem FROM (SELECT leaf_id, unnest(regexp_extract_all(lower(t || ' ' || b || ' ' || name), '[a-z0-9]+')) AS token FROM lf) WHERE length(token) >= 3 AND token NOT IN ({_list(dims.RANKING_STOP_WORDS)})),
+ev AS (SELECT DISTINCT leaf_id, {STEM.format('token')} AS stem FROM (SELECT leaf_id, unnest(regexp_extract_all(lower('parts ' || t || ' ' || name), '[a-z0-9]+')) AS token FROM lf) WHERE length(token) >= 3 AND token NOT IN ({_list(dims.RANKING_STOP_WORDS)})),
 idf AS (SELECT stem, ln(1 + (SELECT count(*) FROM lf) / count(*)::DOUBLE) AS idf FROM ev GROUP BY stem),
 sc AS (SELECT leaf_id, token, max(w * idf) AS w FROM (SELECT leaf_id, token, w, {STEM.format('token')} AS stem FROM tok) JOIN idf USING (stem) GROUP BY ALL),
-q AS (SELECT s_suppkey AS product_id, unnest(regexp_extract_all(lower(p_name || ' ' || p_brand), '[a-z0-9]+')) AS qt FROM supplier JOIN part ON p_partkey = s_suppkey),
+q AS (SELECT p_partkey AS product_id, unnest(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z0-9]+')) AS qt FROM part),
 qq AS (SELECT product_id, qt, row_number() OVER () AS pos FROM q WHERE length(qt) >= 3 AND qt NOT IN ({_list(dims.RANKING_STOP_WORDS)})),
 m AS (SELECT product_id, pos, leaf_id, max(sc.w) AS w FROM qq JOIN sc ON ({STEM.format('qt')}) = ({STEM.format('sc.token')}) OR (length(qt) >= 4 AND length(sc.token) >= 4 AND (contains(qt, sc.token) OR contains(sc.token, qt))) GROUP BY ALL),
 s AS (SELECT product_id, leaf_id, sum(w) AS score FROM m GROUP BY ALL),
@@ -172,10 +172,9 @@ r AS (SELECT product_id, round(score, 5) AS score, row_number() OVER (PARTITION
 SELECT product_id, platform, CAST(k AS INTEGER) AS rank, score FROM r, (VALUES ('vinted'), ('wallapop')) p(platform) WHERE k <= 3
 """)
 def category_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best three category leaves for a text about each supplier's part."""
-    p = derived.table(spark, sf_dir, "part")
-    own = derived.table(spark, sf_dir, "supplier").join(p, F.col("s_suppkey") == F.col("p_partkey")).select(F.col("s_suppkey").alias("product_id"), F.lit("otros").alias("category"), F.concat_ws(" ", "p_name", "p_brand").alias("text"))
-    return taxonomy.rank_categories(own, derived.leaves(spark, sf_dir)).select("product_id", "platform", "rank", F.round("score", 5).alias("score"))
+    """The best three category leaves for a text about each part."""
+    own = derived.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), F.lit("otros").alias("category"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    return taxonomy.rank_categories(own, derived.type_leaves(spark, sf_dir)).select("product_id", "platform", "rank", F.round("score", 5).alias("score"))
 
 
 @query("""
@@ -358,7 +357,7 @@ def work_queues(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as OCR regions of one photo for every three turns."""
     c = derived.table(spark, sf_dir, "conversations")
-    t = F.when(F.col("turn") % 5 == 4, F.concat(F.lit("Model: AB"), (F.col("conv_id") % 50).cast("string"))).otherwise(F.substring("text", 1, 45))
+    t = F.when(F.col("turn") % 5 == 4, F.concat(F.lit("Model: AB"), (F.col("conv_id") % 50).cast("string"))).otherwise(F.col("text"))
     return c.dropDuplicates(["conv_id", "turn"]).select(F.col("conv_id").alias("product_id"), F.concat(F.lit("f"), F.floor(F.col("turn") / 3).cast("string")).alias("photo"), F.floor(F.col("turn") / 3).cast("int").alias("photo_seq"), F.col("turn").cast("int").alias("region_seq"), (F.col("turn") * 30 % 700).cast("int").alias("x"), (F.col("turn") * 130 % 900).cast("int").alias("y"), F.lit(200).alias("w"), F.lit(40).alias("h"), t.alias("text"), F.lit(0.9).alias("score"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -263,6 +265,30 @@ def refused_removals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.removed_photos(photos, own.union(gone))[2]
 
 
+@query("""
+WITH gone AS (SELECT c_custkey AS lot_id FROM customer WHERE c_custkey % 4 = 0 AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O')), pr AS (SELECT o_orderkey AS product_id, o_custkey AS lot_id FROM orders)
+SELECT 'lots' AS name, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT lot_id FROM gone) UNION ALL SELECT 'products', count(*) FROM pr WHERE lot_id NOT IN (SELECT lot_id FROM gone)
+UNION ALL SELECT 'photos', count(*) FROM lineitem JOIN pr ON l_orderkey = product_id WHERE l_orderkey % 13 <> 0 AND lot_id NOT IN (SELECT lot_id FROM gone) UNION ALL SELECT 'fields', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT product_id FROM pr WHERE lot_id IN (SELECT lot_id FROM gone))
+""")
+def tables_after_deletion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows each table keeps after every fourth lot is deleted; lots with an open order stay."""
+    lots, products, photos = _lots(spark, sf_dir)
+    fields = derived.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("product_id"), F.col("l_partkey").cast("string").alias("value"))
+    sold = derived.table(spark, sf_dir, "orders").filter("o_orderstatus = 'O'").select(F.col("o_custkey").alias("lot_id"))
+    left = ledger.without_lots({"lots": lots, "products": products, "photos": photos, "fields": fields}, lots.filter(F.col("lot_id") % 4 == 0), sold)
+    counts = [rows.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n")) for name, rows in left.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
+@query("""
+SELECT o_custkey AS lot_id, max(o_orderdate) AS created_at FROM orders GROUP BY o_custkey
+""")
+def newest_lots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lots by the time of their last order, newest first."""
+    o = derived.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("lot_id")).agg(F.max("o_orderdate").alias("created_at"))
+    return ledger.newest_lots(o)
+
+
 @query("""
 SELECT c_custkey AS lot_id, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O') AS refused FROM customer WHERE c_custkey % 4 = 0
 """)

@@ -84,6 +84,13 @@ def leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.crossJoin(F.broadcast(places)).select("platform", "leaf_id", F.col("p_name").alias("name"), F.array("p_type", "p_brand").alias("path"), F.lit(0).alias("root_id"))
 
 
+def type_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A category tree of bounded size: part names below part types, one tree for each platform."""
+    rows = table(spark, sf_dir, "part").groupBy("p_type", "p_name").agg(F.min("p_partkey").alias("leaf_id"))
+    places = spark.createDataFrame([("vinted",), ("wallapop",)], "platform string")
+    return rows.crossJoin(F.broadcast(places)).select("platform", "leaf_id", F.col("p_name").alias("name"), F.array(F.lit("parts"), "p_type").alias("path"), F.lit(0).alias("root_id"))
+
+
 def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors as photo hashes: the signs of a vector's first twelve components make the content, sixty-four the picture.
 

@@ -308,3 +308,17 @@ def test_measures_without_a_photo(spark):
     out = readings.measures(tries, spark.createDataFrame([(1,), (2,), (3,)], "product_id int")).collect()
     assert sorted((x.product_id, x.value, x.reason) for x in out)[0] == (1, 40.0, "measured")
     assert {x.product_id: x.reason for x in out} == {1: "measured", 2: "illegible", 3: "not_photographed"}
+
+
+def test_near_duplicates_by_any_bands(spark):
+    import random
+
+    r = random.Random(3)
+    base = [r.getrandbits(64) for _ in range(40)]
+    bits = base + [b ^ sum(1 << i for i in r.sample(range(64), r.randint(1, 7))) for b in base for _ in range(3)]
+    signed = [b - (1 << 64) if b >> 63 else b for b in bits]
+    hashes = spark.createDataFrame(list(enumerate(signed)), "photo_id long, bits long")
+    want = {(i, j, (bits[i] ^ bits[j]).bit_count()) for j in range(len(bits)) for i in range(j) if 0 < (bits[i] ^ bits[j]).bit_count() <= 5}
+    for plan in ((6, 1), (7, 2), (9, 4)):
+        assert {tuple(x) for x in dedupe.near_duplicates(hashes, 5, True, plan).collect()} == want
+    assert [dedupe.band_plan(n, 5) for n in (100, 100_000, 10**9)] == [(6, 1), (7, 2), (9, 4)]
