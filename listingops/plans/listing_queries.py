@@ -98,7 +98,7 @@ def condition_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 READINGS = """
 WITH rd AS (SELECT conv_id AS product_id, CAST(turn AS BIGINT) AS seq, 'f' || (turn % 2) || '.jpg' AS photo, length(text) % 5 <> 0 AS legible, list_extract(['etiqueta_interior', 'estampado_o_grafico', 'codigo_o_modelo_impreso'], CAST(length(text) % 3 + 1 AS INTEGER)) AS location,
-  list_extract(['marca', 'talla', 'modelo'], CAST(turn % 3 + 1 AS INTEGER)) AS field, regexp_extract(text, '^\\s*(\\S+)', 1) AS text FROM conversations),
+  list_extract(['marca', 'talla', 'modelo'], CAST(turn % 3 + 1 AS INTEGER)) AS field, text FROM conversations),
 pb AS (SELECT *, (field IN ('marca', 'talla') AND location = 'etiqueta_interior') OR (field = 'modelo' AND location <> 'estampado_o_grafico') AS ok, legible AND trim(text) <> '' AS seen FROM rd),
 ag AS (SELECT product_id, field, count(DISTINCT CASE WHEN seen THEN lower(trim(text)) END) AS n, arg_min(text, seq) FILTER (seen AND ok) AS best, arg_min(photo, seq) FILTER (seen AND ok) AS best_photo, arg_min(photo, seq) FILTER (ok) AS tried FROM pb GROUP BY ALL),
 f AS (SELECT p.product_id, k.field, coalesce(n, 0) AS n, best, best_photo, tried FROM (SELECT DISTINCT product_id FROM rd) p CROSS JOIN (VALUES ('marca'), ('talla'), ('modelo'), ('ean')) k(field) LEFT JOIN ag USING (product_id, field)),

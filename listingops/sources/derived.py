@@ -68,12 +68,11 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation turns as label readings: the first word is the text, role and turn set place, content and legibility."""
+    """Conversation turns as label readings, whole: turn and length set place, content and legibility."""
     c = table(spark, sf_dir, "conversations")
     places = F.array(*(F.lit(x) for x in ("etiqueta_interior", "estampado_o_grafico", "codigo_o_modelo_impreso")))
     contents = F.array(*(F.lit(x) for x in ("marca", "talla", "modelo")))
-    word = F.regexp_extract("text", r"^\s*(\S+)", 1)
-    return c.select(F.col("conv_id").alias("product_id"), F.col("turn").cast("long").alias("seq"), F.concat(F.lit("f"), (F.col("turn") % 2).cast("string"), F.lit(".jpg")).alias("photo"), F.lit(None).cast("struct<x:int,y:int,w:int,h:int>").alias("box"), (F.length("text") % 5 != 0).alias("legible"), F.lit(True).alias("belongs"), F.get(places, (F.length("text") % 3).cast("int")).alias("location"), F.get(contents, (F.col("turn") % 3).cast("int")).alias("content"), word.alias("text"), F.lit(None).cast("string").alias("raw_ocr"), F.lit("vlm").alias("origin"))
+    return c.select(F.col("conv_id").alias("product_id"), F.col("turn").cast("long").alias("seq"), F.concat(F.lit("f"), (F.col("turn") % 2).cast("string"), F.lit(".jpg")).alias("photo"), F.lit(None).cast("struct<x:int,y:int,w:int,h:int>").alias("box"), (F.length("text") % 5 != 0).alias("legible"), F.lit(True).alias("belongs"), F.get(places, (F.length("text") % 3).cast("int")).alias("location"), F.get(contents, (F.col("turn") % 3).cast("int")).alias("content"), "text", F.lit(None).cast("string").alias("raw_ocr"), F.lit("vlm").alias("origin"))
 
 
 def leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
