@@ -257,17 +257,30 @@ SELECT *, fy * 116 - 16 AS l, (fx - fy) * 500 AS a, (fy - fz) * 200 AS bb FROM (
 """
 
 
-@query(f"""
-WITH c AS (SELECT DISTINCT l_suppkey % 7 AS product_id, (l_partkey * 37 % 256)::DOUBLE AS r, (l_partkey * 91 % 256)::DOUBLE AS g, (l_partkey * 53 % 256)::DOUBLE AS b FROM lineitem WHERE l_linenumber = 1),
-pal AS (SELECT ord, name, r::DOUBLE AS r, g::DOUBLE AS g, b::DOUBLE AS b FROM (VALUES {_NAMES}) t(ord, name, r, g, b)), cl AS ({_LAB.format('c')}), pl AS ({_LAB.format('pal')}),
-d AS (SELECT cl.product_id, cl.r, cl.g, cl.b, pl.name, row_number() OVER (PARTITION BY cl.product_id, cl.r, cl.g, cl.b ORDER BY pow(cl.l - pl.l, 2) + pow(cl.a - pl.a, 2) + pow(cl.bb - pl.bb, 2), ord) AS k FROM cl, pl)
-SELECT product_id, name AS colour, count(*) AS n FROM d WHERE k = 1 GROUP BY ALL
-""")
+NAMED = PIXELS + f"""
+, c AS (SELECT photo_id, r::DOUBLE AS r, g::DOUBLE AS g, b::DOUBLE AS b FROM best), pal AS (SELECT ord, name, r::DOUBLE AS r, g::DOUBLE AS g, b::DOUBLE AS b FROM (VALUES {_NAMES}) t(ord, name, r, g, b)), cl AS ({_LAB.format('c')}), pl AS ({_LAB.format('pal')}),
+d AS (SELECT cl.photo_id, pl.name, row_number() OVER (PARTITION BY cl.photo_id ORDER BY pow(cl.l - pl.l, 2) + pow(cl.a - pl.a, 2) + pow(cl.bb - pl.bb, 2), ord) AS k FROM cl, pl), named AS (SELECT photo_id, name AS colour FROM d WHERE k = 1)
+"""
+
+
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = dominant_colours(spark, sf_dir)
+    return pixels.named_colours(best.select("photo_id", *(F.col(c).cast("double").alias(c) for c in "rgb"))).select("photo_id", "colour")
+
+
+@query(NAMED + "SELECT photo_id, colour FROM named")
 def colour_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Colours made of part keys, by the nearest of sixteen names."""
-    own = derived.table(spark, sf_dir, "lineitem").filter("l_linenumber = 1")
-    c = own.select((F.col("l_suppkey") % 7).alias("product_id"), *((F.col("l_partkey") * k % 256).cast("double").alias(n) for n, k in (("r", 37), ("g", 91), ("b", 53)))).distinct()
-    return pixels.named_colours(c).groupBy("product_id", "colour").agg(F.count(F.lit(1)).alias("n"))
+    """The dominant colour of every image by the nearest of sixteen names."""
+    return _named(spark, sf_dir)
+
+
+@query(NAMED + """
+SELECT photo_id % 60 AS product_id, CASE WHEN count(DISTINCT colour) = 1 THEN min(colour) END AS value, 'inferido' AS source, CASE WHEN count(DISTINCT colour) = 1 THEN 'media' ELSE 'baja' END AS confidence,
+  CASE WHEN count(DISTINCT colour) = 1 THEN 'one colour in all samples' ELSE 'several colours: ' || string_agg(DISTINCT colour, ', ' ORDER BY colour) END AS reason FROM named GROUP BY 1
+""")
+def colour_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One colour of every product by all its images, or none with the colours that they have."""
+    return pixels.colour_consensus(_named(spark, sf_dir).withColumn("product_id", F.col("photo_id") % 60))
 
 
 @query("""
