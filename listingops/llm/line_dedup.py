@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from listingops.llm.common import if_small, ship, written
-from listingops.llm.words import buffers_of, hashes_of_block, mixed, powers, runs
+from listingops.llm.words import buffers_of, hashes_of_long, mixed, powers, runs
 
 U = np.uint64
 STOP = np.zeros(256, dtype=bool)
@@ -50,10 +50,10 @@ class Lines:
 
 
 def lines_of(data: np.ndarray, offsets: np.ndarray) -> Lines:
-    h, starts, ends = hashes_of_block(data, offsets)
+    h, starts, ends = hashes_of_long(data, offsets)
     if not len(h):
         return Lines(h, starts, starts, ends, np.zeros(len(offsets), np.int64))
-    feeds = np.concatenate(([0], np.cumsum(data == 10)))
+    feeds = np.concatenate((np.zeros(1, np.int32), np.cumsum(data == 10, dtype=np.int32)))
     new = np.ones(len(h), dtype=bool)
     gap = ends[:-1]
     new[1:] = (feeds[starts[1:]] > feeds[gap]) | (STOP[data[gap - 1]] & (data[gap] == 32))

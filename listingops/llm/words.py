@@ -104,22 +104,30 @@ def word_hashes(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
             h, starts, _ = hashes_of_block(part, off)
             yield i, j, h, np.searchsorted(starts, off).astype(np.int64)
             continue
-        found, at = [], 0  # one long text
-        while at < len(part):
-            to = min(len(part), at + BLOCK)
-            if to < len(part):
-                white = np.flatnonzero(WHITE[part[at:to]])
-                while not len(white) and to < len(part):  # a word longer than a block
-                    to = min(len(part), to + BLOCK)
-                    white = np.flatnonzero(WHITE[part[at:to]])
-                if to < len(part):
-                    to = at + int(white[-1]) + 1
-            found.append(hashes_of_block(part[at:to], np.array([0, to - at]))[0])
-            at = to
-        h = np.concatenate(found)
+        h = hashes_of_long(part, np.array([0, len(part)]))[0]  # one long text
         yield i, j, h, np.array([0, len(h)], dtype=np.int64)
 
 
+def hashes_of_long(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """hashes_of_block, in blocks of about BLOCK bytes that are cut at white space, so that memory stays bounded."""
+    found, at = [], 0
+    while at < len(data):
+        to = min(len(data), at + BLOCK)
+        if to < len(data):
+            white = np.flatnonzero(WHITE[data[at:to]])
+            while not len(white) and to < len(data):  # a word longer than a block
+                to = min(len(data), to + BLOCK)
+                white = np.flatnonzero(WHITE[data[at:to]])
+            if to < len(data):
+                to = at + int(white[-1]) + 1
+        h, starts, ends = hashes_of_block(data[at:to], offsets[(offsets > at) & (offsets < to)] - at)
+        found.append((h, starts + at, ends + at))
+        at = to
+    if not found:
+        return hashes_of_block(data, offsets)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def shingles(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of the k-word shingles of one text in order; of all its words as one if it has fewer; none without words."""
     n = len(h)

@@ -401,6 +401,17 @@ def test_line_dedup_equals_brute_force(spark, at_once):
             seen.add(x)
 
 
+def test_lines_of_long_texts_in_blocks(monkeypatch):
+    r = random.Random(29)
+    texts = ["\n".join(prose(r, r.randint(1, 30)).capitalize() + "." for _ in range(n)) for n in (40, 0, 7, 90)] + ["x" * 500, ""]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in raw])))
+    want = line_dedup.lines_of(data, offsets)
+    monkeypatch.setattr("listingops.llm.words.BLOCK", 64)
+    got = line_dedup.lines_of(data, offsets)
+    assert all((getattr(want, f) == getattr(got, f)).all() for f in ("hashes", "words", "starts", "ends", "bounds")) and len(want.hashes) > 100
+
+
 def test_patience_alignment():
     text, template = "x a b q c d a e".split(), "a b c d e".split()
     pairs = license_scan.align(text, template)
