@@ -169,7 +169,7 @@ RANKS = 1 << 46  # more than any length has pieces
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters whose classes are the same in every version of Unicode that a library may have.
 SETTLED = re.compile("[\\x00-\u024f\u0400-\u045f\u2010-\u2027\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*")
-_held: dict[str, Encoder] = {}
+_held: dict[tuple[int, int], Encoder] = {}
 
 
 def _byte_characters() -> dict[str, int]:
@@ -180,18 +180,18 @@ def _byte_characters() -> dict[str, int]:
 
 
 class Encoder:
-    """Texts to little-endian unsigned 32-bit ids, by a vocabulary file of the tokenizers library.
+    """Texts to little-endian unsigned 32-bit ids, by the contents of a vocabulary file of the tokenizers library.
 
     Where the file is plain byte-level BPE whose ids follow its merges, texts of settled characters without a special
     token go through a tiktoken encoding built from the same file, which gives the same ids in a fraction of the time.
     All others go through tokenizers.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, file: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        held = json.loads(Path(path).read_text(encoding="utf-8"))
+        self.tokenizer = Tokenizer.from_str(file)
+        held = json.loads(file)
         self.special = tuple(x["content"] for x in held.get("added_tokens", ()))
         self.fast = self._ranks(held)
 
@@ -221,11 +221,13 @@ class Encoder:
         return [next(others) if o else np.array(self.fast.encode_ordinary(t), dtype="<u4").tobytes() for t, o in zip(texts, odd, strict=True)]
 
 
-def encoder(path: str) -> Encoder:
+def encoder(file: str) -> Encoder:
+    """The encoder of a vocabulary file's contents, made once in a Python worker."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if path not in _held:
-        _held[path] = Encoder(path)
-    return _held[path]
+    key = zlib.crc32(file.encode()), len(file)
+    if key not in _held:
+        _held[key] = Encoder(file)
+    return _held[key]
 
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
@@ -243,12 +245,16 @@ def pieces_of(ids: bytes, capacity: int) -> Iterator[tuple[int, int, int, int]]:
 
 
 def tokenized(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
-    """The pieces of every document: PIECES. A null text has only end_id. tokenizer is a path that every task can read."""
+    """The pieces of every document: PIECES. A null text has only end_id.
+
+    tokenizer is the path of a vocabulary file on the driver; its contents, a few MB whatever the input, are broadcast.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64())])
     end = end_id.to_bytes(4, "little")
+    held = docs.sparkSession.sparkContext.broadcast(Path(tokenizer).read_text(encoding="utf-8"))
 
     def run(batches):
-        encode = encoder(tokenizer)
+        encode = encoder(held.value)
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -69,7 +70,7 @@ def test_packing_is_gapless_and_exact(spark):
 
 
 def test_encoder_gives_the_ids_of_tokenizers():
-    e, r = packing.Encoder(vocabulary()), random.Random(1)
+    e, r = packing.Encoder(Path(vocabulary()).read_text()), random.Random(1)
     assert e.fast is not None
     odd = ["", " a", "a  b", "a\n\nb", "x\ty", "<|endoftext|> z", "nb\xa0sp", "don't we'll", "日本語 テスト", "end\n", "\u2003x\u0378y", "x" * 3000]
     texts = odd + ["".join(r.choices("ab c\n.é!'s_1²", k=60)) for _ in range(300)]
