@@ -11,14 +11,14 @@ from listingops.sources import dims
 
 
 def exact_duplicates(hashes: DataFrame) -> DataFrame:
-    """sha256, n, first_id, photo_ids of contents that two or more photos have; null hashes form no group.
-
-    Members are listed for groups of up to 1000; a larger group has null there and is read by joining on sha256.
-    """
+    """sha256, n, first_id of contents that two or more photos have; null hashes form no group."""
     known = hashes.filter("sha256 IS NOT NULL")
-    counts = known.groupBy("sha256").agg(F.count(F.lit(1)).alias("n"), F.min("photo_id").alias("first_id")).filter("n > 1")
-    listed = known.join(counts.filter("n <= 1000").select("sha256"), "sha256", "left_semi").groupBy("sha256").agg(F.array_sort(F.collect_list("photo_id")).alias("photo_ids"))
-    return counts.join(listed, "sha256", "left")
+    return known.groupBy("sha256").agg(F.count(F.lit(1)).alias("n"), F.min("photo_id").alias("first_id")).filter("n > 1")
+
+
+def duplicate_members(hashes: DataFrame) -> DataFrame:
+    """sha256, photo_id, first_id of every photo of those contents, a row each, so that no group has to fit one row."""
+    return hashes.select("sha256", "photo_id").join(exact_duplicates(hashes).select("sha256", "first_id"), "sha256").select("sha256", "photo_id", "first_id")
 
 
 def band_plan(values: int, most: int) -> tuple[int, int]:

@@ -168,7 +168,13 @@ hashes AS (SELECT * FROM rows1 UNION ALL SELECT photo_id + 1000000000, sha256, b
 @query(HASHES + "SELECT sha256, count(*) AS n, min(photo_id) AS first_id FROM hashes GROUP BY sha256 HAVING count(*) > 1")
 def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contents that two or more photos share."""
-    return dedupe.exact_duplicates(derived.hashes(spark, sf_dir)).select("sha256", "n", "first_id")
+    return dedupe.exact_duplicates(derived.hashes(spark, sf_dir))
+
+
+@query(HASHES + ", d AS (SELECT sha256, min(photo_id) AS first_id FROM hashes GROUP BY sha256 HAVING count(*) > 1) SELECT sha256, photo_id, first_id FROM hashes JOIN d USING (sha256)")
+def duplicate_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every photo of the contents that two or more share."""
+    return dedupe.duplicate_members(derived.hashes(spark, sf_dir))
 
 
 @query(HASHES + """
