@@ -34,7 +34,7 @@ from listingops.llm.words import mixed, shingles, word_hashes
 
 U = np.uint64
 SKETCH_BITS = 512
-FEW = 24
+FEW = 256
 LEVELS = 4
 SAMPLE = 64  # members of a group that vote for its hub, about
 
