@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listingops.llm.common import if_small, ship, written
+from listingops.llm.common import discard, if_small, ship, written
 from listingops.llm.components import components
 from listingops.llm.words import mixed, shingles, word_hashes
 
@@ -233,7 +233,9 @@ class Join:
 
     def links(self) -> DataFrame:
         """a, b: links between classes that connect all that any links connect."""
-        classes = written(self.rows.filter("n > 0").dropDuplicates(["cid"]), "classes")
+        sets, classes = self.rows, written(self.rows.filter("n > 0").dropDuplicates(["cid"]), "classes")
+        self.rows = written(sets.select("doc_id", "text_key", "cid", "n"), "rows")
+        discard(sets)  # the arrays of all rows are the largest of the tables
         prefixes = written(self.prefixes(classes), "prefixes")
         posts = prefixes.select("cid", "n", "u", F.xxhash64("n", "prefix").alias("alike"), F.posexplode("prefix").alias("at", "key"))
         heads = posts.groupBy("key").agg(F.min(F.struct("u", "cid")).alias("x"), F.count(F.lit(1)).alias("f")).filter("f > 1").select("key", F.col("x.cid").alias("head"))
@@ -243,6 +245,7 @@ class Join:
         self.wholes = written(_whole_sets(self.docs, written(chosen.select("doc_id", "text_key"), "wanted"), self.k), "wholes")
         words = F.transform(F.sequence(F.lit(0), F.lit(SKETCH_BITS // 64 - 1)), lambda i: F.conv(F.hex(F.substring("sketch", i * 8 + 1, 8)), 16, -10).cast("long"))
         self.sketches = written(chosen.select("cid", "n", words.alias("sketch")), "sketches")
+        discard(classes)
         # groups of identical prefix and size against their first member; each class against one that shares most of its prefix
         groups = posts.filter("u = 0").select("cid", "alike").distinct()
         firsts = groups.groupBy("alike").agg(F.min("cid").alias("b"))
@@ -262,6 +265,8 @@ class Join:
             rows = self.differences(members)
             links = written(links.unionByName(rows.filter("near").select(F.col("hub").alias("a"), F.col("cid").alias("b"))), "links")
             posts = self.regrouped(rows, links)
+        links = written(links, "links")
+        discard(self.wholes)
         return links
 
     def result(self) -> DataFrame:

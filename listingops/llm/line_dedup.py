@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from listingops.llm.common import if_small, ship, written
+from listingops.llm.common import discard, if_small, ship, written
 from listingops.llm.words import buffers_of, hashes_of_long, mixed, powers, runs
 
 U = np.uint64
@@ -209,7 +209,7 @@ def _found(docs: DataFrame, min_words: int, window: int, long_words: int, at_onc
 
 
 def repeated_runs(docs: DataFrame, min_words: int = 8, window: int = 2, long_words: int = 20, at_once: int = 1 << 20) -> DataFrame:
-    """doc_id, key and deleted array<struct<s,e>> (line ranges, sorted, disjoint) of documents with repeats.
+    """doc_id, key and deleted array<struct<s,e>> (line ranges, sorted, disjoint) of documents with repeats, as a written table.
 
     key is a hash of the text: rows equal in doc_id and text are one document. Null texts and doc_ids take no part. A
     task passes equal ranges on once for every at_once ranges that it has read, so a line that a third of all documents
@@ -225,7 +225,9 @@ def repeated_runs(docs: DataFrame, min_words: int = 8, window: int = 2, long_wor
     reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
     spans = later.unionByName(here).withColumn("_new", F.when(reach.isNull() | (F.col("s") > reach), 1).otherwise(0))
     merged = spans.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_id", "key", "_run").agg(F.min("s").alias("s"), F.max("e").alias("e"))
-    return merged.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("deleted"))  # no more than a document's lines
+    out = written(merged.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("deleted")), "deleted")  # no more than a document's lines
+    discard(table)
+    return out
 
 
 def without(text: str, deleted: list[tuple[int, int]]) -> str:
@@ -248,7 +250,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 8, window: int = 2, long_words
     deleted_lines is replaced.
     """
     runs = repeated_runs(docs, min_words, window, long_words, at_once).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("deleted").alias("_deleted"))
-    runs = if_small(written(runs, "deleted"))
+    runs = if_small(runs)
     joined = docs.join(runs, (F.col("doc_id").cast("long") == F.col("_d")) & (F.xxhash64("text") == F.col("_k")), "left")
 
     @F.pandas_udf("string")
