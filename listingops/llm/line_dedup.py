@@ -258,6 +258,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 8, window: int = 2, long_words
         return pd.Series([None if t is None else without(t, [(x["s"], x["e"]) for x in d]) for t, d in zip(text, deleted, strict=True)])
 
     gone = F.col("_deleted").isNotNull()
-    cleaned = joined.withColumn("_clean", clean(F.when(gone, F.col("text")), "_deleted"))  # other texts don't go to Python
+    once = clean.asNondeterministic()  # else a filter on the text runs it again, in workers of its own
+    cleaned = joined.withColumn("_clean", once(F.when(gone, F.col("text")), "_deleted"))  # other texts don't go to Python
     text = F.when(gone, F.col("_clean")).otherwise(F.col("text")).alias("text")
     return cleaned.select(*(text if c == "text" else F.col(c) for c in docs.columns if c != "deleted_lines"), F.col("_deleted").alias("deleted_lines"))
