@@ -139,12 +139,14 @@ def slots(patterns: list[Pattern]) -> list[tuple[int, int, int, int, int, int]]:
 
 
 def assign(pieces: DataFrame, capacity: int, length: str, order: list[str]) -> DataFrame:
-    """pieces with sequence_id and offset (long). pieces is read again: pass a written table.
+    """pieces with sequence_id and offset (long). pieces is read again: pass a written table. capacity: under 131,072.
 
     A length may hold any share of the pieces; ranks come from salted counts. The plan's rows are bounded by capacity
     lengths times the patterns that exhaust them, not by the input, so tasks hold it as arrays and search it by
     (length, rank).
     """
+    if capacity >= 1 << 17:
+        raise ValueError("capacity times RANKS must stay within a long")
     histogram = {r[0]: r[1] for r in pieces.groupBy(length).count().collect()}  # capacity rows at most
     rows = sorted(slots(plan(histogram, capacity)))
     lengths, lows, _, pers, firsts, offsets = (np.array(x, dtype=np.int64) for x in zip(*rows, strict=True)) if rows else [np.empty(0, np.int64)] * 6
@@ -167,9 +169,16 @@ def assign(pieces: DataFrame, capacity: int, length: str, order: list[str]) -> D
 RANKS = 1 << 46  # more than any length has pieces
 # Fixed value: the pattern by which byte-level BPE cuts a text before it merges.
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: White space in a row from which on a text goes through tokenizers: BYTE_LEVEL backtracks once for each character.
+LONG_BLANK = 10_000
+BLANKS = re.compile(r"\s+")
 #: Characters whose classes are the same in every version of Unicode that a library may have.
 SETTLED = re.compile("[\\x00-\u024f\u0400-\u045f\u2010-\u2027\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*")
-_held: dict[tuple[int, int], Encoder] = {}
+_held: dict[tuple[int, int, bool], Encoder] = {}
+
+
+def long_blank(text: str) -> bool:
+    return len(text) >= LONG_BLANK and any(m.end() - m.start() >= LONG_BLANK for m in BLANKS.finditer(text))
 
 
 def _byte_characters() -> dict[str, int]:
@@ -184,18 +193,21 @@ class Encoder:
 
     Where the file is plain byte-level BPE whose ids follow its merges, texts of settled characters without a special
     token go through a tiktoken encoding built from the same file, which gives the same ids in a fraction of the time.
-    All others go through tokenizers.
+    All others, and texts with very long runs of white space, go through tokenizers. With plain_specials the strings of
+    special tokens are ordinary text.
     """
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, plain_specials: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(file)
+        self.tokenizer.encode_special_tokens = plain_specials
         held = json.loads(file)
-        self.special = tuple(x["content"] for x in held.get("added_tokens", ()))
-        self.fast = self._ranks(held)
+        specials = tuple(x["content"] for x in held.get("added_tokens", ()))
+        self.special = () if plain_specials else specials
+        self.fast = self._ranks(held, specials)
 
-    def _ranks(self, held: dict):
+    def _ranks(self, held: dict, specials: tuple[str, ...]):
         import tiktoken
 
         model, cut = held["model"], held.get("pre_tokenizer") or {}
@@ -204,7 +216,7 @@ class Encoder:
         if cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
             return None
         byte = _byte_characters()
-        ids = {k: v for k, v in model["vocab"].items() if k not in self.special}
+        ids = {k: v for k, v in model["vocab"].items() if k not in specials}
         merged = [ids.get("".join(m if isinstance(m, list) else m.split(" ")), -1) for m in model["merges"]]
         if sorted(merged) != merged or merged[:1] == [-1] or any(c not in byte for k in ids for c in k):
             return None
@@ -216,17 +228,17 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         if self.fast is None:
             return self.whole(texts)
-        odd = [(not t.isascii() and not SETTLED.fullmatch(t)) or any(x in t for x in self.special) for t in texts]
+        odd = [(not t.isascii() and not SETTLED.fullmatch(t)) or any(x in t for x in self.special) or long_blank(t) for t in texts]
         others = iter(self.whole([t for t, o in zip(texts, odd, strict=True) if o]))
         return [next(others) if o else np.array(self.fast.encode_ordinary(t), dtype="<u4").tobytes() for t, o in zip(texts, odd, strict=True)]
 
 
-def encoder(file: str) -> Encoder:
+def encoder(file: str, plain_specials: bool = False) -> Encoder:
     """The encoder of a vocabulary file's contents, made once in a Python worker."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    key = zlib.crc32(file.encode()), len(file)
+    key = zlib.crc32(file.encode()), len(file), plain_specials
     if key not in _held:
-        _held[key] = Encoder(file)
+        _held[key] = Encoder(file, plain_specials)
     return _held[key]
 
 

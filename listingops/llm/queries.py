@@ -7,16 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listingops.llm import decontaminate, jaccard_join, license_scan, line_dedup, packing, quality, secrets_scan, sharding, topk_search, toxicity
+from listingops.llm import decontaminate, jaccard_join, license_scan, line_dedup, packing, quality, secrets_scan, sharding, simhash_join, spelling, token_alignment, topk_search, toxicity
 from listingops.llm.common import table
 
 CAPACITY, END_ID, SHARDS, THRESHOLD = 1024, 2, 8, 0.7
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,8 +104,24 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with its SimHash of three-word shingles and its component of fingerprints two bits apart or less."""
+    found = simhash_join.near_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"), 3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents with the groups and links of its byte-level and piece tokens, and how common its links are."""
+    return token_alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary(), vocabulary("piece_bpe_32k.model"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of documents of five letters or more that occurs three times or more, with the form that it is a variant of."""
+    return spelling.spelling_forms(table(spark, sf_dir, "documents").select("doc_id", "text"), 5, 3)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_best_fit_packing, op3_decontamination, op4_jaccard_join, op5_sharding, op6_line_dedup, op7_license_scan, op8_toxicity, op9_exact_top_k, op10_quality)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_best_fit_packing, op3_decontamination, op4_jaccard_join, op5_sharding, op6_line_dedup, op7_license_scan, op8_toxicity, op9_exact_top_k, op10_quality, op11_simhash, op12_token_alignment, op13_spelling)}
 
 
 def oracle_sql() -> dict[str, str]:
