@@ -3,8 +3,8 @@
 A line ends at a line feed, or at a word that ends in . ! or ? before a blank, so that running prose has lines too. A
 block is the shortest run of lines, from one line on, of at least min_words words. Winnowing selects in each window of
 `window` consecutive blocks the one of least hash, so that any repeated run of that many blocks has a selected block in
-common, whatever surrounds it. Blocks of long_words words or more are selected besides, in any window, so that a
-repeated run of one such block, as a single long line or sentence is, is found too.
+common, whatever surrounds it. Blocks of one line, and blocks of long_words words or more, are selected besides, in
+any window, so that a repeated run of one such block, as a single line or sentence of min_words words is, is found too.
 
 A match at a selected block is extended line by line, both ways, until another selected block is sure to take over: to
 the left by window - 1 lines, to the right as long as the block that starts `window` lines after is not whole. Block and
@@ -12,9 +12,9 @@ extensions are ranges of lines, each with a hash; a range that has an earlier pl
 deleted. Each length is joined to the first place of its own, so that a run is held against all earlier texts at once.
 
 What is guaranteed: every line of a run that occurs before (in an earlier document, or earlier in its own) and that has
-`window` consecutive blocks or a block of long_words words or more is deleted, and the first place of any line stays.
-Only whole lines are deleted: a passage that starts or ends inside a line loses the whole lines within it. Runs of fewer
-blocks, all under long_words words, go where winnowing selected them.
+`window` consecutive blocks, a line of min_words words or a block of long_words words is deleted, and the first place of
+any line stays. Only whole lines are deleted: a passage that starts or ends inside a line loses the whole lines within
+it. Runs of fewer blocks, each of short lines and under long_words words in all, go where winnowing selected them.
 """
 
 from __future__ import annotations
@@ -82,7 +82,7 @@ def blocks(lines: Lines, min_words: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def winnowed(at: np.ndarray, b: np.ndarray, long: np.ndarray, bounds: np.ndarray, window: int) -> np.ndarray:
-    """Which blocks some window of consecutive blocks of a text selects, or are long.
+    """Which blocks some window of consecutive blocks of a text selects, or are to be selected anyway (long).
 
     A text with fewer blocks than a window has one window of them all.
     """
@@ -104,7 +104,7 @@ def winnowed(at: np.ndarray, b: np.ndarray, long: np.ndarray, bounds: np.ndarray
 def ranges_of(lines: Lines, min_words: int, window: int, long_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first line, end, hash) of every selected block and its extensions, by first line and end."""
     at, end, b, n = blocks(lines, min_words)
-    pick = winnowed(at, b, n >= long_words, lines.bounds, window)
+    pick = winnowed(at, b, (n >= long_words) | (end - at == 1), lines.bounds, window)
     at, end = at[pick], end[pick]
     words = np.concatenate(([0], np.cumsum(lines.words)))
     text = np.searchsorted(lines.bounds, at, side="right")
