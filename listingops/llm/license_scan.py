@@ -45,6 +45,18 @@ TEMPLATES = {
     "All rights reserved": "Copyright. All rights reserved.",
 }
 
+# Whole texts of short public licenses, without their copyright lines.
+MIT_TEXT = TEMPLATES["MIT"] + """ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+ISC_TEXT = TEMPLATES["ISC"] + """ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+BSD_DISCLAIMER = """ THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+TEMPLATES |= {
+    "MIT text": MIT_TEXT,
+    "ISC text": ISC_TEXT,
+    "BSD-2-Clause text": TEMPLATES["BSD-2-Clause"] + BSD_DISCLAIMER,
+    "BSD-3-Clause text": TEMPLATES["BSD-2-Clause"] + " " + TEMPLATES["BSD-3-Clause endorsement"] + BSD_DISCLAIMER,
+    "Zlib text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+}
+
 
 def words_of(text: str) -> tuple[list[str], list[tuple[int, int]]]:
     found = list(WORD.finditer(text))
@@ -156,14 +168,15 @@ class Scanner:
                     break
             if rare is None:
                 continue
-            own: list[tuple[int, int]] = []  # first and last + 1 word of this template's matches, disjoint, sorted
+            own: list[tuple[int, int]] = []  # first and last + 1 word of this template's whole copies, disjoint, sorted
             where: dict[str, list[int]] = {}
             for j, w in enumerate(template):
                 where.setdefault(w, []).append(j)
             for slacks in ((0,), (0, max(1, m // 4), m, 2 * m)):  # whole copies first, which bound the windows of others
+                done, new = 0, []  # seeds come in order, so a match ends before the next
                 for p in sorted(seeds):
                     i = bisect.bisect(own, (p, len(words)))
-                    left, right = own[i - 1][1] if i else 0, own[i][0] if i < len(own) else len(words)
+                    left, right = max(done, own[i - 1][1] if i else 0), own[i][0] if i < len(own) else len(words)
                     if p < left:
                         continue
                     best: tuple[float, list[tuple[int, int]]] = (0.0, [])
@@ -175,14 +188,17 @@ class Scanner:
                         if len(short) >= self.least * m and (not best[1] or worth > best[0]):
                             best = worth, short
                     if best[1] and (len(slacks) > 1 or len(best[1]) == m == best[1][-1][0] - best[1][0][0] + 1):
-                        s, e = best[1][0][0], best[1][-1][0]
-                        found.append((len(best[1]), spans[s][0], spans[e][1], key, len(best[1]) / m))
-                        bisect.insort(own, (s, e + 1))
+                        s, done = best[1][0][0], best[1][-1][0] + 1
+                        found.append((len(best[1]), spans[s][0], spans[done - 1][1], key, len(best[1]) / m))
+                        new.append((s, done))
+                own = new if len(slacks) == 1 else own
         found.sort(key=lambda x: (-x[0], -x[4], x[1], x[3]))
         out: list[tuple[str, int, int, float]] = []
+        taken = bytearray(max((e for _, _, e, _, _ in found), default=0))
         for _, s, e, key, x in found:
-            if not any(s < b and a < e for _, a, b, _ in out):
+            if taken.find(1, s, e) < 0:
                 out.append((key, s, e, x))
+                taken[s:e] = b"\1" * (e - s)
         return sorted(out, key=lambda x: (x[1], x[0]))
 
 
