@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listingops.llm.common import ship
+from listingops.llm.common import ship, written
 from listingops.llm.words import shingles, word_hashes
 
 RADIUS, BLOCKS, BLOCK_BITS, SHINGLE = 5, 3, 16, 5
@@ -188,8 +188,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, items_
     benchmark(item_id, text) with a similarity of at least `least`. start counts words from 0; text_key is xxhash64 of
     the document's text.
 
-    Documents are never shuffled. The benchmark is sent to the tasks items_a_pass items at a time; a larger one takes
-    more passes, with the same rows. The shingles that several items share go with each pass. Null and empty texts and
+    Documents are never shuffled. The benchmark is sent to the tasks items_a_pass items at a time, about; a larger one
+    takes more passes, each written before the next begins, with the same rows. Of the shingles that several items share
+    a pass gets those of its own items. Null and empty texts and
     items match nothing, a text shorter than an item is held against it whole; repeated rows match each, a null doc_id
     stays null; other columns are ignored.
     """
@@ -197,20 +198,28 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, items_
     ship(spark)
     items = benchmark.filter(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").dropDuplicates(["item_id", "text"])
     passes = max(1, -(-items.count() // items_a_pass))
-    shared = spark.sparkContext.broadcast(_shared(items))
+    slot = F.pmod(F.xxhash64("item_id", "text"), F.lit(passes))
+    often = written(_shingles(items).groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared-shingles")
     out = None
     for p in range(passes):
-        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p).orderBy("item_id", "text").collect()
+        own = items.filter(slot == p)
+        part = own.orderBy("item_id", "text").collect()
         texts = pa.array([r["text"] for r in part], pa.string())
         keys = [r["item_id"] for r in part]
         rows = [(n, h[b[n - i] : b[n - i + 1]]) for i, j, h, b in word_hashes(texts) for n in range(i, j)]
-        found = _scan(docs, [(n, h) for n, h in rows], keys, least, shared)
+        known = often.join(_shingles(own).distinct(), "s").toArrow()  # no more than the shingles of the pass's items
+        shared = dict(zip(known["s"].combine_chunks().to_numpy().view(np.uint64).tolist(), known["n"].to_pylist(), strict=True))
+        held = spark.sparkContext.broadcast((rows, shared))
+        found = _scan(docs, keys, least, held)
+        if passes > 1:
+            found = written(found, "leaks")
+            held.unpersist()
         out = found if out is None else out.union(found)
     return out
 
 
-def _shared(items: DataFrame) -> dict[int, int]:
-    """The shingles that more than one item of the whole benchmark holds, with the number of items; the same in all passes."""
+def _shingles(items: DataFrame) -> DataFrame:
+    """s: the distinct shingles of each row of items(text)."""
     schema = pa.schema([("s", pa.int64())])
 
     def run(batches):
@@ -219,16 +228,15 @@ def _shared(items: DataFrame) -> dict[int, int]:
                 own = [np.unique(shingles(h[b[n] : b[n + 1]], SHINGLE)) for n in range(j - i)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64))], schema=schema)
 
-    often = items.select("text").mapInArrow(run, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").toArrow()
-    return dict(zip(often["s"].combine_chunks().to_numpy().view(np.uint64).tolist(), often["n"].to_pylist(), strict=True))
+    return items.select("text").mapInArrow(run, "s long")
 
 
-def _scan(docs: DataFrame, rows: list[tuple[int, np.ndarray]], keys: list[int], least: float, shared: Broadcast) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(rows)  # items_a_pass items at most
+def _scan(docs: DataFrame, keys: list[int], least: float, held: Broadcast) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int32()), ("n_words", pa.int32()), ("similarity", pa.float64()), ("text_key", pa.int64())])
 
     def run(batches):
-        items = Items(held.value, least, shared.value)
+        rows, shared = held.value
+        items = Items(rows, least, shared)
         for batch in batches:
             ids, text_keys, out = batch.column(0), batch.column(1), []
             for i, _, h, bounds in word_hashes(batch.column(2)):

@@ -124,7 +124,8 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int
 
     vectors(vec_id, v array<bigint>), queries(query_id, v). Each task indexes its rows in blocks of block_rows and
     passes on k rows for each query. Queries are sent to the tasks queries_a_pass at a time, about; more of them take
-    more passes over the vectors, with the same rows. Rows with the query's own id are not candidates; ties go to the
+    more passes over the vectors, each written before the next begins, with the same rows. Components and products must
+    keep the scores within 2 ** 53. Rows with the query's own id are not candidates; ties go to the
     smaller vec_id. Null vectors and vectors with a null component take no part; vectors of another length are not
     compared. Repeated query ids are one query, repeated vectors are rows each; other columns are ignored.
     """
@@ -151,6 +152,10 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int
             yield from best.rows()
 
         new = data.mapInArrow(run, "query_id long, vec_id long, score long")
+        del part, by_size
+        if passes > 1:  # one pass's queries at a time
+            new = written(new, "found")
+            held.unpersist()
         found = new if found is None else found.union(new)
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
