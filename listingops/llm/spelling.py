@@ -28,7 +28,7 @@ from listingops.llm.common import discard, ship, written
 RUN = re.compile("[a-zÀ-ÿ]+")
 BETWEEN = re.compile("[^A-Za-zÀ-ÿ]")
 BOX = 16_384  # words of a box, about
-SAMPLE = 65_536  # words from which planes are taken, at most
+SAMPLE = 65_536  # words from which planes are taken, about
 LEAF = 128
 HELD = 1 << 18  # distinct words that a task counts before it gives them away
 BLOCK = 1 << 20
@@ -260,7 +260,7 @@ def near_words(words: DataFrame, box: int = BOX, sample: int = SAMPLE) -> DataFr
     trees: dict[int, list | None] = {}
     if total > box:
         drawn: dict[int, list[str]] = {}
-        for (w,) in words.orderBy(F.xxhash64("word"), "word").limit(sample).select("word").collect():
+        for (w,) in words.filter(F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < int(share * (1 << 30))).select("word").collect():  # about sample
             drawn.setdefault(len(w), []).append(w)
         trees = {k: planes(v, box * share) for k, v in drawn.items()}
     schema = pa.schema([("length", pa.int32()), ("cell", pa.int64()), ("role", pa.int32()), ("word", pa.string()), ("n", pa.int64())])
