@@ -177,6 +177,40 @@ def category_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taxonomy.rank_categories(own, derived.type_leaves(spark, sf_dir)).select("product_id", "platform", "rank", F.round("score", 5).alias("score"))
 
 
+_roots = lambda p: "[" + ", ".join(map(str, derived.TREE_ROOTS[p])) + "]"
+_in_scope = " OR ".join(f"(platform = '{p}' AND category = '{c}' AND root_id IN ({', '.join(map(str, ids))}))" for (p, c), ids in dims.ROOTS.items())
+_child_root = " OR ".join(f"(platform = '{p}' AND root_id IN ({', '.join(map(str, ids))}))" for p, ids in dims.CHILD_ROOTS.items())
+_stems = lambda ws: f"list_has_any(stems, [{_list(T.stems_of(ws))}])"
+AUDIENCE_WORDS = ("para mujer", "de chico", "camiseta niña", "6 meses", "hombre y mujer", "")
+
+
+@query(rf"""
+WITH lf AS (SELECT p_type AS t, p_name AS name, min(p_partkey) AS leaf_id, list_extract([{_list(derived.AUDIENCES)}], CAST(length(p_type) % {len(derived.AUDIENCES)} + 1 AS INTEGER)) AS audience FROM part GROUP BY ALL),
+raw AS (SELECT leaf_id, 3.0 AS w, unnest(regexp_extract_all(lower(name), '[a-z0-9]+')) AS token FROM lf UNION ALL SELECT leaf_id, 1.5, unnest(regexp_extract_all(lower(t), '[a-z0-9]+')) FROM lf UNION ALL SELECT leaf_id, 0.5, unnest(regexp_extract_all(lower(audience), '[a-z0-9]+')) FROM lf),
+tok AS (SELECT DISTINCT leaf_id, w, token FROM raw WHERE length(token) >= 3 AND token NOT IN ({_list(dims.RANKING_STOP_WORDS)})),
+ev AS (SELECT DISTINCT leaf_id, {STEM.format('token')} AS stem FROM (SELECT leaf_id, unnest(regexp_extract_all(lower('catalogo ' || audience || ' ' || t || ' ' || name), '[a-z0-9]+')) AS token FROM lf) WHERE length(token) >= 3 AND token NOT IN ({_list(dims.RANKING_STOP_WORDS)})),
+idf AS (SELECT stem, ln(1 + (SELECT count(*) FROM lf) / count(*)::DOUBLE) AS idf FROM ev GROUP BY stem),
+sc AS (SELECT leaf_id, token, max(w * idf) AS w FROM (SELECT leaf_id, token, w, {STEM.format('token')} AS stem FROM tok) JOIN idf USING (stem) GROUP BY ALL),
+pr AS (SELECT p_partkey AS product_id, list_extract([{_list(dims.CATEGORIES)}], CAST(p_size % 5 + 1 AS INTEGER)) AS category, {PLAIN.format("lower(p_name || ' ' || p_type || ' ' || list_extract([" + _list(AUDIENCE_WORDS) + "], CAST(p_partkey % 6 + 1 AS INTEGER)))")} AS text FROM part),
+qr AS (SELECT *, list_transform(regexp_extract_all(text, '[a-z0-9]+'), lambda x: {STEM.format('x')}) AS stems FROM pr),
+qg AS (SELECT product_id, category, text, {_stems(dims.GENDER_WORDS['hombre'])} AS man, {_stems(dims.GENDER_WORDS['mujer'])} AS woman, category = 'moda' AND {_stems(dims.CHILD_WORDS)} AS child FROM qr),
+qq AS (SELECT product_id, token, row_number() OVER () AS pos FROM (SELECT product_id, unnest(regexp_extract_all(text, '[a-z0-9]+')) AS token FROM pr) WHERE length(token) >= 3 AND token NOT IN ({_list(dims.RANKING_STOP_WORDS)})),
+m AS (SELECT product_id, pos, leaf_id, max(sc.w) AS w FROM qq JOIN sc ON ({STEM.format('qq.token')}) = ({STEM.format('sc.token')}) OR (length(qq.token) >= 4 AND length(sc.token) >= 4 AND (contains(qq.token, sc.token) OR contains(sc.token, qq.token))) GROUP BY ALL),
+s AS (SELECT product_id, leaf_id, sum(w) AS score FROM m GROUP BY ALL),
+pl AS (SELECT leaf_id, name, audience, p.platform, list_extract(p.ids, CAST(length(name) % len(p.ids) + 1 AS INTEGER)) AS root_id FROM lf, (VALUES ('vinted', {_roots('vinted')}), ('wallapop', {_roots('wallapop')})) p(platform, ids)),
+j AS (SELECT product_id, platform, leaf_id, name, category, man, woman, child, audience, {_child_root} AS child_root, {_in_scope} AS inside, score FROM s JOIN pl USING (leaf_id) JOIN qg USING (product_id)),
+f AS (SELECT product_id, platform, leaf_id, name, round(score * CASE WHEN man = woman OR audience NOT IN ('Mujer', 'Hombre') THEN 1.0 WHEN man = (audience = 'Hombre') THEN 1.7 ELSE 0.25 END * CASE WHEN NOT child THEN 1.0 WHEN child_root THEN 1.7 ELSE 0.4 END, 9) AS score FROM j WHERE category = 'otros' OR inside OR (child AND child_root)),
+r AS (SELECT *, row_number() OVER (PARTITION BY product_id, platform ORDER BY score DESC, name, leaf_id) AS k FROM f)
+SELECT product_id, platform, CAST(k AS INTEGER) AS rank, leaf_id, round(score, 5) AS score FROM r WHERE k <= 3
+""")
+def category_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best three leaves of trees with the platforms' roots, for texts of every category with gender and child words."""
+    p = derived.table(spark, sf_dir, "part")
+    pick = lambda xs, i: F.get(F.array(*(F.lit(x) for x in xs)), i.cast("int"))
+    own = p.select(F.col("p_partkey").alias("product_id"), pick(dims.CATEGORIES, F.col("p_size") % 5).alias("category"), F.concat_ws(" ", "p_name", "p_type", pick(AUDIENCE_WORDS, F.col("p_partkey") % 6)).alias("text"))
+    return taxonomy.rank_categories(own, derived.rooted_leaves(spark, sf_dir)).select("product_id", "platform", "rank", "leaf_id", F.round("score", 5).alias("score"))
+
+
 @query("""
 SELECT 'geo' AS platform, n_nationkey + 100 AS leaf_id, n_name AS name, 'world/' || r_name AS path, 0 AS root_id FROM nation JOIN region ON n_regionkey = r_regionkey
 """)

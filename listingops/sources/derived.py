@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from listingops.sources import dims
+
 LINE_ORDER = ("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
 
 
@@ -90,6 +92,20 @@ def type_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.crossJoin(F.broadcast(places)).select("platform", "leaf_id", F.col("p_name").alias("name"), F.array(F.lit("parts"), "p_type").alias("path"), F.lit(0).alias("root_id"))
 
 
+AUDIENCES = ("Mujer", "Hombre", "Infantil", "Casa")
+TREE_ROOTS = {p: tuple(r for (q, _), ids in dims.ROOTS.items() if q == p for r in ids) + dims.CHILD_ROOTS[p] + (999,) for p in dims.PLATFORMS}
+
+
+def rooted_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names below types below an audience, under the platforms' own roots in turn."""
+    rows = table(spark, sf_dir, "part").groupBy("p_type", "p_name").agg(F.min("p_partkey").alias("leaf_id"))
+    places = F.explode(F.array(*(F.struct(F.lit(p).alias("platform"), F.array(*map(F.lit, ids)).alias("ids")) for p, ids in TREE_ROOTS.items())))
+    each = rows.select("*", places.alias("x"))
+    audience = F.get(F.array(*map(F.lit, AUDIENCES)), (F.length("p_type") % len(AUDIENCES)).cast("int"))
+    root = F.get(F.col("x.ids"), (F.length("p_name") % F.size("x.ids")).cast("int"))
+    return each.select(F.col("x.platform").alias("platform"), "leaf_id", F.col("p_name").alias("name"), F.array(F.lit("catalogo"), audience, "p_type").alias("path"), root.alias("root_id"))
+
+
 def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors as photo hashes: the signs of a vector's first twelve components make the content, sixty-four the picture.
 
