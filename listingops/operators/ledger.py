@@ -6,7 +6,7 @@ published, sold, undo_sale, returned, cost, title, reference. seq orders a produ
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,9 +15,8 @@ from listingops.functions.text import guarded
 from listingops.sources import dims
 
 
-def checked_events(events: DataFrame, products: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejects with reason): negative cents, unknown platforms, unknown products, and undo or return
-    without a standing sale are rejected."""
+def _judged(events: DataFrame, products: DataFrame | None) -> DataFrame:
+    """events with reason: why one is rejected, or null. One exchange, by product."""
     w = W.partitionBy("product_id").orderBy("seq")
     bad_cents = (F.coalesce("price_cents", F.lit(0)) < 0) | (F.coalesce("cost_cents", F.lit(0)) < 0)
     bad_platform = F.col("type").isin("published", "sold") & ~F.coalesce(F.col("platform").isin(*dims.PLATFORMS), F.lit(False))
@@ -27,22 +26,65 @@ def checked_events(events: DataFrame, products: DataFrame | None = None) -> tupl
         rows = rows.join(known, "product_id", "left").withColumn("reason", F.coalesce("reason", F.when(F.col("_known").isNull(), "unknown_product"))).drop("_known")
     state = F.when(F.col("reason").isNull(), F.when(F.col("type") == "sold", True).when(F.col("type") == "undo_sale", False))
     before = F.coalesce(F.last(state, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(False))
-    orphan = F.col("type").isin("undo_sale", "returned") & ~before
-    rows = rows.withColumn("_orphan", orphan)
-    rows = rows.withColumn("reason", F.coalesce("reason", F.when(F.col("_orphan"), "no_sale"))).drop("_orphan")
+    rows = rows.withColumn("_orphan", F.col("type").isin("undo_sale", "returned") & ~before)
+    return rows.withColumn("reason", F.coalesce("reason", F.when(F.col("_orphan"), "no_sale"))).drop("_orphan")
+
+
+def checked_events(events: DataFrame, products: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejects with reason): negative cents, unknown platforms, unknown products, and undo or return
+    without a standing sale are rejected."""
+    rows = _judged(events, products)
     return rows.filter("reason IS NULL").drop("reason"), rows.filter("reason IS NOT NULL")
 
 
+def folded(events: DataFrame, products: DataFrame | None = None) -> DataFrame:
+    """product_id, publications, sale, live: all that the accepted events of each product come to, in one exchange.
+
+    publications: array of platform, listed_at (first), price_cents (latest, also to null), times, by platform. sale:
+    the standing one as sales() gives it, or null. live: cost_cents (0 where never set), title and reference now. Checks,
+    running values and sums share the partitioning by product; no product is collected: windows run over its events in
+    order, and the sums keep one row.
+    """
+    w = W.partitionBy("product_id").orderBy("seq")
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
+    last = lambda kind, c: F.last(F.when(F.col("type") == kind, F.col(c)), ignorenulls=True).over(upto)
+    undone = F.coalesce(F.sum((F.col("type") == "undo_sale").cast("int")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = _judged(events, products).filter("reason IS NULL").select("*", undone.alias("_epoch"), F.coalesce(last("cost", "cost_cents"), F.lit(0).cast("long")).alias("_cost"), last("title", "title").alias("_title"), last("reference", "reference").alias("_ref"))
+    sold, ends = F.col("type") == "sold", F.col("type").isin("sold", "returned", "undo_sale")
+    newest = lambda kind, c: F.max(F.when(F.col("type") == kind, F.struct("seq", c)))[c]
+
+    def listed(p: str) -> list[Column]:
+        own = (F.col("type") == "published") & (F.col("platform") == p)
+        return [F.min(F.when(own, F.col("at"))).alias(f"_at_{p}"), F.max(F.when(own, F.struct("seq", "price_cents")))["price_cents"].alias(f"_price_{p}"), F.count_if(own).alias(f"_times_{p}")]
+
+    out = rows.groupBy("product_id").agg(
+        # the last epoch with a sale is the standing one, unless an undo ends it
+        F.max(F.when(sold, F.struct("_epoch", (-F.col("seq")).alias("_back"), "_cost", "_title", "_ref", F.coalesce("sold_at", "at").alias("sold_at"), "at"))).alias("_first"),
+        F.max(F.when(sold, F.struct("seq", "price_cents", "platform"))).alias("_last"),
+        F.max(F.when(sold, F.struct("_epoch", F.when(F.col("bundle_id").isNotNull(), F.col("seq")).alias("seq"), "bundle_id"))).alias("_bundle"),
+        F.max(F.when(ends, F.struct("seq", "type", "at"))).alias("_end"),
+        newest("cost", "cost_cents").alias("_cost"), newest("title", "title").alias("_title"), newest("reference", "reference").alias("_ref"),
+        *(c for p in dims.PLATFORMS for c in listed(p)),
+    )
+    state = F.when(F.col("_end.type") == "returned", "devuelta").otherwise("vendida")
+    sale = F.struct(F.col("_first._ref").alias("reference_snap"), F.col("_first._title").alias("title_snap"), F.col("_first._cost").alias("cost_snap_cents"), F.col("_last.price_cents").alias("price_cents"), F.col("_last.platform").alias("platform"), state.alias("state"), F.col("_bundle.bundle_id").alias("bundle_id"), F.col("_first.sold_at").alias("sold_at"), F.col("_first.at").alias("created_at"), F.col("_end.at").alias("updated_at"))
+    places = F.array(*(F.when(F.col(f"_times_{p}") > 0, F.struct(F.lit(p).alias("platform"), F.col(f"_at_{p}").alias("listed_at"), F.col(f"_price_{p}").alias("price_cents"), F.col(f"_times_{p}").alias("times"))) for p in sorted(dims.PLATFORMS)))
+    live = F.struct(F.coalesce("_cost", F.lit(0).cast("long")).alias("cost_cents"), F.col("_title").alias("title"), F.col("_ref").alias("reference"))
+    return out.select("product_id", F.array_compact(places).alias("publications"), F.when(F.col("_end.type") != "undo_sale", sale).alias("sale"), live.alias("live"))
+
+
 def publications(events: DataFrame) -> DataFrame:
     """product_id, platform, listed_at (first), price_cents (latest, also to null), times of accepted published events."""
-    own = events.filter("type = 'published'")
-    return own.groupBy("product_id", "platform").agg(F.min("at").alias("listed_at"), F.max(F.struct("seq", "price_cents")).alias("x"), F.count(F.lit(1)).alias("times")).select("product_id", "platform", "listed_at", F.col("x.price_cents").alias("price_cents"), "times")
+    return publications_of(folded(events))
+
+
+def publications_of(fold: DataFrame) -> DataFrame:
+    return fold.select("product_id", F.inline("publications"))
 
 
 def live_products(events: DataFrame) -> DataFrame:
     """product_id, cost_cents, title, reference now: the last of each kind; cost 0 where never set."""
-    last = lambda kind, c: F.max(F.when(F.col("type") == kind, F.struct("seq", c)))[c]
-    return events.groupBy("product_id").agg(F.coalesce(last("cost", "cost_cents"), F.lit(0).cast("long")).alias("cost_cents"), last("title", "title").alias("title"), last("reference", "reference").alias("reference"))
+    return folded(events).select("product_id", "live.*")
 
 
 def sales(events: DataFrame) -> DataFrame:
@@ -52,45 +94,33 @@ def sales(events: DataFrame) -> DataFrame:
     An epoch is what lies between undo events; only the last epoch's sale stands. A sale after a return re-opens it
     with the old snapshots.
     """
-    w = W.partitionBy("product_id").orderBy("seq")
-    upto = w.rowsBetween(W.unboundedPreceding, 0)
-    epoch = F.coalesce(F.sum((F.col("type") == "undo_sale").cast("int")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    last = lambda kind, c: F.last(F.when(F.col("type") == kind, F.col(c)), ignorenulls=True).over(upto)
-    rows = events.withColumn("epoch", epoch).withColumn("_cost", F.coalesce(last("cost", "cost_cents"), F.lit(0).cast("long"))).withColumn("_title", last("title", "title")).withColumn("_ref", last("reference", "reference"))
-    own = rows.filter(F.col("type").isin("sold", "returned", "undo_sale"))
-    agg = own.groupBy("product_id", "epoch").agg(
-        F.min(F.when(F.col("type") == "sold", F.struct("seq", "_cost", "_title", "_ref", F.coalesce("sold_at", "at").alias("sold_at"), "at"))).alias("first"),
-        F.max(F.when(F.col("type") == "sold", F.struct("seq", "price_cents", "platform", "at"))).alias("last"),
-        F.max(F.when(F.col("type") == "sold", F.struct(F.when(F.col("bundle_id").isNotNull(), F.col("seq")).alias("seq"), "bundle_id"))).alias("bundle"),
-        F.max(F.struct("seq", "type", "at")).alias("end"),
-    )
-    agg = agg.withColumn("_latest", F.max("epoch").over(W.partitionBy("product_id")))
-    stands = agg.filter((F.col("epoch") == F.col("_latest")) & (F.col("end.type") != "undo_sale") & F.col("first").isNotNull())
-    return stands.select("product_id", F.col("first._ref").alias("reference_snap"), F.col("first._title").alias("title_snap"), F.col("first._cost").alias("cost_snap_cents"), F.col("last.price_cents").alias("price_cents"), F.col("last.platform").alias("platform"), F.when(F.col("end.type") == "returned", "devuelta").otherwise("vendida").alias("state"), F.col("bundle.bundle_id").alias("bundle_id"), F.col("first.sold_at").alias("sold_at"), F.col("first.at").alias("created_at"), F.col("end.at").alias("updated_at"))
-
-
-def ledger(products: DataFrame, pubs: DataFrame, sold: DataFrame) -> DataFrame:
+    return sales_of(folded(events))
+
+
+def sales_of(fold: DataFrame) -> DataFrame:
+    return fold.filter("sale IS NOT NULL").select("product_id", "sale.*")
+
+
+def ledger(products: DataFrame, fold: DataFrame) -> DataFrame:
     """One row for each product with a publication or a sale; ordered() puts them latest first.
 
     Live title and reference where the product exists, else the sale's snapshots; the cost shown is the sale's
-    snapshot where there is a sale. profit_cents is null for returns and unknown prices.
+    snapshot where there is a sale. profit_cents is null for returns and unknown prices. zero_cost_warning marks unsold
+    products whose cost is missing or 0: a sale would freeze the price as profit.
     """
-    ids = pubs.select("product_id").union(sold.select("product_id")).distinct()
-    listed = pubs.groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("platform", "listed_at", "price_cents"))).alias("publications"), F.max("listed_at").alias("_listed"))
+    own = fold.filter("size(publications) > 0 OR sale IS NOT NULL").select("product_id", F.when(F.size("publications") > 0, F.col("publications")).alias("publications"), "sale")
     live = products.select("product_id", "lot_id", F.col("title").alias("_title"), F.col("reference").alias("_ref"), F.col("cost_cents").alias("_cost"), F.lit(True).alias("_live"))
-    rows = ids.join(live, "product_id", "left").join(sold, "product_id", "left").join(listed, "product_id", "left")
-    alive = F.coalesce("_live", F.lit(False))
-    has_sale = F.col("state").isNotNull()
-    out = rows.select(
+    alive, has_sale = F.coalesce("_live", F.lit(False)), F.col("sale").isNotNull()
+    out = own.join(live, "product_id", "left").select(
         "product_id", "lot_id",
-        F.when(alive, F.col("_ref")).otherwise(F.col("reference_snap")).alias("reference"),
-        F.when(alive, F.col("_title")).otherwise(F.col("title_snap")).alias("title"),
-        F.when(has_sale, F.col("cost_snap_cents")).otherwise(F.col("_cost")).alias("cost_cents"),
-        "price_cents", "platform", "state", "bundle_id", "sold_at", "publications",
-        N.gross_profit(F.col("state"), F.col("price_cents"), F.col("cost_snap_cents")).alias("profit_cents"),
-        F.greatest("_listed", "sold_at").alias("latest_at"),
+        F.when(alive, F.col("_ref")).otherwise(F.col("sale.reference_snap")).alias("reference"),
+        F.when(alive, F.col("_title")).otherwise(F.col("sale.title_snap")).alias("title"),
+        F.when(has_sale, F.col("sale.cost_snap_cents")).otherwise(F.col("_cost")).alias("cost_cents"),
+        "sale.price_cents", "sale.platform", "sale.state", "sale.bundle_id", "sale.sold_at", "publications",
+        N.gross_profit(F.col("sale.state"), F.col("sale.price_cents"), F.col("sale.cost_snap_cents")).alias("profit_cents"),
+        F.greatest(F.array_max(F.transform("publications", lambda p: p["listed_at"])), F.col("sale.sold_at")).alias("latest_at"),
     )
-    return out.withColumn("zero_cost_warning", ~has_sale & (F.coalesce("cost_cents", F.lit(0)) == 0))
+    return out.withColumn("zero_cost_warning", F.col("state").isNull() & (F.coalesce("cost_cents", F.lit(0)) == 0))
 
 
 def ordered(rows: DataFrame) -> DataFrame:
@@ -126,10 +156,14 @@ def still_listed(sold: DataFrame, pubs: DataFrame) -> DataFrame:
 
 def latest_publication(pubs: DataFrame) -> DataFrame:
     """product_id, platform (of the latest), price_cents (of the latest with a price); ties to the first platform."""
-    newest = lambda c: F.max(F.when(c, F.struct("listed_at", "_back", "platform", "price_cents")))
-    rows = pubs.withColumn("_back", F.translate("platform", "abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcba"))
-    out = rows.groupBy("product_id").agg(newest(F.lit(True)).alias("any"), newest(F.col("price_cents").isNotNull()).alias("priced"))
-    return out.select("product_id", F.col("any.platform").alias("platform"), F.col("priced.price_cents").alias("price_cents"))
+    held = pubs.groupBy("product_id").agg(F.collect_list(F.struct("listed_at", "platform", "price_cents")).alias("own"))  # one for each platform
+
+    def newest(own: Column) -> Column:  # the least platform of the latest time
+        at = F.array_max(F.transform(own, lambda p: p["listed_at"]))
+        return F.array_min(F.transform(F.filter(own, lambda p: p["listed_at"].eqNullSafe(at)), lambda p: F.struct(p["platform"].alias("platform"), p["price_cents"].alias("price_cents"))))
+
+    priced = F.filter("own", lambda p: p["price_cents"].isNotNull())
+    return held.select("product_id", newest(F.col("own"))["platform"].alias("platform"), newest(priced)["price_cents"].alias("price_cents"))
 
 
 def publication_state(pubs: DataFrame, platform: str) -> DataFrame:
@@ -152,19 +186,38 @@ def report(rows: DataFrame) -> DataFrame:
     return rows.select("product_id", F.coalesce(F.col("reference").cast("string"), F.lit("")).alias("reference"), text(F.col("title")).alias("title"), N.cents_text(F.col("cost_cents")).alias("cost"), text(listed).alias("listed"), sold.alias("sold"), N.cents_text(F.col("price_cents")).alias("price"), text(F.col("platform")).alias("platform"), day("sold_at").alias("sold_at"), N.cents_text(F.col("profit_cents")).alias("profit"))
 
 
+RANGE_SAMPLE = 20  # rows drawn for each range
+
+
+def range_bounds(rows: DataFrame, key: str, ranges: int) -> list[tuple]:
+    """At most ranges - 1 values of key, a struct of plain columns, that cut rows(product_id, key) into ranges of about one size.
+
+    Taken once, from RANGE_SAMPLE rows a range drawn by a hash of product_id, so that every later reading of the rows,
+    however often Spark evaluates them, is cut alike.
+    """
+    share = min(1.0, RANGE_SAMPLE * ranges / max(1, rows.count()))
+    drawn = sorted(tuple(r[0]) for r in rows.filter(F.pmod(F.xxhash64("product_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select(key).collect())
+    return sorted({drawn[len(drawn) * i // ranges] for i in range(1, ranges)} if drawn else ())
+
+
 def assign_references(waiting: DataFrame, history: DataFrame, ranges: int = 32) -> DataFrame:
     """product_id, reference of waiting(product_id, created_at) products without one in history(product_id, n).
 
-    Numbers go on above the highest ever issued, by created_at, then product, and are never reused. Order is global
-    without a single task: rows are dealt by range, counted by range, and numbered within their range.
+    Numbers go on above the highest ever issued, by created_at (nulls first), then product, and are never reused. Order
+    is global without a single task: rows are dealt to ranges whose bounds are constants, counted by range and numbered
+    within theirs.
     """
-    new = waiting.join(history.select("product_id"), "product_id", "left_anti").select("product_id", "created_at").repartitionByRange(ranges, "created_at", "product_id")
-    placed = new.withColumn("_part", F.spark_partition_id())
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("created_at", "product_id")).alias("_low"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_low").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")  # one row for each range
+    at = F.coalesce(F.unix_micros(F.col("created_at").cast("timestamp")), F.lit(-(1 << 62)))
+    new = waiting.join(history.select("product_id"), "product_id", "left_anti").select("product_id", F.struct(at.alias("at"), "product_id").alias("_key"))
+    above = F.lit(0)
+    for t, product in range_bounds(new, "_key", ranges):
+        above = above + (F.col("_key") > F.struct(F.lit(t), F.lit(product).cast(new.schema["product_id"].dataType))).cast("int")
+    placed = new.withColumn("_range", above)
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_range", "_before")  # one row for each range
     top = history.agg(F.coalesce(F.max("n"), F.lit(0)).alias("_top"))
-    rank = F.row_number().over(W.partitionBy("_part").orderBy("created_at", "product_id"))
-    return placed.withColumn("_r", rank).join(F.broadcast(before), "_part").crossJoin(F.broadcast(top)).select("product_id", (F.col("_top") + F.col("_before") + F.col("_r")).cast("long").alias("reference"))
+    rank = F.row_number().over(W.partitionBy("_range").orderBy("_key"))
+    return placed.withColumn("_r", rank).join(F.broadcast(before), "_range").crossJoin(F.broadcast(top)).select("product_id", (F.col("_top") + F.col("_before") + F.col("_r")).cast("long").alias("reference"))
 
 
 # -- state of listings and photos from their events ------------------------------------------------------------------

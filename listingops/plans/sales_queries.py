@@ -106,9 +106,8 @@ pub AS (SELECT product_id, platform, min(t0) AS listed_at, arg_max(price_cents,
 """
 
 
-def _state(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    events, _ = ledger.checked_events(derived.events(spark, sf_dir))
-    return ledger.publications(events), ledger.sales(events)
+def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.folded(derived.events(spark, sf_dir))
 
 
 def _products(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,13 +119,13 @@ def _products(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(EVENTS + "SELECT product_id, platform, listed_at, price_cents, times FROM pub")
 def publications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First listing time and latest price of every product and platform."""
-    return _state(spark, sf_dir)[0].withColumn("listed_at", F.col("listed_at").cast("timestamp_ntz"))
+    return ledger.publications_of(_state(spark, sf_dir)).withColumn("listed_at", F.col("listed_at").cast("timestamp_ntz"))
 
 
 @query(EVENTS + "SELECT product_id, price_cents, platform, bundle_id, sold_at, cost_cents AS cost_snap_cents, state FROM sale")
 def standing_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sale that stands for each product, with its frozen cost."""
-    out = _state(spark, sf_dir)[1]
+    out = ledger.sales_of(_state(spark, sf_dir))
     return out.select("product_id", "price_cents", "platform", "bundle_id", F.col("sold_at").cast("timestamp_ntz").alias("sold_at"), "cost_snap_cents", "state")
 
 
@@ -140,8 +139,7 @@ led AS (SELECT i.product_id, lot_id, reference, title, CASE WHEN state IS NOT NU
 
 
 def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pubs, sold = _state(spark, sf_dir)
-    return ledger.ledger(_products(spark, sf_dir), pubs, sold)
+    return ledger.ledger(_products(spark, sf_dir), _state(spark, sf_dir))
 
 
 @query(LEDGER + "SELECT product_id, lot_id, reference, title, cost_cents, price_cents, platform, state, profit_cents, latest_at FROM led")
@@ -175,14 +173,14 @@ def ledger_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(EVENTS + "SELECT bundle_id, count(*) AS n, CAST(sum(price_cents) AS BIGINT) AS price_cents, CAST(sum(cost_cents) AS BIGINT) AS cost_cents FROM sale WHERE bundle_id IS NOT NULL GROUP BY bundle_id")
 def bundle_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums of sales that share a bundle."""
-    return ledger.bundles(_state(spark, sf_dir)[1])
+    return ledger.bundles(ledger.sales_of(_state(spark, sf_dir)))
 
 
 @query(EVENTS + "SELECT p.product_id, p.platform FROM pub p JOIN sale s USING (product_id) WHERE s.state = 'vendida' AND p.platform <> s.platform")
 def still_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sold products that are still listed on another platform."""
-    pubs, sold = _state(spark, sf_dir)
-    return ledger.still_listed(sold, pubs)
+    fold = _state(spark, sf_dir)
+    return ledger.still_listed(ledger.sales_of(fold), ledger.publications_of(fold))
 
 
 @query(EVENTS + """
@@ -190,7 +188,7 @@ SELECT product_id, first(platform ORDER BY listed_at DESC, platform) AS platform
 """)
 def latest_publications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each product was listed last, and at what price."""
-    return ledger.latest_publication(_state(spark, sf_dir)[0])
+    return ledger.latest_publication(ledger.publications_of(_state(spark, sf_dir)))
 
 
 @query(EVENTS + """

@@ -79,7 +79,7 @@ def unknown_lots(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(EVENTS + "SELECT product_id, listed_at, price_cents, times FROM pub WHERE platform = 'vinted'")
 def listed_on_vinted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is listed on one platform."""
-    rows = ledger.publication_state(_state(spark, sf_dir)[0], "vinted")
+    rows = ledger.publication_state(ledger.publications_of(_state(spark, sf_dir)), "vinted")
     return rows.select("product_id", F.col("listed_at").cast("timestamp_ntz").alias("listed_at"), "price_cents", "times")
 
 

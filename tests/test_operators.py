@@ -97,7 +97,7 @@ def test_ledger_cases(spark):
     pubs = ledger.publications(good)
     assert [tuple(r) for r in pubs.select("product_id", "price_cents", "times").collect()] == [("listed", None, 2)]
     live = ledger.live_products(good).filter("product_id <> 'back'").withColumn("lot_id", F.lit("L"))
-    rows = ledger.ledger(live, pubs, ledger.sales(good))
+    rows = ledger.ledger(live, ledger.folded(e))
     assert {r.product_id: r.profit_cents for r in rows.collect()} == {"frozen": 1500, "again": 1400, "back": None, "resold": 40, "listed": None}
     assert tuple(ledger.totals(rows).first()) == (3560, 2940) and tuple(ledger.totals(rows.limit(0)).first()) == (0, 0)
     assert {r.product_id for r in ledger.filtered(rows, "unsold").collect()} == {"listed"}
@@ -105,8 +105,7 @@ def test_ledger_cases(spark):
 
 def test_report_is_written_in_order_and_guarded(spark, tmp_path):
     e = events(spark, [("a", 1, "title", {"title": "=1+1"}), ("a", 2, "sold", {"price_cents": 1999}), ("b", 3, "published", {})])
-    pubs, sold = ledger.publications(e), ledger.sales(e)
-    rows = ledger.ledger(ledger.live_products(e).withColumn("lot_id", F.lit("L")), pubs, sold)
+    rows = ledger.ledger(ledger.live_products(e).withColumn("lot_id", F.lit("L")), ledger.folded(e))
     path = reports.write_ledger(rows, str(tmp_path), START)
     assert path.endswith("ledger_2026-05-01")
     got = [tuple(r) for r in spark.read.option("header", "true").csv(path).orderBy("product_id").select("title", "price", "sold").collect()]
