@@ -6,10 +6,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from listingops.operators.ledger import assign_references
 from listingops.operators.listings import text_violations
@@ -42,51 +42,111 @@ def first_paths(photos: DataFrame, lateness: str = LATENESS) -> DataFrame:
     return photos.withWatermark("arrived_at", lateness).dropDuplicatesWithinWatermark(["lot_id", "path"])
 
 
-LEDGER_OUT = "product_id string, seq bigint, state string, price_cents bigint, cost_cents bigint, sold_delta bigint, profit_delta bigint, reject string"
-LEDGER_STATE = StructType([StructField("cost", LongType()), StructField("sold", BooleanType()), StructField("state", StringType()), StructField("price", LongType()), StructField("snap", LongType())])
+LEDGER_OUT = """product_id string, seq bigint, type string, platform string, listed_at timestamp, listed_price_cents bigint, listed_times bigint,
+  state string, price_cents bigint, sale_platform string, bundle_id bigint, cost_cents bigint, title string, reference bigint, sold_at timestamp, created_at timestamp,
+  sold_delta bigint, profit_delta bigint, reject string"""
+LIVE = ("cost", "title", "reference")
+SALE = ("state", "price", "platform", "bundle", "cost_snap", "title_snap", "reference_snap", "sold_at", "created_at")
+_KINDS = {"title": StringType(), "state": StringType(), "platform": StringType(), "title_snap": StringType()}
+LEDGER_STATE = StructType([StructField(c, _KINDS.get(c, LongType())) for c in (*LIVE, *SALE)])  # times in microseconds
+PLACE_STATE = StructType([StructField("listed_at", LongType()), StructField("price", LongType()), StructField("times", LongType())])
+
+
+def _given(x, kind=int):
+    return None if pd.isna(x) else kind(x)
+
+
+def _micros(x) -> int | None:
+    return None if pd.isna(x) else pd.Timestamp(x).value // 1000
 
 
 class LedgerProcessor(StatefulProcessor):
-    """A product's sale: cost before the first sale is frozen until an undo; each accepted event gives the change it
-    makes to the totals, so that sums retract."""
+    """A product's publications and sale, by the rules of ledger.folded: a value of what lives and of the standing sale,
+    and a map entry for each platform it was listed on. Each event gives the state it leaves and the change it makes to
+    the totals, so that sums retract. An undo clears the sale; without a state there is none."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.held = handle.getValueState("ledger", LEDGER_STATE)
+        self.places = handle.getMapState("places", "platform string", PLACE_STATE)
+
+    def handleInitialState(self, key, initial: pd.DataFrame, timer_values) -> None:
+        """One row of ledger_state(): what the batch ledger came to before the stream began."""
+        for r in initial.itertuples():
+            kinds = {c: (lambda x: _given(x, str)) if c in _KINDS else _micros if c.endswith("_at") else _given for c in (*LIVE, *SALE)}
+            self.held.update(tuple(kinds[c](getattr(r, c)) for c in (*LIVE, *SALE)))
+            for p in r.publications if r.publications is not None else ():
+                p = p if isinstance(p, dict) else p.asDict()
+                self.places.updateValue((p["platform"],), (_micros(p["listed_at"]), _given(p["price_cents"]), int(p["times"])))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(rows)).sort_values("seq")
-        cost, sold, state, price, snap = self.held.get() if self.held.exists() else (0, False, None, None, None)
-        counted = lambda: (price or 0, (price - snap) if price is not None else 0) if sold and state == "vendida" else (0, 0)
+        kept = self.held.get() if self.held.exists() else None
+        live = dict(zip(LIVE, kept[:3], strict=True)) if kept else {"cost": 0, "title": None, "reference": None}
+        sale = dict(zip(SALE, kept[3:], strict=True)) if kept and kept[3] else None
         out = []
         for e in events.itertuples():
-            before, reject = counted(), None
-            given = None if pd.isna(e.price_cents) else int(e.price_cents)
-            if (given or 0) < 0 or (not pd.isna(e.cost_cents) and e.cost_cents < 0):
+            before, reject, listed = counted(sale), None, (None, None, None)
+            price, cost, place = _given(e.price_cents), _given(e.cost_cents), _given(e.platform, str)
+            if (price or 0) < 0 or (cost or 0) < 0:
                 reject = "negative_cents"
-            elif e.type == "cost":
-                cost = int(e.cost_cents)
-            elif e.type == "sold":
-                snap = snap if sold else cost
-                sold, state, price = True, "vendida", given
-            elif e.type in ("returned", "undo_sale") and not sold:
+            elif e.type in ("published", "sold") and place not in dims.PLATFORMS:
+                reject = "unknown_platform"
+            elif e.type in ("returned", "undo_sale") and not sale:
                 reject = "no_sale"
+            elif e.type == "published":
+                first, _, times = self.places.getValue((place,)) if self.places.containsKey((place,)) else (_micros(e.at), None, 0)
+                listed = (min(first, _micros(e.at)), price, times + 1)
+                self.places.updateValue((place,), listed)
+            elif e.type == "sold":
+                frozen = sale or {"cost_snap": live["cost"], "title_snap": live["title"], "reference_snap": live["reference"], "sold_at": _micros(e.at) if pd.isna(e.sold_at) else _micros(e.sold_at), "created_at": _micros(e.at), "bundle": None}
+                bundle = _given(e.bundle_id)
+                sale = frozen | {"state": "vendida", "price": price, "platform": place, "bundle": frozen["bundle"] if bundle is None else bundle}
             elif e.type == "returned":
-                state = "devuelta"
+                sale = sale | {"state": "devuelta"}
             elif e.type == "undo_sale":
-                sold, state, price, snap = False, None, None, None
-            after = counted()
-            out.append((key[0], int(e.seq), state, price, snap if sold else cost, after[0] - before[0], after[1] - before[1], reject))
-        self.held.update((cost, sold, state, price, snap))
-        frame = pd.DataFrame(out, columns=["product_id", "seq", "state", "price_cents", "cost_cents", "sold_delta", "profit_delta", "reject"])
-        yield frame.astype({"price_cents": "Int64", "cost_cents": "Int64"})
+                sale = None
+            elif e.type in LIVE:
+                value = {"cost": cost, "title": _given(e.title, str), "reference": _given(e.reference)}[e.type]
+                live[e.type] = live[e.type] if value is None else value
+            after, s = counted(sale), sale or {}
+            frozen = (s["cost_snap"], s["title_snap"], s["reference_snap"]) if sale else (live["cost"], live["title"], live["reference"])
+            out.append((key[0], int(e.seq), e.type, place, *listed, s.get("state"), s.get("price"), s.get("platform"), s.get("bundle"), *frozen, s.get("sold_at"), s.get("created_at"), after[0] - before[0], after[1] - before[1], reject))
+        self.held.update((*live.values(), *((sale or {}).get(c) for c in SALE)))
+        frame = pd.DataFrame(out, columns=LEDGER_COLUMNS)
+        whole = [c for c in LEDGER_COLUMNS if c.endswith(("_cents", "_times", "_id", "_delta")) and c != "product_id"] + ["reference"]
+        moments = {c: pd.to_datetime(frame[c].astype("Int64"), unit="us") for c in ("listed_at", "sold_at", "created_at")}
+        yield frame.astype(dict.fromkeys(whole, "Int64")).assign(**moments)
 
     def close(self) -> None:
         pass
 
 
-def ledger_changes(events: DataFrame) -> DataFrame:
-    """LEDGER_OUT for each event of (product_id, seq, type, price_cents, cost_cents). Needs the RocksDB state store."""
-    return events.groupBy("product_id").transformWithStateInPandas(LedgerProcessor(), LEDGER_OUT, "Append", "None")
+LEDGER_COLUMNS = [c.split()[0] for c in LEDGER_OUT.replace("\n", " ").split(",")]
+
+
+def counted(sale: dict | None) -> tuple[int, int]:
+    """What a standing sale adds to sold and profit; returns and unknown prices add nothing."""
+    if not sale or sale["state"] != "vendida" or sale["price"] is None:
+        return 0, 0
+    return sale["price"], sale["price"] - sale["cost_snap"]
+
+
+def ledger_state(fold: DataFrame) -> DataFrame:
+    """The rows of ledger.folded as an initial state: product_id (text), publications, and the columns of LIVE and SALE."""
+    live = [F.col("live.cost_cents").alias("cost"), "live.title", "live.reference"]
+    sale = ["sale.state", F.col("sale.price_cents").alias("price"), "sale.platform", F.col("sale.bundle_id").alias("bundle"), F.col("sale.cost_snap_cents").alias("cost_snap"), "sale.title_snap", "sale.reference_snap", "sale.sold_at", "sale.created_at"]
+    return fold.select(F.col("product_id").cast("string").alias("product_id"), "publications", *live, *sale)
+
+
+def ledger_changes(events: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """LEDGER_OUT for each event of a stream of product events, the columns of the batch ledger; seq orders a product's
+    events within a batch, and batches follow each other. before: ledger_state() of the events that came earlier.
+
+    Needs the RocksDB state store. A title, reference or cost of null changes nothing.
+    """
+    keyed = events.withColumn("product_id", F.col("product_id").cast("string")).groupBy("product_id")
+    start = None if before is None else before.groupBy("product_id")
+    return keyed.transformWithStateInPandas(LedgerProcessor(), LEDGER_OUT, "Append", "None", start)
 
 
 def live_totals(changes: DataFrame) -> DataFrame:
@@ -106,9 +166,7 @@ def reference_writer(folder: str) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         empty = spark.createDataFrame([], "product_id string, n bigint")
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        exists = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-        history = spark.read.schema("product_id string, n bigint, batch bigint").parquet(folder).select("product_id", "n") if exists else empty
+        history = spark.read.schema("product_id string, n bigint, batch bigint").parquet(folder).select("product_id", "n") if _exists(spark, folder) else empty
         first = batch.groupBy("product_id").agg(F.min("confirmed_at").alias("created_at"))
         new = assign_references(first, history).select("product_id", F.col("reference").alias("n"))
         new.write.mode("append").parquet(f"{folder}/batch={batch_id}")
@@ -116,12 +174,19 @@ def reference_writer(folder: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def late_writer(closed: str, late: str, kept: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch writer that puts photos taken before a lot's last closed group ended into `late`, the rest into
-    `kept`; closed groups (lot_id, ended_at) are never opened again."""
+    `kept`; closed groups (lot_id, ended_at) are never opened again. Before any group is closed, no photo is late."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        ended = batch.sparkSession.read.schema("lot_id string, ended_at timestamp").parquet(closed).groupBy("lot_id").agg(F.max("ended_at").alias("_ended"))
+        spark, shape = batch.sparkSession, "lot_id string, ended_at timestamp"
+        groups = spark.read.schema(shape).parquet(closed) if _exists(spark, closed) else spark.createDataFrame([], shape)
+        ended = groups.groupBy("lot_id").agg(F.max("ended_at").alias("_ended"))
         rows = batch.join(ended, "lot_id", "left").withColumn("_late", F.coalesce(F.col("captured_at") <= F.col("_ended"), F.lit(False)))
         rows.filter("_late").drop("_late", "_ended").write.mode("overwrite").parquet(f"{late}/batch={batch_id}")
         rows.filter("NOT _late").drop("_late", "_ended").write.mode("overwrite").parquet(f"{kept}/batch={batch_id}")
@@ -129,6 +194,28 @@ def late_writer(closed: str, late: str, kept: str) -> Callable[[DataFrame, int],
     return write
 
 
+class LateRows(StreamingQueryListener):
+    """How many rows each query, by name, has dropped behind its watermark; add it with spark.streams.addListener."""
+
+    def __init__(self):
+        self.dropped: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        n = sum(o.numRowsDroppedByWatermark for o in p.stateOperators)
+        if n:
+            self.dropped[p.name] = self.dropped.get(p.name, 0) + n
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 def live_usage(usage: DataFrame, prices: DataFrame, keys: list[str]) -> DataFrame:
     """usage_by over a stream, for update output."""
     return usage_by(usage, prices, keys)

@@ -1,10 +1,13 @@
 """Streams give what the batch operators give."""
 
+import time
 from datetime import datetime, timedelta
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from listingops.operators import grouping
+from listingops.operators import grouping, ledger
+from listingops.sources import derived
 from listingops.streaming import streams
 
 START = datetime(2026, 5, 1, 10)
@@ -38,12 +41,83 @@ def test_repeats_are_dropped(spark, tmp_path):
     assert drained(spark, streams.first_paths(s), "paths", tmp_path).count() == 3
 
 
+EVENTS = "product_id string, seq bigint, at timestamp, type string, platform string, price_cents bigint, cost_cents bigint, title string, reference bigint, bundle_id bigint, sold_at timestamp"
+
+
+def event(product, seq, kind, price=None, cost=None, platform="vinted", title=None, reference=None, bundle=None):
+    return product, seq, START + timedelta(minutes=seq), kind, platform, price, cost, title, reference, bundle, None
+
+
 def test_ledger_changes_sum_to_totals(spark, tmp_path):
-    rows = [("p", 1, "cost", None, 500), ("p", 2, "sold", 2000, None), ("p", 3, "cost", None, 900), ("p", 4, "sold", 2500, None), ("q", 1, "undo_sale", None, None), ("r", 1, "sold", 700, None), ("r", 2, "returned", None, None), ("s", 1, "sold", 100, None), ("s", 2, "undo_sale", None, None)]
-    s = source(spark, rows, "product_id string, seq long, type string, price_cents long, cost_cents long", tmp_path / "e")
+    rows = [event("p", 1, "cost", None, 500), event("p", 2, "sold", 2000), event("p", 3, "cost", None, 900), event("p", 4, "sold", 2500), event("q", 1, "undo_sale"), event("r", 1, "sold", 700), event("r", 2, "returned"), event("s", 1, "sold", 100), event("s", 2, "undo_sale"), event("t", 1, "sold", 5, platform="other"), event("t", 2, "published", -1)]
+    s = source(spark, rows, EVENTS, tmp_path / "e")
     out = drained(spark, streams.ledger_changes(s), "changes", tmp_path)
-    assert tuple(streams.live_totals(out).first()) == (2500, 2000, 1)
-    assert [r.reject for r in out.filter("product_id = 'q'").collect()] == ["no_sale"]
+    assert tuple(streams.live_totals(out).first()) == (2500, 2000, 3)
+    assert {(r.product_id, r.reject) for r in out.filter("reject IS NOT NULL").collect()} == {("q", "no_sale"), ("t", "unknown_platform"), ("t", "negative_cents")}
+
+
+def ledger_of_stream(out):
+    """(sales, publications) that the changes of a stream leave, as ledger.sales and ledger.publications give them."""
+    last, listed = {}, {}
+    for r in sorted(out.filter("reject IS NULL").collect(), key=lambda r: r.seq):
+        last[r.product_id] = (r.state, r.price_cents, r.sale_platform, r.bundle_id, r.cost_cents, r.title, r.reference, r.sold_at, r.created_at)
+        if r.type == "published":
+            listed[r.product_id, r.platform] = (r.listed_at, r.listed_price_cents, r.listed_times)
+    return {k: v for k, v in last.items() if v[0]}, listed
+
+
+def batch_ledger(events):
+    fold = ledger.folded(events)
+    sold = {str(r.product_id): (r.state, r.price_cents, r.platform, r.bundle_id, r.cost_snap_cents, r.title_snap, r.reference_snap, r.sold_at, r.created_at) for r in ledger.sales_of(fold).collect()}
+    return sold, {(str(r.product_id), r.platform): (r.listed_at, r.price_cents, r.times) for r in ledger.publications_of(fold).collect()}
+
+
+def test_streamed_ledger_equals_the_batch_ledger(spark, tmp_path):
+    """All events of the given tables, with titles and references, in three batches; then from an initial state."""
+    made = derived.events(spark, "/root/testdata/sf0.001").withColumn("product_id", F.col("product_id").cast("string"))
+    named = made.filter("seq % 7 = 0").withColumn("seq", F.col("seq") + 3)
+    titles = named.select("product_id", "seq", "at", F.lit("title").alias("type"), *(F.lit(None).cast(t).alias(c) for c, t in (("platform", "string"), ("price_cents", "long"), ("cost_cents", "long"))), F.concat(F.lit("t"), F.col("seq").cast("string")).alias("title"), F.lit(None).cast("long").alias("reference"), F.lit(None).cast("long").alias("bundle_id"), F.lit(None).cast("timestamp").alias("sold_at"))
+    numbers = titles.withColumn("type", F.lit("reference")).withColumn("seq", F.col("seq") + 100).withColumn("reference", F.col("seq")).withColumn("title", F.lit(None).cast("string"))
+    every = made.unionByName(titles).unionByName(numbers.filter("seq % 2 = 0"))
+    every = every.withColumn("seq", F.row_number().over(Window.partitionBy("product_id").orderBy("seq", "type")).cast("long")).select(*[c.split()[0] for c in EVENTS.split(", ")])
+    every.write.parquet(str(tmp_path / "all"))
+    every = spark.read.schema(EVENTS).parquet(str(tmp_path / "all"))
+    cuts = [every.filter("seq <= 40"), every.filter("seq > 40 AND seq <= 90"), every.filter("seq > 90")]
+    for n, part in enumerate(cuts):
+        part.coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    want = batch_ledger(every)
+    assert len(want[0]) > 50 and len(want[1]) > 100
+    assert ledger_of_stream(drained(spark, streams.ledger_changes(stream), "whole", tmp_path)) == want
+    later = spark.readStream.schema(EVENTS).parquet(str(tmp_path / "in/2"))
+    begun = streams.ledger_state(ledger.folded(cuts[0].unionByName(cuts[1])))
+    sold, listed = ledger_of_stream(drained(spark, streams.ledger_changes(later, begun), "begun", tmp_path))
+    touched = {str(r.product_id) for r in cuts[2].select("product_id").distinct().collect()}
+    assert sold == {k: v for k, v in want[0].items() if k in touched}
+    again = {(r.product_id, r.platform) for r in cuts[2].filter("type = 'published'").select("product_id", "platform").distinct().collect()}
+    assert listed == {k: v for k, v in want[1].items() if k in again}
+
+
+def test_first_batch_without_a_closed_group_and_dropped_rows(spark, tmp_path):
+    put = streams.late_writer(str(tmp_path / "none"), str(tmp_path / "late"), str(tmp_path / "kept"))
+    put(spark.createDataFrame([("x", 1, START)], "lot_id string, photo_id long, captured_at timestamp"), 0)
+    assert spark.read.parquet(str(tmp_path / "kept")).count() == 1 and spark.read.schema("lot_id string").parquet(str(tmp_path / "late")).count() == 0
+    late = streams.LateRows()
+    spark.streams.addListener(late)
+    schema = "lot_id string, photo_id long, captured_at timestamp"
+    folder = tmp_path / "p"
+    stream = source(spark, [("a", 1, START + timedelta(hours=2))], schema, folder)
+    q = streams.gap_groups(stream).writeStream.outputMode("append").format("memory").queryName("dropped").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    source(spark, [("a", 2, START), ("b", 3, START), ("a", 4, START + timedelta(hours=3))], schema, folder)
+    q.processAllAvailable()
+    q.stop()
+    for _ in range(50):
+        if late.dropped.get("dropped"):
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(late)
+    assert late.dropped == {"dropped": 2}
 
 
 def test_references_and_late_photos(spark, tmp_path):
