@@ -19,11 +19,19 @@ def central(pixels: DataFrame) -> DataFrame:
     return pixels.join(size, "photo_id").filter(inside).drop("_w", "_h")
 
 
+MASK_TILE = 64
+
+
 def unmasked(pixels: DataFrame, masks: DataFrame) -> DataFrame:
-    """pixels outside every mask(photo_id, bx, by, bw, bh) of their photo; a photo that is all masked stays whole."""
-    m = masks.select(F.col("photo_id").alias("_p"), "bx", "by", "bw", "bh")
-    hit = (F.col("photo_id") == F.col("_p")) & F.col("x").between(F.col("bx"), F.col("bx") + F.col("bw")) & F.col("y").between(F.col("by"), F.col("by") + F.col("bh"))
-    kept = pixels.join(m, hit, "left_anti")
+    """pixels outside every mask(photo_id, bx, by, bw, bh) of their photo; a photo that is all masked stays whole.
+
+    Pixels and masks meet in square tiles, so a photo's masks are held only against the pixels near them.
+    """
+    tile = lambda c: F.floor(c / MASK_TILE).cast("int")
+    m = masks.select(F.col("photo_id").alias("_p"), "bx", "by", "bw", "bh", F.explode(F.sequence(tile(F.col("bx")), tile(F.col("bx") + F.col("bw")))).alias("_tx"))
+    m = m.withColumn("_ty", F.explode(F.sequence(tile(F.col("by")), tile(F.col("by") + F.col("bh")))))
+    inside = F.col("x").between(F.col("bx"), F.col("bx") + F.col("bw")) & F.col("y").between(F.col("by"), F.col("by") + F.col("bh"))
+    kept = pixels.join(m, (F.col("photo_id") == F.col("_p")) & (tile(F.col("x")) == F.col("_tx")) & (tile(F.col("y")) == F.col("_ty")) & inside, "left_anti")
     whole = pixels.join(kept.select("photo_id").distinct(), "photo_id", "left_anti")
     return kept.unionByName(whole)
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from listingops.functions import text as T
 from listingops.functions.numbers import ean_valid
 from listingops.sources import dims
+from listingops.sources.stored import stored
 
 
 def field_locations(spark) -> DataFrame:
@@ -146,35 +147,95 @@ def pooled_readings(readings: DataFrame, planned: DataFrame) -> DataFrame:
     return readings.select(*rows.columns).unionByName(rows)
 
 
+TILE_W, TILE_H = -dims.NEAR_OVERLAP_X, dims.NEAR_GAP_Y  # two boxes that touch one tile are near, two tiles apart never
+
+
+def _tiled(regions: DataFrame, wider: int = 0, higher: int = 0) -> DataFrame:
+    """regions with tx, ty of each tile that the box touches, made wider and higher on either side by so much."""
+    tiles = lambda low, high, size: F.sequence(F.floor(low / size).cast("int"), F.floor(high / size).cast("int"))
+    rows = regions.withColumn("tx", F.explode(tiles(F.col("x") - wider, F.col("x") + F.col("w") + wider, TILE_W)))
+    return rows.withColumn("ty", F.explode(tiles(F.col("y") - higher, F.col("y") + F.col("h") + higher, TILE_H)))
+
+
 def near_regions(regions: DataFrame) -> DataFrame:
-    """product_id, photo, a, b (region_seq, a < b) of boxes of one photo with a small vertical gap and enough overlap."""
-    x, y = regions.alias("x"), regions.alias("y")
+    """product_id, photo, a, b (region_seq, a < b) of boxes of one photo with a small vertical gap and enough overlap.
+
+    Boxes, wider and higher by half of what may lie between near ones, meet in the tiles that both touch, and are
+    compared in the one that holds the corner of their common part. A photo may hold any number of boxes.
+    """
+    rows = _tiled(regions, TILE_W // 2, TILE_H // 2)
+    x, y = rows.alias("x"), rows.alias("y")
     gap = F.greatest(F.col("x.y"), F.col("y.y")) - F.least(F.col("x.y") + F.col("x.h"), F.col("y.y") + F.col("y.h"))
     over = F.least(F.col("x.x") + F.col("x.w"), F.col("y.x") + F.col("y.w")) - F.greatest(F.col("x.x"), F.col("y.x"))
-    same = (F.col("x.product_id") == F.col("y.product_id")) & (F.col("x.photo") == F.col("y.photo")) & (F.col("x.region_seq") < F.col("y.region_seq"))
+    meet = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("product_id", "photo", "tx", "ty")]
+    here = (F.floor((F.greatest("x.x", "y.x") - TILE_W // 2) / TILE_W) == F.col("x.tx")) & (F.floor((F.greatest("x.y", "y.y") - TILE_H // 2) / TILE_H) == F.col("x.ty"))
+    same = meet[0] & meet[1] & meet[2] & meet[3] & here & (F.col("x.region_seq") < F.col("y.region_seq"))
     return x.join(y, same & (gap <= dims.NEAR_GAP_Y) & (over > dims.NEAR_OVERLAP_X)).select("x.product_id", "x.photo", F.col("x.region_seq").alias("a"), F.col("y.region_seq").alias("b"))
 
 
-def region_clusters(regions: DataFrame) -> DataFrame:
-    """regions with cluster: the least region_seq that nearness reaches within its photo.
+def cluster_links(regions: DataFrame) -> DataFrame:
+    """product_id, photo, a, b: near boxes of one photo whose links connect all that nearness connects.
 
-    Each round every box takes the least label of its neighbours, and that label's own; a label moves on by one box a
-    round at least, so as many rounds as a photo has boxes settle any chain. Photos hold dozens.
+    All boxes that touch a tile are near each other and are linked to the least of them. Of two tiles side by side only
+    the boxes that reach out most towards each other are compared; of two that meet at a corner, those that end inside,
+    one for each row of pixels. So links grow with the boxes, not with the pairs.
     """
-    links = near_regions(regions)
-    both = links.union(links.select("product_id", "photo", F.col("b").alias("a"), F.col("a").alias("b")))
-    keys = ["product_id", "photo"]
-    lists = both.groupBy(*keys, F.col("a").alias("region_seq")).agg(F.collect_set("b").alias("near"))
-    grouped = regions.join(lists, [*keys, "region_seq"], "left")
-    table = grouped.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("region_seq", F.coalesce("near", F.expr("CAST(array() AS array<int>)"))))).alias("g"))  # one photo's boxes
-    labels = F.map_from_entries(F.transform(F.map_keys("g"), lambda k: F.struct(k, k.alias("v"))))
+    keys = ["product_id", "photo", "tx", "ty"]
+    rows = _tiled(regions).withColumn("right", F.col("x") + F.col("w")).withColumn("bottom", F.col("y") + F.col("h"))
+    hub = lambda *order: F.struct(*order, F.col("region_seq"))
+    tiles = rows.groupBy(*keys).agg(
+        F.min("region_seq").alias("hub"), F.max(hub("right"))["region_seq"].alias("rightmost"), F.max("right").alias("right"), F.min(hub("x"))["region_seq"].alias("leftmost"), F.min("x").alias("left"),
+        F.max(hub("bottom"))["region_seq"].alias("lowest"), F.max("bottom").alias("bottom"), F.min(hub("y"))["region_seq"].alias("highest"), F.min("y").alias("top"),
+    )
+    stars = rows.join(tiles.select(*keys, "hub"), keys).filter("region_seq <> hub").select("product_id", "photo", F.col("hub").alias("a"), F.col("region_seq").alias("b"))
+
+    def shifted(df: DataFrame, dx: int, dy: int) -> DataFrame:  # so that a tile meets the one dx, dy further
+        return df.withColumn("tx", F.col("tx") - dx).withColumn("ty", F.col("ty") - dy)
 
-    def step(acc: Column, _: Column) -> Column:
-        least = F.transform_values("g", lambda k, near: F.array_min(F.concat(F.array(acc[k]), F.transform(near, lambda b: acc[b]))))
-        return F.transform_values(least, lambda k, v: F.least(v, least[v]))
+    beside = tiles.join(shifted(tiles.select(*keys, F.col("leftmost").alias("b"), F.col("left").alias("from")), 1, 0), keys).filter(F.col("from") - F.col("right") < TILE_W).select("product_id", "photo", F.col("rightmost").alias("a"), "b")
+    under = tiles.join(shifted(tiles.select(*keys, F.col("highest").alias("b"), F.col("top").alias("from")), 0, 1), keys).filter(F.col("from") - F.col("bottom") <= TILE_H).select("product_id", "photo", F.col("lowest").alias("a"), "b")
+    ends = F.floor(F.col("right") / TILE_W) == F.col("tx")
+    starts = F.floor(F.col("x") / TILE_W) == F.col("tx")
 
-    settled = table.select(*keys, F.aggregate(F.sequence(F.lit(1), F.size("g")), labels, step).alias("label"))
-    return regions.join(settled, keys).withColumn("cluster", F.col("label")[F.col("region_seq")]).drop("label")
+    def edge(inside: Column, row: str, best: Column) -> DataFrame:  # of the boxes that end in a tile, the best of each pixel row
+        return rows.filter(inside).groupBy(*keys, F.col(row).alias("row")).agg(best.alias("e"))
+
+    low_a = edge(ends & (F.floor(F.col("bottom") / TILE_H) == F.col("ty")), "bottom", F.max(hub("right")))
+    high_b = edge(starts & (F.floor(F.col("y") / TILE_H) == F.col("ty")), "y", F.min(hub("x")))
+    high_a = edge(ends & (F.floor(F.col("y") / TILE_H) == F.col("ty")), "y", F.max(hub("right")))
+    low_b = edge(starts & (F.floor(F.col("bottom") / TILE_H) == F.col("ty")), "bottom", F.min(hub("x")))
+
+    def corner(a: DataFrame, b: DataFrame, dy: int) -> DataFrame:
+        other = shifted(b.select(*keys, F.col("row").alias("_row"), F.col("e").alias("_e")), 1, dy)
+        gap = (F.col("_row") - F.col("row")) * dy
+        return a.join(other, keys).filter((F.col("_e.x") - F.col("e.right") < TILE_W) & (gap <= TILE_H)).select("product_id", "photo", F.col("e.region_seq").alias("a"), F.col("_e.region_seq").alias("b"))
+
+    return stars.union(beside).union(under).union(corner(low_a, high_b, 1)).union(corner(high_a, low_b, -1)).filter("a <> b").distinct()
+
+
+def region_clusters(regions: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """regions with cluster: the least region_seq that nearness reaches within its photo.
+
+    Boxes of several photos are labelled at once: each round every box takes the least label of its neighbours, and then
+    that label's own, until no label changes. Each round is a stored table. Raises after most_rounds, far more than
+    halving leaves of any chain.
+    """
+    keys = ["product_id", "photo"]
+    links = cluster_links(regions)
+    links = stored(links.union(links.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))), "region-links")
+    labels = links.select(*keys, F.col("a").alias("region_seq")).distinct().withColumn("cluster", F.col("region_seq")).withColumn("moved", F.lit(True))
+    for _ in range(most_rounds):
+        own = labels.select(*keys, F.col("region_seq").alias("a"), F.col("cluster").alias("_c"))
+        near = links.join(own, [*keys, "a"]).groupBy(*keys, F.col("b").alias("region_seq")).agg(F.min("_c").alias("_near"))
+        taken = labels.join(near, [*keys, "region_seq"]).select(*keys, "region_seq", "cluster", F.least("cluster", "_near").alias("_c"))
+        over = taken.select(*keys, F.col("region_seq").alias("_c"), F.col("_c").alias("_further"))
+        step = taken.join(over, [*keys, "_c"], "left").withColumn("_new", F.least("_c", F.coalesce("_further", "_c")))
+        labels = stored(step.select(*keys, "region_seq", F.col("_new").alias("cluster"), (F.col("_new") < F.col("cluster")).alias("moved")), "region-labels")
+        if labels.filter("moved").isEmpty():
+            break
+    else:
+        raise RuntimeError(f"region clusters did not settle in {most_rounds} rounds")
+    return regions.join(labels.drop("moved"), [*keys, "region_seq"], "left").withColumn("cluster", F.coalesce("cluster", "region_seq"))
 
 
 def merged_regions(clustered: DataFrame) -> DataFrame:
