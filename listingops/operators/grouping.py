@@ -117,10 +117,14 @@ def open_seams_of(assignment: DataFrame) -> DataFrame:
     return near.filter(F.col("right_id").isNotNull() & ~same).select("lot_id", F.col("photo_id").alias("left_id"), "right_id")
 
 
-def edited_seams(open_seams: DataFrame, closed: DataFrame, opened: DataFrame) -> DataFrame:
-    """The open seams after a batch of merges (closed) and splits (opened), each (lot_id, left_id, right_id)."""
+def edited_seams(open_seams: DataFrame, commands: DataFrame) -> DataFrame:
+    """The open seams after a log of commands(lot_id, left_id, right_id, seq, action): open splits a pair, close merges it.
+
+    The last command on a pair wins, by seq; of two with one seq, open. A pair without a command stays as it is.
+    """
     keys = ["lot_id", "left_id", "right_id"]
-    return open_seams.select(*keys).join(closed.select(*keys), keys, "left_anti").union(opened.select(*keys)).distinct()
+    log = open_seams.select(*keys, F.lit(None).cast("long").alias("seq"), F.lit(True).alias("open")).union(commands.select(*keys, F.col("seq").cast("long"), F.col("action") == "open"))
+    return log.groupBy(*keys).agg(F.max(F.struct("seq", "open")).alias("x")).filter("x.open").select(*keys)
 
 
 def manually_merged(assignment: DataFrame, proposed_open: DataFrame) -> DataFrame:

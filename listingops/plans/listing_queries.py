@@ -391,8 +391,8 @@ def work_queues(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as OCR regions of one photo for every three turns."""
     c = derived.table(spark, sf_dir, "conversations")
-    t = F.when(F.col("turn") % 5 == 4, F.concat(F.lit("Model: AB"), (F.col("conv_id") % 50).cast("string"))).otherwise(F.col("text"))
-    return c.dropDuplicates(["conv_id", "turn"]).select(F.col("conv_id").alias("product_id"), F.concat(F.lit("f"), F.floor(F.col("turn") / 3).cast("string")).alias("photo"), F.floor(F.col("turn") / 3).cast("int").alias("photo_seq"), F.col("turn").cast("int").alias("region_seq"), (F.col("turn") * 30 % 700).cast("int").alias("x"), (F.col("turn") * 130 % 900).cast("int").alias("y"), F.lit(200).alias("w"), F.lit(40).alias("h"), t.alias("text"), F.lit(0.9).alias("score"))
+    t = F.when(F.col("turn") % 5 == 4, F.concat(F.lit("Model: AB"), (F.col("conv_id") % 50).cast("string"), F.lit(" "), F.col("text"))).otherwise(F.col("text"))
+    return c.select(F.col("conv_id").alias("product_id"), F.concat(F.lit("f"), F.floor(F.col("turn") / 3).cast("string")).alias("photo"), F.floor(F.col("turn") / 3).cast("int").alias("photo_seq"), F.col("turn").cast("int").alias("region_seq"), (F.col("turn") * 30 % 700).cast("int").alias("x"), (F.col("turn") * 130 % 900).cast("int").alias("y"), F.lit(200).alias("w"), F.lit(40).alias("h"), t.alias("text"), F.lit(0.9).alias("score"))
 
 
 @query()

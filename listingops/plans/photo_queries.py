@@ -87,7 +87,9 @@ def seam_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _assignment(spark, sf_dir)
     seams = grouping.open_seams_of(own)
     pairs = grouping.open_seams_of(own.withColumn("product_id", F.lit(None)))
-    edited = grouping.edited_seams(seams, seams.filter(F.col("left_id") % 4 == 0), pairs.filter(F.col("left_id") % 10 == 0))
+    log = seams.filter(F.col("left_id") % 4 == 0).select("lot_id", "left_id", "right_id", F.lit(1).alias("seq"), F.lit("close").alias("action"))
+    log = log.union(pairs.filter(F.col("left_id") % 10 == 0).select("lot_id", "left_id", "right_id", F.lit(2), F.lit("open")))
+    edited = grouping.edited_seams(seams, log)
     parts = grouping.partition_by_seams(own, edited)
     return parts.groupBy("lot_id", "part").agg(F.count(F.lit(1)).alias("photos"), F.min("photo_id").alias("first_photo"))
 
