@@ -135,9 +135,8 @@ def other_brands(x: Column, brand: Column, brands: tuple[str, ...] = dims.BRANDS
     return F.array_remove(F.get(each, F.lit(0)), F.lower(F.trim(F.coalesce(brand, F.lit("")))))
 
 
-def violations(x: Column, least: Column, most: Column, brand: Column) -> Column:
-    """The codes that a text breaks, in a fixed order."""
-    n = F.length(x)
+def content_codes(x: Column, brand: Column) -> Column:
+    """The codes that a text breaks whatever its platform, in a fixed order."""
     rules = (
         ("CONTAINS_EMAIL", x.contains("@") & x.rlike(EMAIL)),  # the plain test spares most texts the pattern
         ("CONTAINS_LINK", (x.contains("://") | F.lower(x).contains("www.")) & x.rlike(LINK)),
@@ -145,13 +144,22 @@ def violations(x: Column, least: Column, most: Column, brand: Column) -> Column:
         ("EXCESSIVE_UPPERCASE", excess_upper(x)),
         ("LONG_WORDS", long_word(x).isNotNull()),
         ("MENTIONS_OTHER_BRAND", F.size(other_brands(x, brand)) > 0),
-        ("TOO_LONG", n > most),
-        ("TOO_SHORT", n < least),
         ("UNALLOWED_SYMBOLS", x.rlike(DISALLOWED)),
     )
     return F.array_compact(F.array(*(F.when(rule, F.lit(code)) for code, rule in rules)))
 
 
+def with_length_codes(codes: Column, x: Column, least: Column, most: Column) -> Column:
+    """codes with those of a text's length, in the alphabet's order."""
+    n = F.length(x)
+    return F.array_sort(F.concat(codes, F.array_compact(F.array(F.when(n > most, F.lit("TOO_LONG")), F.when(n < least, F.lit("TOO_SHORT"))))))
+
+
+def violations(x: Column, least: Column, most: Column, brand: Column) -> Column:
+    """The codes that a text breaks, in a fixed order."""
+    return with_length_codes(content_codes(x, brand), x, least, most)
+
+
 def has_token(text: Column, value: Column) -> Column:
     """Whether value stands in text as whole tokens; case and runs of white space ignored."""
     squeeze = lambda c: F.lower(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")))

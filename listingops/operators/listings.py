@@ -174,12 +174,13 @@ def build_payload(confirmed: DataFrame, photos: DataFrame, candidates: DataFrame
     """
     spark = confirmed.sparkSession
     places = F.broadcast(spark.createDataFrame([(p,) for p in dims.PLATFORMS], "platform string"))
-    rows = confirmed.crossJoin(places)  # two rows each
-    rows = rows.withColumn("title", F.coalesce("titulo", F.lit(""))).withColumn("description", T.stamped(F.coalesce("descripcion", F.lit("")), F.col("reference")))
+    rows = confirmed.withColumn("title", F.coalesce("titulo", F.lit(""))).withColumn("description", T.stamped(F.coalesce("descripcion", F.lit("")), F.col("reference")))
+    rows = rows.withColumns({f"_{c}_codes": T.content_codes(F.col(c), F.col("marca")) for c in ("title", "description")})  # once for all platforms
+    rows = rows.crossJoin(places)  # two rows each
     limits = F.broadcast(dims.limits(spark).groupBy("platform").pivot("field", ["title", "description"]).agg(F.first("least").alias("least"), F.first("most").alias("most")))
     rows = rows.join(limits, "platform")
-    code = lambda field, text: F.transform(T.violations(F.col(text), F.col(f"{field}_least"), F.col(f"{field}_most"), F.col("marca")), lambda c: F.concat(F.lit(f"{field}:"), c))
-    blocks = F.concat(F.when(F.coalesce("confirmed", F.lit(False)), F.expr(NONE)).otherwise(F.array(F.lit("not_confirmed"))), code("title", "title"), code("description", "description"), F.when(F.coalesce(F.col("categoria").isin(*dims.CATEGORIES), F.lit(False)), F.expr(NONE)).otherwise(F.array(F.lit("unknown_category"))))
+    code = lambda field: F.transform(T.with_length_codes(F.col(f"_{field}_codes"), F.col(field), F.col(f"{field}_least"), F.col(f"{field}_most")), lambda c: F.concat(F.lit(f"{field}:"), c))
+    blocks = F.concat(F.when(F.coalesce("confirmed", F.lit(False)), F.expr(NONE)).otherwise(F.array(F.lit("not_confirmed"))), code("title"), code("description"), F.when(F.coalesce(F.col("categoria").isin(*dims.CATEGORIES), F.lit(False)), F.expr(NONE)).otherwise(F.array(F.lit("unknown_category"))))
     rows = rows.withColumn("reasons", blocks)
     blocked = rows.filter(F.size("reasons") > 0).select("product_id", "platform", "reasons")
     rows = rows.filter(F.size("reasons") == 0)

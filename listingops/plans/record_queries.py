@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from listingops.functions import text as T
 from listingops.operators import evals, grouping, ledger, listings, readings, usage
-from listingops.plans.listing_queries import FIELDS, READINGS, _fields, _regions
+from listingops.plans.listing_queries import _CHOICE, _COND, FIELDS, READINGS, _fields, _heavy, _light, _payloads, _regions
 from listingops.plans.photo_queries import ASSIGNED, GAP_S, GROUPED, PHOTOS, PROPOSAL, _assignment, _proposal
 from listingops.plans.registry import SQL, query
-from listingops.plans.sales_queries import LEDGER, LOTS, _lots, _products, _state, ean_checks
-from listingops.sources import derived, ingest
+from listingops.plans.sales_queries import LEDGER, LOTS, VARIANTS, _lots, _products, _state, ean_checks
+from listingops.sources import derived, dims, ingest
 
 # -- proposals -------------------------------------------------------------------------------------------------------
 
@@ -253,6 +253,55 @@ def redacted_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("product_id", "titulo", "descripcion")
 
 
+# -- payloads --------------------------------------------------------------------------------------------------------
+
+_LIMIT = "CASE WHEN platform = 'vinted' THEN 20 ELSE 10 END"
+_UNCOVERED = " ".join(f"WHEN '{p}' THEN [{', '.join(repr('required:' + f) for q, f, need, _, _ in dims.FIELDS if q == p and need and f not in dims.COVERED[p])}]" for p in dims.PLATFORMS)
+PAYLOADS = FIELDS + f""", {_WIDE_FIELDS}, un AS (SELECT product_id, list_sort(list(DISTINCT field) FILTER (source = 'inferido')) AS unreviewed FROM fields GROUP BY product_id),
+cond AS (SELECT *, min(level) OVER (PARTITION BY platform, category, literal) AS communicated FROM (VALUES {_COND}) t(level, code, platform, category, literal)),
+b AS (SELECT w.*, p.platform, unreviewed, literal, CASE WHEN cond.level - communicated >= 2 THEN 'overstated' WHEN cond.level = 6 AND communicated < 6 THEN 'broken_as_working' END AS fidelity,
+    coalesce(titulo, '') AS title, descripcion || CASE WHEN w.product_id % 2 = 0 THEN chr(10) || chr(10) || 'Ref. ' || w.product_id ELSE '' END AS description, lower(coalesce(titulo, '') || ' ' || descripcion) AS t, range(1, w.product_id % 25 + 2) AS ph
+  FROM w JOIN un USING (product_id) CROSS JOIN (VALUES ('vinted'), ('wallapop')) p(platform) LEFT JOIN (VALUES {_CHOICE}) ch(choice, level) ON ch.choice = w.estado LEFT JOIN cond ON cond.platform = p.platform AND cond.category = w.categoria AND cond.level = ch.level),
+gated AS (SELECT *, list_filter([CASE WHEN product_id % 8 = 0 THEN 'not_confirmed' END, CASE WHEN title = '' THEN 'title:TOO_SHORT' END], lambda x: x IS NOT NULL) AS reasons,
+    list_filter(ph, lambda i: (product_id * 100 + i) % 97 <> 0) AS known, CASE WHEN {_heavy} THEN 'pesado' WHEN {_light} THEN 'ligero' ELSE 'normal' END AS shipping FROM b)
+"""
+
+
+@query(PAYLOADS + f"""
+SELECT product_id, platform, title, description, concat_ws(';',
+  concat_ws('|', 'marca', CASE WHEN platform = 'vinted' THEN 'brand' ELSE 'marca' END, CASE WHEN platform = 'vinted' THEN coalesce(marca, 'Sin marca') ELSE coalesce(marca, '') END, CAST(platform = 'vinted' OR marca IS NOT NULL AS VARCHAR), CASE WHEN platform = 'vinted' AND marca IS NULL THEN 'no brand read or confirmed' ELSE '' END),
+  concat_ws('|', 'talla', CASE WHEN platform = 'vinted' THEN 'size_id' ELSE 'size' END, coalesce(talla, ''), 'false', CASE WHEN platform = 'vinted' THEN 'pick the size by hand' ELSE 'compose the size by hand' END),
+  concat_ws('|', 'estado', CASE WHEN platform = 'vinted' THEN 'status_id' ELSE 'estado' END, coalesce(literal, ''), CAST(literal IS NOT NULL AND fidelity IS NULL AS VARCHAR), coalesce(fidelity, '')),
+  concat_ws('|', 'envio', CASE WHEN platform = 'vinted' THEN 'package_size' ELSE 'tramo_peso_kg' END, CASE WHEN platform = 'vinted' THEN CASE shipping WHEN 'ligero' THEN 'Pequeño' WHEN 'normal' THEN 'Mediano' ELSE 'Grande' END ELSE CASE shipping WHEN 'ligero' THEN '2 kg' WHEN 'normal' THEN '5 kg' ELSE '10 kg' END END, 'false', 'suggested, rather too large'),
+  CASE WHEN color IS NOT NULL THEN 'color|color|' || color || '|false|pick from the platform''s list' END, CASE WHEN desperfectos IS NOT NULL THEN 'desperfectos|desperfectos|' || desperfectos || '|false|must stand in the description' END) AS fields,
+  array_to_string(list_concat(list_filter([CASE WHEN product_id % 9 = 0 THEN 'coherence' END, CASE WHEN len(unreviewed) > 0 THEN 'unreviewed:' || len(unreviewed) || ':' || array_to_string(unreviewed, ',') END, CASE WHEN platform = 'wallapop' AND marca IS NULL THEN 'no_brand' END, CASE WHEN talla IS NULL THEN 'no_size' END, CASE WHEN literal IS NULL THEN 'no_condition' END,
+    'condition:' || fidelity, CASE WHEN desperfectos IS NOT NULL THEN 'check_defect' END], lambda x: x IS NOT NULL), CASE platform {_UNCOVERED} END, list_filter([CASE WHEN len(list_filter(known, lambda i: i <= {_LIMIT})) = 0 THEN 'no_photos' END, CASE WHEN len(list_filter(known, lambda i: i > {_LIMIT})) > 0 THEN 'over_photo_limit:' || len(list_filter(known, lambda i: i > {_LIMIT})) END,
+    CASE WHEN len(known) < len(ph) THEN 'unknown_photos' END, 'no_category_tree'], lambda x: x IS NOT NULL)), ',') AS warnings,
+  array_to_string(list_transform(list_filter(known, lambda i: i <= {_LIMIT}), lambda i: '/p/' || (product_id * 100 + i)), ',') AS included, array_to_string(list_transform(list_filter(known, lambda i: i > {_LIMIT}), lambda i: '/p/' || (product_id * 100 + i)), ',') AS excluded FROM gated WHERE len(reasons) = 0
+""")
+def whole_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every payload in full: texts, fields, warnings and photos."""
+    done, _ = _payloads(spark, sf_dir)
+    line = lambda f: F.concat_ws("|", f["name"], f["label"], F.coalesce(f["value"], F.lit("")), f["translated"].cast("string"), F.coalesce(f["note"], F.lit("")))
+    return done.select("product_id", "platform", "title", "description", F.array_join(F.transform("fields", line), ";").alias("fields"), *(F.array_join(c, ",").alias(c) for c in ("warnings", "included", "excluded")))
+
+
+SQL["blocked_payloads"] = PAYLOADS + "SELECT product_id, platform, array_to_string(reasons, ',') AS reasons FROM gated WHERE len(reasons) > 0"
+_BLOCKS = ", ".join(f"('{p}', '{b}', {n})" for p, names in dims.BLOCK_ORDER.items() for n, b in enumerate(names))
+SQL["payload_blocks"] = PAYLOADS + f"""
+, nm AS (SELECT product_id, platform, unnest(['resumen', 'fotos', 'categoria', 'titulo_desc', 'precio', 'marca', 'talla', 'estado', CASE WHEN platform = 'vinted' THEN 'package_size' ELSE 'tramo_peso_kg' END, CASE WHEN color IS NOT NULL THEN 'color' END, CASE WHEN desperfectos IS NOT NULL THEN 'desperfectos' END]) AS block FROM gated WHERE len(reasons) = 0)
+SELECT product_id, platform, pos, block FROM nm JOIN (VALUES {_BLOCKS}) o(platform, block, pos) USING (platform, block)
+"""
+SQL["suggested_terms"] = "WITH attr AS (SELECT p_partkey AS product_id, p_brand AS marca, p_name AS modelo, p_type AS tipo, CAST(p_size AS VARCHAR) AS talla FROM part)" + VARIANTS + "SELECT product_id, pos, terms FROM vars"
+SQL["gap_filled_fields"] = READINGS + """
+, ct AS (SELECT product_id, lower(trim(text)) AS k, arg_min(location, seq) AS loc, arg_min(photo, seq) AS ph FROM rd WHERE legible AND trim(text) <> '' GROUP BY ALL),
+sd AS (SELECT product_id, f.field, arg_min(text, seq) AS said FROM rd, (VALUES ('marca'), ('modelo')) f(field) GROUP BY ALL),
+j AS (SELECT res.*, trim(said) AS said, value IS NULL AND trim(said) <> '' AS fill, CASE WHEN res.field = 'marca' THEN loc = 'etiqueta_interior' ELSE loc IN ('etiqueta_interior', 'codigo_o_modelo_impreso') END AS seen, ph FROM res LEFT JOIN sd USING (product_id, field) LEFT JOIN ct ON ct.product_id = res.product_id AND ct.k = lower(trim(said)))
+SELECT product_id, field, CASE WHEN fill THEN said ELSE value END AS value, CASE WHEN NOT coalesce(fill, false) THEN source WHEN seen THEN 'foto' ELSE 'inferido' END AS source, CASE WHEN NOT coalesce(fill, false) THEN confidence WHEN seen THEN 'media' ELSE 'baja' END AS confidence,
+  CASE WHEN NOT coalesce(fill, false) THEN photo WHEN seen THEN ph END AS photo, CASE WHEN NOT coalesce(fill, false) THEN reason WHEN seen THEN 'synthesis_seen' ELSE 'synthesis_inferred' END AS reason FROM j
+"""
+
+
 # -- regions ---------------------------------------------------------------------------------------------------------
 
 REGIONS = """
