@@ -6,6 +6,8 @@ tokens, never against every leaf of every listing.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -119,6 +121,14 @@ def rank_categories(listings: DataFrame, leaves: DataFrame, k: int = 3) -> DataF
 
 def _ranked(asked: DataFrame, leaves: DataFrame, k: int) -> DataFrame:
     """rank_categories() of asked(product_id, category, gender, child, tokens), one row for each product_id."""
+    hopeful, scored = likely_leaves(asked, leaves, k)
+    w = W.partitionBy("product_id", "platform").orderBy(F.col("score").desc(), "depth", "name", "leaf_id")
+    final = scored(hopeful).filter("score > 0").withColumn("rank", F.row_number().over(w))
+    return final.filter(F.col("rank") <= k).select("product_id", "platform", "rank", "leaf_id", "name", "score")
+
+
+def likely_leaves(asked: DataFrame, leaves: DataFrame, k: int) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(product_id, platform, leaf_id, gender, child of all leaves that may be among the k best, what scores such rows)."""
     words = asked.select("product_id", F.explode("tokens").alias("token")).groupBy("product_id", "token").agg(F.count(F.lit(1)).alias("n"))
     index = stored(postings(words.select("token").distinct(), leaves), "postings")
     genders = F.transform(T.tokens(F.concat_ws(" ", F.array_join("path", " "), "name")), T.stem)
@@ -158,6 +168,4 @@ def _ranked(asked: DataFrame, leaves: DataFrame, k: int) -> DataFrame:
     found = able.join(scoped, by_token).groupBy(*query, "leaf_id", "gender", "child", "reached").agg(F.sum(F.col("n") * F.col("w")).alias("part"))
     hopeful = found.join(after, query, "left").join(about.select("platform", "leaf_id", "man", "woman", "child_root"), ["platform", "leaf_id"])
     hopeful = hopeful.filter((F.col("part") + F.coalesce("rest", F.lit(0.0))) * factor + room >= F.col("reached"))
-    final = scored(hopeful.select(*leaf, "gender", "child")).filter("score > 0")
-    w = W.partitionBy("product_id", "platform").orderBy(F.col("score").desc(), "depth", "name", "leaf_id")
-    return final.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("product_id", "platform", "rank", "leaf_id", "name", "score")
+    return hopeful.select(*leaf, "gender", "child"), scored
