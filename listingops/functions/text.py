@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import functools
 import re
 import unicodedata
 from functools import reduce
@@ -24,15 +25,32 @@ def blank_to_null(x: Column) -> Column:
     return F.nullif(F.trim(x), F.lit(""))
 
 
+def decomposed(text: str) -> str:
+    """Text without any combining mark (NFKD)."""
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+
+
+@functools.cache
+def accent_table() -> tuple[str, str]:
+    """(characters, what each becomes) of all that lose their marks as one character; those beyond the second vanish."""
+    becomes = {c: decomposed(c) for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x30000), *range(0xE0100, 0xE01F0)))}
+    single = {c: d for c, d in becomes.items() if len(d) == 1 and d != c}
+    return "".join([*single, *(c for c, d in becomes.items() if not d)]), "".join(single.values())
+
+
 def plain(x: Column) -> Column:
-    """Text without the accents of Latin letters, by a table, so that SQL can say the same."""
-    return F.translate(x, dims.LATIN_FROM, dims.LATIN_TO)
+    """Text without accents and other combining marks, of any script, in the JVM.
+
+    Equal to decomposed() but for characters that become several, such as ligatures, fractions and Hangul syllables,
+    which stay; fold_accents takes those apart too.
+    """
+    return F.translate(x, *accent_table())
 
 
 @F.pandas_udf(StringType())
 def fold_accents(x: pd.Series) -> pd.Series:
-    """Text without any combining mark (NFKD), for scripts that the Latin table leaves out."""
-    return x.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
+    """decomposed() of every text, in Python."""
+    return x.map(lambda t: None if t is None else decomposed(t))
 
 
 @F.pandas_udf(DoubleType())
@@ -264,9 +282,8 @@ def compared(x: Column) -> Column:
 
 def stems_of(words_: tuple[str, ...]) -> tuple[str, ...]:
     """The stems of a word list, by the rules that stem() and raw_tokens() follow."""
-    table = str.maketrans(dims.LATIN_FROM, dims.LATIN_TO)
     cut = lambda t: t[:-2] if len(t) > 4 and t.endswith("es") else t[:-1] if len(t) > 3 and t.endswith("s") else t
-    return tuple(sorted({cut(w.lower().translate(table)) for w in words_}))
+    return tuple(sorted({cut(decomposed(w.lower())) for w in words_}))
 
 
 def names_child(x: Column) -> Column:

@@ -167,7 +167,18 @@ def test_payloads_are_written_by_platform(spark, tmp_path):
     assert {p.name for p in (tmp_path / "out").iterdir() if p.is_dir()} == {"platform=vinted", "platform=wallapop"}
 
 
-def test_accents_of_other_scripts(spark):
-    rows = [("Ἀθῆναι ﬁn ½ Ｎike",), (None,), ("déjà",)]
-    got = [x[0] for x in spark.createDataFrame(rows, "t string").select(T.fold_accents(F.col("t"))).collect()]
-    assert got == ["Αθηναι fin 1⁄2 Nike", None, "deja"]
+def test_accents_of_every_character(spark):
+    rows = [(c, chr(c)) for c in (*range(0x20, 0xD800), *range(0xE000, 0x30000), *range(0xE0100, 0xE01F0))]
+    several = 0
+    for x in spark.createDataFrame(rows, "c int, t string").select("c", "t", T.plain(F.col("t")).alias("p")).toPandas().itertuples():
+        want = T.decomposed(x.t)
+        several += len(want) > 1
+        assert x.p == (x.t if len(want) > 1 else want), hex(x.c)
+    assert several > 11_172  # Hangul syllables and what else becomes several characters
+
+
+def test_accents_in_texts(spark):
+    rows = [("Ἀθῆναι ﬁn ½ Ｎike de\u0301ja\u0300 Đã",), (None,), ("déjà",)]
+    frame = spark.createDataFrame(rows, "t string")
+    assert [x[0] for x in frame.select(T.fold_accents(F.col("t"))).collect()] == ["Αθηναι fin 1⁄2 Nike deja Đa", None, "deja"]
+    assert [x[0] for x in frame.select(T.plain(F.col("t"))).collect()] == ["Αθηναι ﬁn ½ Nike deja Đa", None, "deja"]
