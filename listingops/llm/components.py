@@ -32,7 +32,7 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
     """node, root: the least node of its component, for every node of links(a, b) but the roots themselves.
 
     Null ends and loops are no links. Each round's edges are a written table; rounds end when every node stands under
-    its root.
+    its root. Rounds grow with the logarithm of the longest chain; after most_rounds a RuntimeError is raised.
     """
     edges = links.filter(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = written(edges, "edges")
