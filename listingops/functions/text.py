@@ -76,11 +76,11 @@ def tokens(x: Column) -> Column:
 
 
 def digits_only(x: Column) -> Column:
-    return F.regexp_replace(x, r"\D", "")
+    return F.regexp_replace(x, r"\D+", "")
 
 
 def is_ruler_text(x: Column) -> Column:
-    digits = F.length(F.regexp_replace(x, r"[^\p{Nd}]", ""))
+    digits = F.length(F.regexp_replace(x, r"[^\p{Nd}]+", ""))
     return (digits >= dims.RULER_DIGITS) & (digits > dims.RULER_SHARE * F.length(x))
 
 
@@ -93,7 +93,7 @@ def is_long_block(x: Column) -> Column:
 
 
 def is_witness(x: Column) -> Column:
-    return F.coalesce(F.length(F.regexp_replace(x, r"[^\p{L}\p{N}]", "")) >= dims.WITNESS_CHARS, F.lit(False))
+    return F.coalesce(F.length(F.regexp_replace(x, r"[^\p{L}\p{N}]+", "")) >= dims.WITNESS_CHARS, F.lit(False))
 
 
 DISALLOWED = rf"([^\p{{L}}\p{{Nd}}\s{ALLOWED}])"
@@ -105,12 +105,12 @@ def disallowed(x: Column) -> Column:
 
 
 def excess_symbols(x: Column) -> Column:
-    odd = F.length(F.regexp_replace(x, r"[\p{L}\p{Nd}\s]", ""))
+    odd = F.length(F.regexp_replace(x, r"[\p{L}\p{Nd}\s]+", ""))
     return x.rlike(r"([^\p{L}\p{N}_\s])\1{3,}") | ((F.length(x) >= 20) & (odd > 0.15 * F.length(x)))
 
 
 def excess_upper(x: Column) -> Column:
-    letters, upper = F.length(F.regexp_replace(x, r"[^\p{L}]", "")), F.length(F.regexp_replace(x, r"[^\p{Lu}]", ""))
+    letters, upper = F.length(F.regexp_replace(x, r"[^\p{L}]+", "")), F.length(F.regexp_replace(x, r"[^\p{Lu}]+", ""))
     return (letters >= 10) & (upper > 0.5 * letters)
 
 
