@@ -65,10 +65,10 @@ def colour_consensus(samples: DataFrame) -> DataFrame:
 def sharpness(grid: DataFrame) -> DataFrame:
     """photo_id, sharpness: population variance of the 4-neighbour Laplacian plus 128, clipped to 0..255.
 
-    Border pixels, which lack a neighbour, are left out; a grid without inner pixels gives no row.
+    Border pixels, which lack a neighbour, keep their grey value, as the usual 3 x 3 image filters leave them.
     """
     across, down = W.partitionBy("photo_id", "y").orderBy("x"), W.partitionBy("photo_id", "x").orderBy("y")
     v = F.col("v")
     edge = F.lag("v").over(across) + F.lead("v").over(across) + F.lag("v").over(down) + F.lead("v").over(down) - 4 * v
-    inner = grid.withColumn("e", edge).filter("e IS NOT NULL")  # least and greatest would take a null for nothing
-    return inner.withColumn("e", F.least(F.lit(255), F.greatest(F.lit(0), F.col("e") + 128))).groupBy("photo_id").agg(F.var_pop("e").alias("sharpness"))
+    seen = F.when(F.col("e").isNull(), v).otherwise(F.least(F.lit(255), F.greatest(F.lit(0), F.col("e") + 128)))  # least and greatest would take a null for nothing
+    return grid.withColumn("e", edge).groupBy("photo_id").agg(F.var_pop(seen).alias("sharpness"))

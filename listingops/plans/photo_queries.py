@@ -294,7 +294,7 @@ def colour_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH g AS (SELECT l_suppkey AS photo_id, l_partkey % 20 AS x, l_orderkey % 20 AS y, CAST(max(l_quantity) AS INTEGER) AS v FROM lineitem GROUP BY ALL),
 e AS (SELECT photo_id, v, lag(v) OVER a + lead(v) OVER a + lag(v) OVER d + lead(v) OVER d - 4 * v AS q FROM g WINDOW a AS (PARTITION BY photo_id, y ORDER BY x), d AS (PARTITION BY photo_id, x ORDER BY y))
-SELECT photo_id, round(var_pop(least(255, greatest(0, q + 128))), 4) AS sharpness FROM e WHERE q IS NOT NULL GROUP BY photo_id
+SELECT photo_id, round(var_pop(CASE WHEN q IS NULL THEN v ELSE least(255, greatest(0, q + 128)) END), 4) AS sharpness FROM e GROUP BY photo_id
 """)
 def photo_sharpness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Laplacian variance of grey grids by supplier."""

@@ -267,6 +267,12 @@ gated AS (SELECT *, list_filter([CASE WHEN product_id % 8 = 0 THEN 'not_confirme
 """
 
 
+def in_full(done: DataFrame) -> DataFrame:
+    """Payloads as flat rows: one text for the fields, the warnings and either list of photos."""
+    line = lambda f: F.concat_ws("|", f["name"], f["label"], F.coalesce(f["value"], F.lit("")), f["translated"].cast("string"), F.coalesce(f["note"], F.lit("")))
+    return done.select("product_id", "platform", "title", "description", F.array_join(F.transform("fields", line), ";").alias("fields"), *(F.array_join(c, ",").alias(c) for c in ("warnings", "included", "excluded")))
+
+
 @query(PAYLOADS + f"""
 SELECT product_id, platform, title, description, concat_ws(';',
   concat_ws('|', 'marca', CASE WHEN platform = 'vinted' THEN 'brand' ELSE 'marca' END, CASE WHEN platform = 'vinted' THEN coalesce(marca, 'Sin marca') ELSE coalesce(marca, '') END, CAST(platform = 'vinted' OR marca IS NOT NULL AS VARCHAR), CASE WHEN platform = 'vinted' AND marca IS NULL THEN 'no brand read or confirmed' ELSE '' END),
@@ -281,9 +287,7 @@ SELECT product_id, platform, title, description, concat_ws(';',
 """)
 def whole_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every payload in full: texts, fields, warnings and photos."""
-    done, _ = _payloads(spark, sf_dir)
-    line = lambda f: F.concat_ws("|", f["name"], f["label"], F.coalesce(f["value"], F.lit("")), f["translated"].cast("string"), F.coalesce(f["note"], F.lit("")))
-    return done.select("product_id", "platform", "title", "description", F.array_join(F.transform("fields", line), ";").alias("fields"), *(F.array_join(c, ",").alias(c) for c in ("warnings", "included", "excluded")))
+    return in_full(_payloads(spark, sf_dir)[0])
 
 
 SQL["blocked_payloads"] = PAYLOADS + "SELECT product_id, platform, array_to_string(reasons, ',') AS reasons FROM gated WHERE len(reasons) > 0"

@@ -233,7 +233,10 @@ def test_order_and_colour(spark):
     mask = spark.createDataFrame([("red", 0, 0, 99, 99)], "photo_id string, bx int, by int, bw int, bh int")
     assert pixels.unmasked(px, mask).count() == 64
     flat = px.select("photo_id", "x", "y", F.lit(7).alias("v"))
-    assert pixels.sharpness(flat).first().sharpness == 0.0
+    inner, n = (8 - 2) ** 2, 8**2  # 128 inside, the grey value on the border
+    assert pixels.sharpness(flat).first().sharpness == pytest.approx(inner / n * (1 - inner / n) * (128 - 7) ** 2)
+    assert pixels.sharpness(flat.withColumn("v", F.lit(128))).first().sharpness == 0.0
+    assert pixels.sharpness(flat.filter("x < 2 AND y = 0")).first().sharpness == 0.0
 
 
 def test_usage_estimate(spark):
