@@ -63,7 +63,9 @@ def _micros(x) -> int | None:
 class LedgerProcessor(StatefulProcessor):
     """A product's publications and sale, by the rules of ledger.folded: a value of what lives and of the standing sale,
     and a map entry for each platform it was listed on. Each event gives the state it leaves and the change it makes to
-    the totals, so that sums retract. An undo clears the sale; without a state there is none."""
+    the totals, so that sums retract. An undo clears the sale; without a state there is none. State is read and written
+    once a batch, not once an event. A product's events of one batch are sorted in memory: the source's
+    maxBytesPerTrigger bounds them."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.held = handle.getValueState("ledger", LEDGER_STATE)
@@ -83,7 +85,7 @@ class LedgerProcessor(StatefulProcessor):
         kept = self.held.get() if self.held.exists() else None
         live = dict(zip(LIVE, kept[:3], strict=True)) if kept else {"cost": 0, "title": None, "reference": None}
         sale = dict(zip(SALE, kept[3:], strict=True)) if kept and kept[3] else None
-        out = []
+        out, places = [], {}
         for e in events.itertuples():
             before, reject, listed = counted(sale), None, (None, None, None)
             price, cost, place = _given(e.price_cents), _given(e.cost_cents), _given(e.platform, str)
@@ -94,9 +96,10 @@ class LedgerProcessor(StatefulProcessor):
             elif e.type in ("returned", "undo_sale") and not sale:
                 reject = "no_sale"
             elif e.type == "published":
-                first, _, times = self.places.getValue((place,)) if self.places.containsKey((place,)) else (_micros(e.at), None, 0)
-                listed = (min(first, _micros(e.at)), price, times + 1)
-                self.places.updateValue((place,), listed)
+                if place not in places:
+                    places[place] = self.places.getValue((place,)) if self.places.containsKey((place,)) else (_micros(e.at), None, 0)
+                first, _, times = places[place]
+                places[place] = listed = (min(first, _micros(e.at)), price, times + 1)
             elif e.type == "sold":
                 frozen = sale or {"cost_snap": live["cost"], "title_snap": live["title"], "reference_snap": live["reference"], "sold_at": _micros(e.at) if pd.isna(e.sold_at) else _micros(e.sold_at), "created_at": _micros(e.at), "bundle": None}
                 bundle = _given(e.bundle_id)
@@ -111,6 +114,8 @@ class LedgerProcessor(StatefulProcessor):
             after, s = counted(sale), sale or {}
             frozen = (s["cost_snap"], s["title_snap"], s["reference_snap"]) if sale else (live["cost"], live["title"], live["reference"])
             out.append((key[0], int(e.seq), e.type, place, *listed, s.get("state"), s.get("price"), s.get("platform"), s.get("bundle"), *frozen, s.get("sold_at"), s.get("created_at"), after[0] - before[0], after[1] - before[1], reject))
+        for place, listed in places.items():
+            self.places.updateValue((place,), listed)
         self.held.update((*live.values(), *((sale or {}).get(c) for c in SALE)))
         frame = pd.DataFrame(out, columns=LEDGER_COLUMNS)
         whole = [c for c in LEDGER_COLUMNS if c.endswith(("_cents", "_times", "_id", "_delta")) and c != "product_id"] + ["reference"]
