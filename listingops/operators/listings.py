@@ -67,12 +67,14 @@ def condition_fidelity(conditions: DataFrame) -> DataFrame:
 def with_required(fields: DataFrame, failures: DataFrame) -> DataFrame:
     """fields with an empty row for each required field a product lacks; the reason says whether its synthesis failed.
 
-    failures: product_id, failure. A failure text that starts with vlm_sintesis: counts.
+    failures: product_id, failure. A failure text that starts with vlm_sintesis: counts. Fields and failures of a product
+    meet in one aggregate of flags, without a join: Spark takes made-up rows for fewer bytes than they have and would
+    broadcast them.
     """
-    spark = fields.sparkSession
-    asked = fields.select("product_id").distinct().crossJoin(F.broadcast(spark.createDataFrame([(f,) for f in dims.REQUIRED_FIELDS], "field string")))  # four rows each
-    failed = failures.groupBy("product_id").agg(F.max(F.col("failure").startswith("vlm_sintesis:")).alias("failed"))
-    missing = asked.join(fields.select("product_id", "field"), ["product_id", "field"], "left_anti").join(failed, "product_id", "left")
+    marks = fields.select("product_id", "field", F.lit(True).alias("own"), F.lit(False).alias("failed"))
+    marks = marks.unionByName(failures.select(F.col("product_id").cast(fields.schema["product_id"].dataType).alias("product_id"), F.lit(None).cast("string").alias("field"), F.lit(False).alias("own"), F.col("failure").startswith("vlm_sintesis:").alias("failed")))
+    held = marks.groupBy("product_id").agg(F.max("own").alias("own"), F.max("failed").alias("failed"), *(F.max(F.coalesce(F.col("field") == f, F.lit(False))).alias(f"has_{f}") for f in dims.REQUIRED_FIELDS)).filter("own")
+    missing = held.select("product_id", "failed", F.explode(F.array_compact(F.array(*(F.when(~F.col(f"has_{f}"), F.lit(f)) for f in dims.REQUIRED_FIELDS)))).alias("field"))
     empty = missing.select("product_id", "field", F.lit(None).cast("string").alias("value"), F.lit("inferido").alias("source"), F.lit("baja").alias("confidence"), F.when(F.coalesce("failed", F.lit(False)), "synthesis_failed").otherwise("older_version").alias("reason"))
     have = fields.select("product_id", "field", "value", "source", "confidence", (F.col("reason") if "reason" in fields.columns else F.lit(None).cast("string")).alias("reason"))
     return have.unionByName(empty)

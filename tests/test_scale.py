@@ -167,6 +167,20 @@ def test_payloads_are_written_by_platform(spark, tmp_path):
     assert {p.name for p in (tmp_path / "out").iterdir() if p.is_dir()} == {"platform=vinted", "platform=wallapop"}
 
 
+def plan_of(frame):
+    import contextlib
+    import io
+
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        frame.explain("simple")
+    return out.getvalue()
+
+
+def test_required_fields_meet_without_a_broadcast(spark):
+    assert "Broadcast" not in plan_of(listing_queries.required_fields(spark, "/root/testdata/sf0.001"))
+
+
 def test_accents_of_every_character(spark):
     rows = [(c, chr(c)) for c in (*range(0x20, 0xD800), *range(0xE000, 0x30000), *range(0xE0100, 0xE01F0))]
     several = 0
