@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from listingops.functions import text as T
+from listingops.operators.dealing import dealt
 from listingops.sources import dims
 
 NONE = "CAST(array() AS array<string>)"
@@ -208,13 +209,13 @@ def build_payload(confirmed: DataFrame, photos: DataFrame, candidates: DataFrame
         F.when(F.col("fidelity").isNotNull(), F.concat(F.lit("condition:"), "fidelity")), F.when(F.col("desperfectos").isNotNull(), "check_defect"),
     )), F.col("_uncovered"))
     out = rows.select("product_id", "platform", "title", "description", "photos", fields.alias("fields"), warnings.alias("warnings"))
-    held = out.select("product_id", "platform", F.posexplode("photos").alias("pos", "photo_id")).join(photos.filter("path IS NOT NULL"), "photo_id", "left")
+    # photos meet their paths once a product; merged, as Spark takes exploded rows for fewer bytes than they have and would broadcast them
+    held = dealt(confirmed.select("product_id", F.posexplode("photos").alias("pos", "photo_id")), "photo_id").join(photos.filter("path IS NOT NULL").hint("merge"), "photo_id", "left")
+    found = dealt(held, "product_id").groupBy("product_id").agg(F.array_sort(F.collect_list(F.when(F.col("path").isNotNull(), F.struct("pos", "path")))).alias("_paths"), F.count_if(F.col("path").isNull()).alias("unknown_photos"))
+    out = out.drop("photos").join(found.hint("merge"), "product_id", "left")
     limit = F.when(F.col("platform") == "wallapop", dims.PHOTO_LIMITS["wallapop"]).otherwise(dims.PHOTO_LIMITS["vinted"])
-    paths = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("pos", "path")))), lambda x: x["path"])
-    sets = held.groupBy("product_id", "platform").agg(paths((F.col("pos") < limit) & F.col("path").isNotNull()).alias("included"), paths((F.col("pos") >= limit) & F.col("path").isNotNull()).alias("excluded"), F.count_if(F.col("path").isNull()).alias("unknown_photos"))
-    out = out.drop("photos").join(sets, ["product_id", "platform"], "left")
-    for c in ("included", "excluded"):
-        out = out.withColumn(c, F.coalesce(c, F.expr(NONE)))
+    paths = lambda c: F.coalesce(F.transform(F.filter("_paths", c), lambda x: x["path"]), F.expr(NONE))
+    out = out.withColumns({"included": paths(lambda x: x["pos"] < limit), "excluded": paths(lambda x: x["pos"] >= limit)}).select(*(c for c in out.columns if c not in ("_paths", "unknown_photos")), "included", "excluded", "unknown_photos")
     extra = F.array_compact(F.array(F.when(F.size("included") == 0, "no_photos"), F.when(F.size("excluded") > 0, F.concat(F.lit("over_photo_limit:"), F.size("excluded").cast("string"))), F.when(F.col("unknown_photos") > 0, "unknown_photos")))
     out = out.withColumn("warnings", F.concat("warnings", extra))
     if candidates is None:

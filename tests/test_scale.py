@@ -181,6 +181,12 @@ def test_required_fields_meet_without_a_broadcast(spark):
     assert "Broadcast" not in plan_of(listing_queries.required_fields(spark, "/root/testdata/sf0.001"))
 
 
+def test_photos_of_payloads_meet_their_paths_without_a_broadcast(spark):
+    done, _ = listing_queries._payloads(spark, "/root/testdata/sf0.001")
+    for frame in (done, listing_queries.export_payloads(spark, "/root/testdata/sf0.001")):
+        assert re.search(r"SortMergeJoin \[photo_id", plan_of(frame)) and not re.search(r"HashJoin \[(photo|product)_id", plan_of(frame))
+
+
 def test_accents_of_every_character(spark):
     rows = [(c, chr(c)) for c in (*range(0x20, 0xD800), *range(0xE000, 0x30000), *range(0xE0100, 0xE01F0))]
     several = 0
