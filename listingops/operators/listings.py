@@ -103,7 +103,7 @@ def apply_review(fields: DataFrame, edits: DataFrame, warnings: DataFrame, block
 def pivoted(fields: DataFrame) -> DataFrame:
     """product_id and one column for each field that export and gates read."""
     names = ("titulo", "descripcion", "categoria", "estado", "marca", "talla", "modelo", "tipo", "genero", "color", "composicion", "desperfectos", "ean", "medidas")
-    return fields.groupBy("product_id").agg(*(F.max(F.when(F.col("field") == n, T.blank_to_null(F.col("value")))).alias(n) for n in names), F.array_sort(F.collect_set(F.when(F.col("source") == "inferido", F.col("field")))).alias("unreviewed"))
+    return dealt(fields, "product_id").groupBy("product_id").agg(*(F.max(F.when(F.col("field") == n, T.blank_to_null(F.col("value")))).alias(n) for n in names), F.array_sort(F.collect_set(F.when(F.col("source") == "inferido", F.col("field")))).alias("unreviewed"))
 
 
 def missing_required(wide: DataFrame) -> DataFrame:
@@ -144,7 +144,7 @@ def apply_redaction(wide: DataFrame, texts: DataFrame, edited: DataFrame) -> tup
     its product. The title is led by the type, the description mentions the defect.
     """
     own = edited.groupBy("product_id").agg(F.max(F.col("field") == "titulo").alias("_t"), F.max(F.col("field") == "descripcion").alias("_d"))
-    rows = wide.join(texts, "product_id", "left").join(own, "product_id", "left")
+    rows = wide.join(texts.hint("merge"), "product_id", "left").join(own.hint("merge"), "product_id", "left")
     keep_t, keep_d = F.coalesce("_t", F.lit(False)), F.coalesce("_d", F.lit(False))
     title = T.led_by_type(T.blank_to_null(F.col("new_title")), F.col("tipo"))
     description = T.with_defect(T.blank_to_null(F.col("new_description")), F.col("desperfectos"))
