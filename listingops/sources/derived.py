@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from listingops.operators.dealing import dealt
 from listingops.sources import dims
 
 LINE_ORDER = ("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
@@ -46,7 +47,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     times. The retail price is the cost, set before all. seq is the line's place among its part's lines, by all columns,
     as order and line repeat within a part."""
     order = W.partitionBy("l_partkey").orderBy(*LINE_ORDER)
-    l_ = table(spark, sf_dir, "lineitem").withColumn("_place", F.row_number().over(order).cast("long"))
+    l_ = dealt(table(spark, sf_dir, "lineitem"), "l_partkey").withColumn("_place", F.row_number().over(order).cast("long"))
     at = F.col("l_shipdate").cast("timestamp")
     base = F.col("_place") * 4
     platform = F.when(F.col("l_suppkey") % 2 == 0, "vinted").otherwise("wallapop")
