@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from listingops.functions import numbers as N
 from listingops.operators import ledger, pricing, usage
+from listingops.operators.dealing import dealt
 from listingops.plans.registry import query
 from listingops.sources import derived
 
@@ -223,7 +224,7 @@ def _lots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
     o, l_ = derived.table(spark, sf_dir, "orders"), derived.table(spark, sf_dir, "lineitem")
     lots = derived.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("lot_id"))
     products = o.select(F.col("o_orderkey").alias("product_id"), F.col("o_custkey").alias("lot_id"), (F.col("o_orderstatus") == "F").alias("confirmed"))
-    rows = l_.filter(F.col("l_orderkey") % 13 != 0).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = dealt(l_.filter(F.col("l_orderkey") % 13 != 0), "l_orderkey").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     photos = rows.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("photo_id"), F.col("l_orderkey").alias("product_id"), F.col("o_custkey").alias("lot_id"), (F.col("l_linestatus") == "O").alias("readable"), F.col("l_shipdate").alias("captured_at"), F.col("l_shipdate").alias("created_at"), (F.col("o_orderstatus") == "F").alias("confirmed"))
     return lots, products, photos
 
