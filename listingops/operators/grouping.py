@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from listingops.functions.numbers import seconds_between
+from listingops.operators.dealing import dealt
 from listingops.sources import dims
 
 
@@ -159,8 +160,8 @@ def accepted_proposals(proposal: DataFrame, photos: DataFrame) -> DataFrame:
 def saved_assignment(current: DataFrame, proposal: DataFrame) -> DataFrame:
     """lot_id, photo_id, product_id, confirmed after saving a proposal(lot_id, photo_id, product_id): confirmed rows of
     current stay, unconfirmed ones of the proposal's lots are replaced."""
-    kept = current.filter("confirmed").unionByName(current.filter("NOT confirmed").join(proposal.select("lot_id").distinct(), "lot_id", "left_anti"))
-    new = proposal.join(kept.select("lot_id", "photo_id"), ["lot_id", "photo_id"], "left_anti").withColumn("confirmed", F.lit(False))
+    kept = current.filter("confirmed").unionByName(dealt(current.filter("NOT confirmed"), "lot_id").join(proposal.select("lot_id").distinct(), "lot_id", "left_anti"))
+    new = dealt(proposal, "lot_id", "photo_id").join(kept.select("lot_id", "photo_id"), ["lot_id", "photo_id"], "left_anti").withColumn("confirmed", F.lit(False))
     return kept.select("lot_id", "photo_id", "product_id", "confirmed").unionByName(new.select("lot_id", "photo_id", "product_id", "confirmed"))
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from listingops.functions import text as T
 from listingops.operators import ledger, pixels, readings, taxonomy
-from listingops.plans import listing_queries, sales_queries
+from listingops.plans import file_queries, listing_queries, sales_queries  # noqa: F401  they register their queries
+from listingops.plans.registry import QUERIES
 from listingops.sources import derived, dims, reports
 
 START = datetime(2026, 5, 1, 10)
@@ -187,6 +188,12 @@ def test_photos_of_payloads_meet_their_paths_without_a_broadcast(spark):
         assert re.search(r"SortMergeJoin \[photo_id", plan_of(frame)) and not re.search(r"HashJoin \[(photo|product)_id", plan_of(frame))
 
 
+@pytest.mark.parametrize("name", ["product_upkeep", "blocked_payloads", "ready_listings", "redacted_listings", "rejected_events", "saved_assignments", "guarded_events"])
+def test_rows_are_dealt_to_all_tasks_before_they_are_sorted(spark, name):
+    """Every operator that sorts a large table gets partitions that the adaptive plan doesn't merge."""
+    assert "REPARTITION_BY_NUM" in plan_of(QUERIES[name](spark, "/root/testdata/sf0.001"))
+
+
 def test_accents_of_every_character(spark):
     rows = [(c, chr(c)) for c in (*range(0x20, 0xD800), *range(0xE000, 0x30000), *range(0xE0100, 0xE01F0))]
     several = 0
