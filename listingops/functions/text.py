@@ -6,6 +6,7 @@ import difflib
 import functools
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -202,10 +203,16 @@ def ocr_shortcut(text: Column, score: Column) -> Column:
     return F.when(score >= dims.CLEAN_SCORE, hit)
 
 
+def once(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x), where x is worked out once a row, however often use names it."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def garment(title: Column) -> Column:
     """The first listed garment that the title holds."""
-    t = plain(F.lower(title))
-    return F.get(F.filter(F.array(*(F.lit(g) for g in dims.GARMENTS)), lambda g: t.contains(g)), F.lit(0))
+    found = lambda t: F.coalesce(*(F.when(t.contains(g), F.lit(g)) for g in dims.GARMENTS))
+    ascii_only = lambda low: F.octet_length(low) == F.length(low)  # noqa: E731  such texts have no accents to look up
+    return once(F.lower(title), lambda low: once(F.when(ascii_only(low), low).otherwise(plain(low)), found))
 
 
 def stamped(description: Column, reference: Column) -> Column:
@@ -217,9 +224,8 @@ def stamped(description: Column, reference: Column) -> Column:
 
 
 def shipping_class(text: Column) -> Column:
-    t = F.lower(F.coalesce(text, F.lit("")))
-    holds = lambda ws: reduce(lambda a, b: a | b, (t.contains(w) for w in ws))
-    return F.when(holds(dims.HEAVY_WORDS), "pesado").when(holds(dims.LIGHT_WORDS), "ligero").otherwise("normal")
+    holds = lambda t, ws: reduce(lambda a, b: a | b, (t.contains(w) for w in ws))
+    return once(F.lower(F.coalesce(text, F.lit(""))), lambda t: F.when(holds(t, dims.HEAVY_WORDS), "pesado").when(holds(t, dims.LIGHT_WORDS), "ligero").otherwise("normal"))
 
 
 def shipping_value(text: Column, platform: Column) -> Column:

@@ -204,6 +204,18 @@ def test_accents_of_every_character(spark):
     assert several > 11_172  # Hangul syllables and what else becomes several characters
 
 
+def test_garments_read_a_text_once(spark):
+    """Lowering and accents are worked out before the garments are sought, not once for each of them."""
+    r = random.Random(8)
+    parts = [*dims.GARMENTS, *dims.HEAVY_WORDS, *dims.LIGHT_WORDS, "PANTALÓN", "Camisa", "ñandú", "x", "Ropa"]
+    rows = [(" ".join(r.sample(parts, r.randint(0, 3))),) for _ in range(200)] + [(None,), ("",)]
+    frame = spark.createDataFrame(rows, "t string").select("t", T.garment(F.col("t")).alias("g"), T.shipping_class(F.col("t")).alias("s"))
+    for x in frame.collect():
+        low = (x.t or "").lower()
+        assert x.g == next((g for g in dims.GARMENTS if g in T.decomposed(low)), None) and x.s == ("pesado" if any(w in low for w in dims.HEAVY_WORDS) else "ligero" if any(w in low for w in dims.LIGHT_WORDS) else "normal")
+    assert not re.search(r"filter\(.*translate", plan_of(frame))
+
+
 def test_accents_in_texts(spark):
     rows = [("Ἀθῆναι ﬁn ½ Ｎike de\u0301ja\u0300 Đã",), (None,), ("déjà",)]
     frame = spark.createDataFrame(rows, "t string")
