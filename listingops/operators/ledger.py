@@ -16,12 +16,17 @@ from listingops.operators.dealing import dealt
 from listingops.sources import dims
 
 
+def bad_values() -> Column:
+    """Why an event's own values reject it, or null."""
+    bad_cents = (F.coalesce("price_cents", F.lit(0)) < 0) | (F.coalesce("cost_cents", F.lit(0)) < 0)
+    bad_platform = F.col("type").isin("published", "sold") & ~F.coalesce(F.col("platform").isin(*dims.PLATFORMS), F.lit(False))
+    return F.when(bad_cents, "negative_cents").when(bad_platform, "unknown_platform")
+
+
 def _judged(events: DataFrame, products: DataFrame | None) -> DataFrame:
     """events with reason: why one is rejected, or null. One exchange, by product."""
     w = W.partitionBy("product_id").orderBy("seq")
-    bad_cents = (F.coalesce("price_cents", F.lit(0)) < 0) | (F.coalesce("cost_cents", F.lit(0)) < 0)
-    bad_platform = F.col("type").isin("published", "sold") & ~F.coalesce(F.col("platform").isin(*dims.PLATFORMS), F.lit(False))
-    rows = dealt(events, "product_id").withColumn("reason", F.when(bad_cents, "negative_cents").when(bad_platform, "unknown_platform"))
+    rows = dealt(events, "product_id").withColumn("reason", bad_values())
     if products is not None:
         known = products.select("product_id", F.lit(True).alias("_known"))
         rows = rows.join(known, "product_id", "left").withColumn("reason", F.coalesce("reason", F.when(F.col("_known").isNull(), "unknown_product"))).drop("_known")

@@ -1,12 +1,17 @@
 """Streams give what the batch operators give."""
 
+import random
+import re
 import time
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import Row, Window
 from pyspark.sql import functions as F
 
 from listingops.operators import grouping, ledger
+from listingops.plans import stream_queries  # noqa: F401  it registers its queries
+from listingops.plans.registry import QUERIES
 from listingops.sources import derived
 from listingops.streaming import streams
 
@@ -174,3 +179,71 @@ def test_a_product_takes_plain_rows_and_few_state_calls():
     out = list(p.handleInputRows(("p",), iter([row(n, ("published", "sold")[n % 2], n) for n in range(99, -1, -1)]), None))
     assert [r.seq for r in out] == list(range(100)) and out[-1].price_cents == 99 and out[-2].listed_times == 50 and out[-2].listed_at == 0
     assert p.held.calls + p.places.calls <= 5
+
+
+KINDS = ("published", "published", "sold", "sold", "returned", "undo_sale", "cost", "title", "reference", "other", None)
+
+
+def odd_events(seed, products=60, batches=3):
+    """Batches of events of every kind with nulls, negative cents, unknown platforms, equal times and products that come late or rest."""
+    r, out, seq = random.Random(seed), [[] for _ in range(batches)], {}
+    for n in range(batches):
+        for p in range(products):
+            for _ in range(r.choice((0, 0, 1, 3, 12)) if p < products - 2 or n else 0):
+                seq[p] = seq.get(p, -2) + r.choice((1, 5))
+                cents = lambda: r.choice((None, 0, 5, 700, 700, 1200, -1 if r.random() < 0.2 else 9))
+                times = (None, START, START + timedelta(days=r.randint(-3, 3)))
+                out[n].append((f"p{p}", seq[p], r.choice(times), r.choice(KINDS), r.choice(("vinted", "wallapop", "vinted", "wallapop", "ebay", None)), cents(), cents(), r.choice((None, "a", "b")), r.choice((None, 1, 2)), r.choice((None, None, 7, 8)), r.choice(times)))
+    return out
+
+
+def machine(parts):
+    """After each batch: every product's state as ledger_state has it, by LedgerProcessor, and (rejected, sold, profit) of the batch."""
+    made, out, names = {}, [], [c.split()[0] for c in EVENTS.split(", ")]
+    for part in parts:
+        rejected = sold = profit = 0
+        for product in sorted({e[0] for e in part}):
+            p = made.setdefault(product, streams.LedgerProcessor())
+            if not hasattr(p, "held"):
+                p.held, p.places = Held(), Held()
+            for r in p.handleInputRows((product,), iter([Row(**dict(zip(names, e, strict=True))) for e in part if e[0] == product]), None):
+                rejected, sold, profit = rejected + (r.reject is not None), sold + r.sold_delta, profit + r.profit_delta
+        out.append(({k: ([(n, *v) for (n,), v in sorted(p.places.kept.items())], *p.held.kept[()]) for k, p in made.items()}, (rejected, sold, profit)))
+    return out
+
+
+def written(spark, folder, n):
+    rows = spark.read.parquet(f"{folder}/batch={n}").collect()
+    return {r.product_id: ([tuple(x) for x in r.publications], *(r[c] for c in (*streams.LIVE, *streams.SALE))) for r in rows}, tuple(sum(r[c] for r in rows) for c in ("rejected", "sold_delta", "profit_delta", "events"))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_written_ledger_equals_the_state_machine(spark, tmp_path, seed):
+    """Odd events in three batches, each run twice; then from the state of the batch ledger."""
+    parts = odd_events(seed)
+    frames, write, want = [spark.createDataFrame(x, EVENTS) for x in parts], streams.ledger_writer(str(tmp_path / "held")), machine(parts)
+    for n, frame in enumerate(frames):
+        write(frame, n)
+        write(frame, n)
+        held, sums = written(spark, tmp_path / "held", n)
+        assert held == want[n][0] and sums == (*want[n][1], len(parts[n])) and len(held) > 20 and sums[0] > 5
+    fold = ledger.folded(frames[0].unionByName(frames[1]).unionByName(frames[2]))
+    sales = {r.product_id: (r.state, r.price_cents, r.platform, r.bundle_id, r.cost_snap_cents, r.title_snap, r.reference_snap, r.sold_at, r.created_at) for r in ledger.sales_of(fold).collect()}
+    assert {k: v[4:] for k, v in held.items() if v[4]} == sales and len(sales) > 10
+    assert {(k, x[0]): x[1:] for k, v in held.items() for x in v[0]} == {(r.product_id, r.platform): (r.listed_at, r.price_cents, r.times) for r in ledger.publications_of(fold).collect()}
+    begun = spark.read.parquet(str(tmp_path / "held/batch=1")).drop("events", "rejected", "sold_delta", "profit_delta")
+    streams.ledger_writer(str(tmp_path / "begun"), begun)(frames[2], 0)
+    assert written(spark, tmp_path / "begun", 0) == (held, sums)
+
+
+def test_a_batch_of_the_ledger_takes_one_exchange_and_one_sort(spark):
+    parts = [spark.createDataFrame(x, EVENTS) for x in odd_events(3)]
+    plan = streams.ledger_after(parts[1], streams.ledger_state(ledger.folded(parts[0])).localCheckpoint())._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"\bExchange\b", plan)) == 1 and len(re.findall(r"\bSort \[", plan)) == 1 and "Python" not in plan
+
+
+def test_streamed_publications_call_no_state_of_a_product(spark, monkeypatch):
+    monkeypatch.setattr(streams, "LedgerProcessor", None)
+    got = {(r.product_id, r.platform): r.times for r in QUERIES["streamed_publications"](spark, "/root/testdata/sf0.001").collect()}
+    made = derived.events(spark, "/root/testdata/sf0.001").filter("type = 'published'").groupBy("product_id", "platform").count()
+    assert got == {(r.product_id, r.platform): r["count"] for r in made.collect()} and len(got) > 100
